@@ -6,6 +6,10 @@ texts is given, first Spark, then DuckDB.
 
 from __future__ import annotations
 
+import uuid
+
+from ..session import checkpoint_dir
+
 SITE = "https://www.shop.example/"
 HOST = "www.shop.example"
 
@@ -200,19 +204,41 @@ NEEDS = {
 }
 
 
+#: Fixtures that stand for stored exports: written once per session, then read like any table.
+STAGED = ("fx_links", "fx_link_pages")
+_staged: dict[tuple[str, str, str], str] = {}
+
+
 def register_tables(spark, sf_dir: str) -> None:
-    """The delivered tables as temporary views."""
+    """The delivered tables as temporary views.
+
+    A table that is one small file would be one task from the scan on; it is spread over the
+    cores. Tables of more files than that are read as they are.
+    """
+    cores = spark.sparkContext.defaultParallelism
     for table in ("lineitem", "part", "pages", "documents", "embeddings"):
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").createOrReplaceTempView(table)
+        data = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        if table in ("lineitem", "pages", "documents") and len(data.inputFiles()) < cores:
+            data = data.repartition(cores)
+        data.createOrReplaceTempView(table)
 
 
 def fixture(spark, sf_dir: str, name: str):
     """A fixture as a DataFrame over the tables of ``sf_dir``."""
     register_tables(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _staged:
+        return spark.read.parquet(_staged[key])
     for needed in NEEDS.get(name, ()):
         fixture(spark, sf_dir, needed).createOrReplaceTempView(needed)
     sql = FIXTURES[name]
-    return spark.sql(sql[0] if isinstance(sql, tuple) else sql)
+    table = spark.sql(sql[0] if isinstance(sql, tuple) else sql)
+    if name not in STAGED:
+        return table
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/linkaudit-{name}-{uuid.uuid4().hex}"
+    table.write.parquet(folder)
+    _staged[key] = folder
+    return spark.read.parquet(folder)
 
 
 def duckdb_with(*names: str) -> str:

@@ -39,15 +39,16 @@ SHIPPED_ANCHOR_PATTERNS = (
     r"^(retour|back|retour accueil)$",
 )
 
-#: Link-path patterns of mechanical page regions.
-PATH_PATTERNS = (
-    r"(header|footer|nav|navigation|menu)",
-    r"(breadcrumb|pagination|pager)",
-    r"(sidebar|widget|aside)",
-    r"(social|share|partage)",
-    r"(tag|category|categorie)",
-    r"(related|connexe|similaire)",
-    r"role=[\"']?(navigation|menu|banner|contentinfo)[\"']?",
+#: Link-path fragments of mechanical page regions ("nav" covers "navigation").
+PATH_FRAGMENTS = (
+    "header", "footer", "nav", "menu",
+    "breadcrumb", "pagination", "pager",
+    "sidebar", "widget", "aside",
+    "social", "share", "partage",
+    "tag", "category", "categorie",
+    "related", "connexe", "similaire",
+    "role=banner", 'role="banner', "role='banner",
+    "role=contentinfo", 'role="contentinfo', "role='contentinfo",
 )
 
 DEFAULT_SELECTORS = (".menu", ".nav", ".header", ".footer", ".breadcrumb", ".pagination", ".sidebar")
@@ -61,7 +62,7 @@ SHORT_ANCHOR_ALLOWED = ("tv", "pc", "seo", "api", "faq")
 #: The reduced rule set (three rules, no configuration).
 SIMPLE_ORIGINS = ("navigation", "en-tête", "pied de page")
 SIMPLE_ANCHOR_PATTERNS = SHIPPED_ANCHOR_PATTERNS + (r"^(passer au contenu)$", r"^$")
-SIMPLE_PATH_PATTERNS = (r"header|footer|nav|navigation|menu", r"breadcrumb|pagination", r"sidebar|widget")
+SIMPLE_PATH_FRAGMENTS = ("header", "footer", "nav", "menu", "breadcrumb", "pagination", "sidebar", "widget")
 
 #: Destination categories, tested in this order by substring.
 DESTINATION_CATEGORIES = {

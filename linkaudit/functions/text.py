@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -12,9 +13,6 @@ BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
-
-
 def text(col: Column) -> Column:
     """Missing cells read as empty text."""
     return F.coalesce(col, F.lit(""))
@@ -30,25 +28,59 @@ def py_lower(col: Column) -> Column:
 
 
 def py_words(col: Column) -> Column:
-    """``str.split()``: no empty words, an empty array for blank text."""
-    return F.filter(F.split(col, BLANK_RUN), lambda w: w != "")
+    """``str.split()``: no empty words, an empty array for blank text.
 
-
-def any_of(fragments: Iterable[str]) -> str:
-    """Regular expression that finds any of the given literal fragments."""
-    return "|".join(re.escape(f) for f in fragments)
+    Splitting at a single character needs no regular expression, which would be compiled per row.
+    """
+    spaced = F.translate(col, BLANKS, " " * len(BLANKS))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
 def contains_any(col: Column, fragments: Iterable[str]) -> Column:
-    """Substring test against a list of literals, one pass over the text."""
-    return col.rlike(any_of(fragments))
+    """Substring test against a list of literals.
+
+    A chain of plain searches, which is several times faster than one alternation.
+    """
+    return reduce(or_, (col.contains(f) for f in fragments), F.lit(False))
+
+
+def starts_with_any(col: Column, prefixes: Iterable[str]) -> Column:
+    return reduce(or_, (col.startswith(p) for p in prefixes), F.lit(False))
+
+
+def _whole_alternation(pattern: str) -> bool:
+    """Whether a ``|`` stands outside of all groups and classes."""
+    depth, in_class, escaped = 0, False, False
+    for c in pattern:
+        if escaped:
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return True
+    return False
 
 
 def matches_any(col: Column, patterns: Sequence[str]) -> Column:
-    """Unicode, case-insensitive search for any of the patterns, one pass over the text."""
-    if not patterns:
-        return F.lit(False)
-    return col.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+    """Unicode, case-insensitive search for any of the patterns.
+
+    Patterns that begin with ``^`` share one anchor, so that they are tried at the start of the
+    text only; the others form a second alternation.
+    """
+    rooted = [p for p in patterns if p.startswith("^") and not _whole_alternation(p)]
+    free = [p for p in patterns if p not in rooted]
+    tests = []
+    if rooted:
+        tests.append(col.rlike("(?iU)^(?:" + "|".join(p[1:] for p in rooted) + ")"))
+    if free:
+        tests.append(col.rlike("(?iU)" + "|".join(f"(?:{p})" for p in free)))
+    return reduce(or_, tests, F.lit(False))
 
 
 def truncate(col: Column, n: int) -> Column:

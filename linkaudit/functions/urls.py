@@ -8,7 +8,10 @@ _SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?"
 
 
 def url_host(url: Column) -> Column:
-    """Network location with user, port and case kept; empty for relative URLs."""
+    """Network location with user, port and case kept; empty for relative URLs.
+
+    Reads ``url`` once: Catalyst copies the expression behind it into pushed-down filters.
+    """
     return F.regexp_extract(url, _SCHEME + r"//([^/?#]*)", 1)
 
 

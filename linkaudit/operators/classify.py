@@ -10,47 +10,55 @@ from ..config import (
     NAVIGATION_LINK_TYPES,
     NAVIGATION_ORIGINS,
     PAGE_TYPES,
-    PATH_PATTERNS,
+    PATH_FRAGMENTS,
     SHORT_ANCHOR_ALLOWED,
     SIMPLE_ANCHOR_PATTERNS,
     SIMPLE_ORIGINS,
-    SIMPLE_PATH_PATTERNS,
+    SIMPLE_PATH_FRAGMENTS,
     AuditConfig,
 )
 from ..functions.binding import let
-from ..functions.text import any_of, contains_any, matches_any, py_strip, py_words
+from ..functions.text import contains_any, matches_any, py_strip, py_words, starts_with_any
 from ..functions.urls import slash_count
 
 EDITORIAL = "editorial"
-URL_ANCHOR = r"^(https?://|www\.)"
+URL_STARTS = ("http://", "https://", "www.")
 
 
 def link_rule(cfg: AuditConfig) -> Column:
-    """The first of seven rules that makes a link mechanical, or ``editorial``."""
-    anchor = py_strip(F.lower("anchor"))
-    path = F.lower("path")
-    selectors = [s.replace(".", "") for s in cfg.selectors]
-    return (
-        F.when(contains_any(F.lower("origin"), NAVIGATION_ORIGINS), F.lit("origin"))
-        .when(F.lower("link_type").isin(*NAVIGATION_LINK_TYPES), F.lit("link_type"))
-        .when(matches_any(anchor, cfg.anchor_patterns), F.lit("anchor_pattern"))
-        .when(matches_any(path, PATH_PATTERNS), F.lit("path"))
-        .when(path.rlike(any_of(selectors)) if selectors else F.lit(False), F.lit("selector"))
-        .when((F.length(anchor) <= 2) & ~anchor.isin(*SHORT_ANCHOR_ALLOWED), F.lit("short_anchor"))
-        .when(anchor.rlike(URL_ANCHOR), F.lit("url_anchor"))
-        .otherwise(F.lit(EDITORIAL))
-    )
+    """The first of seven rules that makes a link mechanical, or ``editorial``.
+
+    Each text is bound once: a filter on the rule is pushed down to the scan together with copies
+    of everything the rule mentions, which would otherwise multiply with the tests on it.
+    """
+
+    def rules(anchor: Column, path: Column) -> Column:
+        return (
+            F.when(let(F.lower("origin"), lambda o: contains_any(o, NAVIGATION_ORIGINS)), F.lit("origin"))
+            .when(F.lower("link_type").isin(*NAVIGATION_LINK_TYPES), F.lit("link_type"))
+            .when(matches_any(anchor, cfg.anchor_patterns), F.lit("anchor_pattern"))
+            .when(contains_any(path, PATH_FRAGMENTS), F.lit("path"))
+            .when(contains_any(path, (s.replace(".", "") for s in cfg.selectors)), F.lit("selector"))
+            .when((F.length(anchor) <= 2) & ~anchor.isin(*SHORT_ANCHOR_ALLOWED), F.lit("short_anchor"))
+            .when(starts_with_any(anchor, URL_STARTS), F.lit("url_anchor"))
+            .otherwise(F.lit(EDITORIAL))
+        )
+
+    return let(py_strip(F.lower("anchor")), lambda a: let(F.lower("path"), lambda p: rules(a, p)))
 
 
 def simple_link_rule() -> Column:
     """The reduced rule set: exact origins, fixed anchors, three path groups."""
-    anchor = py_strip(F.lower("anchor"))
-    return (
-        F.when(F.lower("origin").isin(*SIMPLE_ORIGINS), F.lit("origin"))
-        .when(anchor.rlike("(?U)" + "|".join(f"(?:{p})" for p in SIMPLE_ANCHOR_PATTERNS)), F.lit("anchor_pattern"))
-        .when(F.lower("path").rlike("|".join(SIMPLE_PATH_PATTERNS)), F.lit("path"))
-        .otherwise(F.lit(EDITORIAL))
-    )
+
+    def rules(anchor: Column, path: Column) -> Column:
+        return (
+            F.when(F.lower("origin").isin(*SIMPLE_ORIGINS), F.lit("origin"))
+            .when(matches_any(anchor, SIMPLE_ANCHOR_PATTERNS), F.lit("anchor_pattern"))
+            .when(contains_any(path, SIMPLE_PATH_FRAGMENTS), F.lit("path"))
+            .otherwise(F.lit(EDITORIAL))
+        )
+
+    return let(py_strip(F.lower("anchor")), lambda a: let(F.lower("path"), lambda p: rules(a, p)))
 
 
 def _with_class(links: DataFrame, rule: Column) -> DataFrame:
@@ -77,20 +85,19 @@ def quality_flags(anchor: Column) -> dict[str, Column]:
     no length bucket.
     """
     anchor = py_strip(anchor)
-    words = py_words(anchor)
-    n = F.size(words)
+    n = F.size(py_words(anchor))
+
+    def repeats(words: Column) -> Column:
+        return F.exists(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda v: v == w)) > 2)
+
     long_words = F.filter(py_words(F.lower(anchor)), lambda w: F.length(w) > 3)
-    repeated = let(
-        long_words,
-        lambda ws: F.exists(F.array_distinct(ws), lambda w: F.size(F.filter(ws, lambda v: v == w)) > 2),
-    )
     return {
-        "too_short": (n == 1) & (F.length(anchor) < 4),
-        "too_long": n > 8,
+        "too_short": (F.length(anchor) < 4) & (n == 1),
+        # Nine words and eight blanks are 17 characters, three long words and two blanks 14.
+        "too_long": (F.length(anchor) >= 17) & (n > 8),
         "good": n.between(2, 6),
-        # A word can stand three times only where there are three words that long.
-        "keyword_stuffed": F.when(F.size(long_words) > 2, repeated).otherwise(F.lit(False)),
-        "url_anchor": anchor.rlike(URL_ANCHOR),
+        "keyword_stuffed": (F.length(anchor) >= 14) & let(long_words, repeats),
+        "url_anchor": let(anchor, lambda a: starts_with_any(a, URL_STARTS)),
     }
 
 

@@ -1,4 +1,7 @@
-"""Row filters on link, page and URL tables: narrow, native, no shuffle."""
+"""Row filters on link, page and URL tables: narrow, native, no shuffle.
+
+Link tables are canonical: no nulls, no blanks around URLs.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +13,12 @@ from ..functions.urls import url_host, url_path, url_root
 
 
 def is_valid() -> Column:
-    return (py_strip(F.col("source")) != "") & (py_strip(F.col("destination")) != "")
+    return (F.col("source") != "") & (F.col("destination") != "")
 
 
 def is_internal() -> Column:
     """Equal hosts; two relative URLs count as internal."""
-    return url_host(py_strip(F.col("source"))) == url_host(py_strip(F.col("destination")))
+    return url_host(F.col("source")) == url_host(F.col("destination"))
 
 
 def valid_links(links: DataFrame) -> DataFrame:
@@ -40,9 +43,7 @@ def internal_by_domain(links: DataFrame, host: str, strict: bool = True) -> Data
 
 def url_prefix_filter(links: DataFrame, prefix: str) -> DataFrame:
     """Links with either end under a prefix."""
-    return links.where(
-        py_strip(F.col("source")).startswith(prefix) | py_strip(F.col("destination")).startswith(prefix)
-    )
+    return links.where(F.col("source").startswith(prefix) | F.col("destination").startswith(prefix))
 
 
 def page_prefix_filter(pages: DataFrame, prefix: str, url: str = "url") -> DataFrame:

@@ -20,61 +20,64 @@ def _one_decimal(value: Column) -> Column:
     return F.format_string("%.1f", value)
 
 
-def _rows(df: DataFrame, kind, priority, url, problem, recommendation, details) -> DataFrame:
-    def literal(v):
-        return v if isinstance(v, Column) else F.lit(v)
+def _finding(*values) -> Column:
+    """One row of the recommendation table as a struct."""
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).cast("string").alias(c) for c, v in zip(COLUMNS, values)))
 
-    values = (kind, priority, url, problem, recommendation, details)
-    return df.select(*(literal(v).cast("string").alias(c) for c, v in zip(COLUMNS, values)))
+
+def _found(df: DataFrame, *findings: tuple[Column, Column]) -> DataFrame:
+    """The findings ``(condition, struct)`` that hold for each row: several kinds from one pass."""
+    structs = F.array_compact(F.array(*(F.when(condition, finding) for condition, finding in findings)))
+    return df.select(F.explode(structs).alias("finding")).select("finding.*")
 
 
 def anchor_findings(internal: DataFrame) -> DataFrame:
-    """Too short, stuffed and URL anchors: up to three rows per editorial link, from one scan."""
-    anchor = py_strip(F.col("anchor"))
+    """Too short, stuffed and URL anchors: up to three rows per editorial link."""
     flags = quality_flags(F.col("anchor"))
-    quoted = F.concat(F.lit("'"), anchor, F.lit("'"))
-
-    def finding(flag, kind, priority, problem, recommendation, details):
-        values = (F.lit(kind), F.lit(priority), F.col("destination"), F.concat(F.lit(problem), quoted),
-                  F.lit(recommendation), details)
-        return F.when(flag, F.struct(*(v.alias(c) for c, v in zip(COLUMNS, values))))
-
-    found = F.array_compact(
-        F.array(
-            finding(flags["too_short"], "weak anchor", "medium", "anchor too short: ",
-                    "use a more descriptive anchor", F.concat(F.lit("current anchor: "), quoted)),
-            finding(flags["keyword_stuffed"], "stuffed anchor", "high", "anchor repeats its keywords: ",
-                    "vary with natural phrases", F.lit("risk of a search penalty")),
-            finding(flags["url_anchor"], "unoptimised anchor", "medium", "URL used as anchor: ",
-                    "replace by a descriptive anchor", F.lit("URLs make poor anchors")),
-        )
+    quoted = F.concat(F.lit("'"), py_strip(F.col("anchor")), F.lit("'"))
+    url = F.col("destination")
+    flagged = editorial(internal).select(
+        "destination", "anchor", *(flags[f].alias(f) for f in ("too_short", "keyword_stuffed", "url_anchor"))
     )
-    return (
-        editorial(internal)
-        .where(flags["too_short"] | flags["keyword_stuffed"] | flags["url_anchor"])
-        .select(F.explode(found).alias("f"))
-        .select("f.*")
+    return _found(
+        flagged,
+        (
+            F.col("too_short"),
+            _finding("weak anchor", "medium", url, F.concat(F.lit("anchor too short: "), quoted),
+                     "use a more descriptive anchor", F.concat(F.lit("current anchor: "), quoted)),
+        ),
+        (
+            F.col("keyword_stuffed"),
+            _finding("stuffed anchor", "high", url, F.concat(F.lit("anchor repeats its keywords: "), quoted),
+                     "vary with natural phrases", "risk of a search penalty"),
+        ),
+        (
+            F.col("url_anchor"),
+            _finding("unoptimised anchor", "medium", url, F.concat(F.lit("URL used as anchor: "), quoted),
+                     "replace by a descriptive anchor", "URLs make poor anchors"),
+        ),
     )
 
 
 def site_findings(stats: DataFrame, cfg: AuditConfig = AuditConfig(), site: str | None = None) -> DataFrame:
     """Low editorial share and thin linking of the whole site, from the one-row figures."""
+    share, density = F.col("editorial_ratio"), F.col("avg_editorial_per_page")
     where = site or WHOLE_SITE
-    low_ratio = _rows(
-        stats.where(F.col("editorial_ratio") < cfg.min_editorial_ratio),
-        "overall strategy", "high", where,
-        F.concat(F.lit("low editorial share ("), _one_decimal(F.col("editorial_ratio")), F.lit("%)")),
-        "add editorial links to the contents",
-        "less than 50% editorial links",
-    )
-    few_links = _rows(
-        stats.where(F.col("avg_editorial_per_page") < cfg.min_links_per_page),
-        "link density", "medium", where,
-        F.concat(F.lit("too few links ("), _one_decimal(F.col("avg_editorial_per_page")), F.lit(" links/page)")),
-        "aim at 2-3 editorial links per page",
-        "internal linking below optimum",
+    return _found(
+        stats,
+        (
+            share < cfg.min_editorial_ratio,
+            _finding("overall strategy", "high", where,
+                     F.concat(F.lit("low editorial share ("), _one_decimal(share), F.lit("%)")),
+                     "add editorial links to the contents", "less than 50% editorial links"),
+        ),
+        (
+            density < cfg.min_links_per_page,
+            _finding("link density", "medium", where,
+                     F.concat(F.lit("too few links ("), _one_decimal(density), F.lit(" links/page)")),
+                     "aim at 2-3 editorial links per page", "internal linking below optimum"),
+        ),
     )
-    return low_ratio.unionByName(few_links)
 
 
 def recommendations(
@@ -90,13 +93,16 @@ def recommendations(
     anchors = anchor_counts(internal) if anchors is None else anchors
     stats = link_stats(internal) if stats is None else stats
     uses = F.col("links").cast("string")
+    always = F.lit(True)
+    orphan = _finding("orphan page", "high", F.col("url"), "no editorial link leads here",
+                      "create contextual editorial links", "page outside the editorial linking")
+    repeated = _finding("repeated anchor", "medium", "multiple",
+                        F.concat(F.lit("anchor used "), uses, F.lit(" times: '"), F.col("anchor"), F.lit("'")),
+                        "vary the wording", F.concat(F.lit("excessive repetition ("), uses, F.lit(" uses)")))
     parts = [
-        _rows(orphans, "orphan page", "high", F.col("url"), "no editorial link leads here",
-              "create contextual editorial links", "page outside the editorial linking"),
+        _found(orphans, (always, orphan)),
         anchor_findings(internal),
-        _rows(over_repeated_anchors(anchors, cfg), "repeated anchor", "medium", "multiple",
-              F.concat(F.lit("anchor used "), uses, F.lit(" times: '"), F.col("anchor"), F.lit("'")),
-              "vary the wording", F.concat(F.lit("excessive repetition ("), uses, F.lit(" uses)"))),
+        _found(over_repeated_anchors(anchors, cfg), (always, repeated)),
         site_findings(stats, cfg, site),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -114,21 +120,30 @@ def priority_advice(
     stats = link_stats(internal) if stats is None else stats
     quality = anchor_quality_counts(internal) if quality is None else quality
 
-    def line(df: DataFrame, position: int, advice: str, figure: str) -> DataFrame:
-        return df.select(
-            F.lit(position).alias("position"), F.lit(advice).alias("advice"), F.col(figure).cast("double").alias("figure")
+    def lines(df: DataFrame, *wanted) -> DataFrame:
+        structs = (
+            F.when(
+                condition,
+                F.struct(
+                    F.lit(position).alias("position"), F.lit(advice).alias("advice"),
+                    F.col(figure).cast("double").alias("figure"),
+                ),
+            )
+            for position, advice, figure, condition in wanted
         )
+        return df.select(F.explode(F.array_compact(F.array(*structs))).alias("line")).select("line.*")
 
-    orphan_count = orphans.agg(F.count(F.lit(1)).alias("n"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            line(orphan_count.where("n > 0"), 1, "link orphan pages", "n"),
-            line(stats.where(F.col("editorial_ratio") < cfg.min_editorial_ratio), 2, "raise the editorial share", "editorial_ratio"),
-            line(quality.where("too_short > 0"), 3, "describe short anchors", "too_short"),
-            line(stats.where(F.col("avg_editorial_per_page") < cfg.min_links_per_page), 4, "add editorial links", "avg_editorial_per_page"),
-        ],
-    )
+    parts = [
+        lines(orphans.agg(F.count(F.lit(1)).alias("n")), (1, "link orphan pages", "n", F.col("n") > 0)),
+        lines(
+            stats,
+            (2, "raise the editorial share", "editorial_ratio", F.col("editorial_ratio") < cfg.min_editorial_ratio),
+            (4, "add editorial links", "avg_editorial_per_page",
+             F.col("avg_editorial_per_page") < cfg.min_links_per_page),
+        ),
+        lines(quality, (3, "describe short anchors", "too_short", F.col("too_short") > 0)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_link_recommendations(high: DataFrame, n: int = 20) -> DataFrame:
