@@ -209,30 +209,33 @@ STAGED = ("fx_links", "fx_link_pages")
 _staged: dict[tuple[str, str, str], str] = {}
 
 
-def register_tables(spark, sf_dir: str) -> None:
-    """The delivered tables as temporary views.
+def register_table(spark, sf_dir: str, table: str):
+    """A delivered table, also as a temporary view.
 
     A table that is one small file would be one task from the scan on; it is spread over the
     cores. Tables of more files than that are read as they are.
     """
+    data = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    for table in ("lineitem", "part", "pages", "documents", "embeddings"):
-        data = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-        if table in ("lineitem", "pages", "documents") and len(data.inputFiles()) < cores:
-            data = data.repartition(cores)
-        data.createOrReplaceTempView(table)
+    if table in ("lineitem", "pages", "documents") and len(data.inputFiles()) < cores:
+        data = data.repartition(cores)
+    data.createOrReplaceTempView(table)
+    return data
 
 
 def fixture(spark, sf_dir: str, name: str):
     """A fixture as a DataFrame over the tables of ``sf_dir``."""
-    register_tables(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key in _staged:
         return spark.read.parquet(_staged[key])
+    sql = FIXTURES[name]
+    sql = sql[0] if isinstance(sql, tuple) else sql
+    for table in ("lineitem", "part", "pages", "documents", "embeddings"):
+        if f" {table}" in sql:
+            register_table(spark, sf_dir, table)
     for needed in NEEDS.get(name, ()):
         fixture(spark, sf_dir, needed).createOrReplaceTempView(needed)
-    sql = FIXTURES[name]
-    table = spark.sql(sql[0] if isinstance(sql, tuple) else sql)
+    table = spark.sql(sql)
     if name not in STAGED:
         return table
     folder = f"{checkpoint_dir(spark).rstrip('/')}/linkaudit-{name}-{uuid.uuid4().hex}"

@@ -652,3 +652,43 @@ ORACLE["theme_words"] = _sql(
     body="""SELECT theme, n::INTEGER AS position, word, uses, round(0.8 + uses / max(uses) OVER (PARTITION BY theme) * 0.8, 6) AS size
     FROM rk WHERE n <= 10""",
 )
+
+# --- the whole audit -------------------------------------------------------------------------
+
+_TABLES = {
+    "funnel": "link_funnel",
+    "stats": "link_stats",
+    "score": "editorial_score",
+    "rules": "rule_breakdown",
+    "top_linking_pages": "top_linking_pages",
+    "most_linked_pages": "most_linked_pages",
+    "top_anchors": "top_anchors",
+    "over_repeated_anchors": "over_repeated_anchors",
+    "orphan_pages": "orphan_pages",
+    "destination_categories": "destination_category_counts",
+    "anchor_keywords": "anchor_keywords",
+    "network_nodes": "network_nodes",
+    "recommendations": "recommendations",
+    "word_count_stats": "word_count_stats",
+    "title_h1_summary": "title_h1_summary",
+    "conversion_pages": "conversion_pages",
+    "conversion_summary": "conversion_summary",
+    "similar_pairs_summary": "similar_pairs_summary",
+    "similar_pairs": "top_similar_pairs",
+    "similarity_scores": "top_similarity_scores",
+    "missing_links": "missing_link_recommendations",
+    "cluster_summary": "cluster_summary",
+    "largest_clusters": "largest_clusters",
+    "pillar_pages": "pillar_page_recommendations",
+}
+_PARTS = [f"SELECT '{name}' AS name, count(*) AS n_rows FROM ({ORACLE[q]})" for name, q in _TABLES.items()] + [
+    f"SELECT 'flagged_anchors', count(*) FROM ({ORACLE['anchor_quality']}) WHERE too_short OR keyword_stuffed OR url_anchor",
+    f"SELECT 'network_edges', least(500, count(*)) FROM ({ORACLE['network_edges']})",
+    "SELECT 'priority_advice', (SELECT count(*) FROM ({o}) WHERE n > 0) + (SELECT (editorial_ratio < 50)::INT + (avg_editorial_per_page < 2)::INT "
+    "FROM ({s})) + (SELECT (too_short > 0)::INT FROM ({q}))".format(
+        o=f"SELECT count(*) AS n FROM ({ORACLE['orphan_pages']})", s=ORACLE["link_stats"], q=ORACLE["anchor_quality_counts"]
+    ),
+    f"SELECT 'thin_pages', count(*) FROM ({ORACLE['word_count_band']}) WHERE band = 'thin'",
+    f"SELECT 'title_h1_different', count(*) FROM ({ORACLE['title_h1_coherence']}) WHERE status = 'different'",
+]
+ORACLE["audit_tables"] = "\nUNION ALL ".join(_PARTS)

@@ -28,7 +28,7 @@ from ..plans import audit
 from ..session import checkpoint_dir
 from ..sources import attributes, sinks, sitemap
 from ..sources.csv import canonical_links, read_csv, read_links_csv
-from .fixtures import HOST, SITE, fixture
+from .fixtures import HOST, SITE, fixture, register_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,14 +530,12 @@ def dedupe_urls(spark, sf):
 
 @query
 def extract_page_links(spark, sf):
-    fixture(spark, sf, "fx_page_attrs")
-    return P.extract_page_links(spark.table("pages")).select("page_url", "position", "href", "text", "in_zone", "in_nav")
+    return P.extract_page_links(register_table(spark, sf, "pages")).select("page_url", "position", "href", "text", "in_zone", "in_nav")
 
 
 @query
 def extract_flat_links(spark, sf):
-    fixture(spark, sf, "fx_page_attrs")
-    return P.extract_flat_links(spark.table("pages"))
+    return P.extract_flat_links(register_table(spark, sf, "pages"))
 
 
 @query
@@ -559,14 +557,12 @@ def content_links_of_link_pages(spark, sf):
 
 @query
 def page_attributes(spark, sf):
-    fixture(spark, sf, "fx_page_attrs")
-    return P.page_attributes(spark.table("pages"))
+    return P.page_attributes(register_table(spark, sf, "pages"))
 
 
 @query
 def clean_html(spark, sf):
-    fixture(spark, sf, "fx_page_attrs")
-    return spark.table("pages").select("url", H.clean_html(F.col("html")).alias("html"))
+    return register_table(spark, sf, "pages").select("url", H.clean_html(F.col("html")).alias("html"))
 
 
 # --- expressions ---------------------------------------------------------------------------------
@@ -606,8 +602,7 @@ def embed_texts(spark, sf):
 
 @query
 def embedding_cache_stats(spark, sf):
-    fixture(spark, sf, "fx_clusters")
-    return V.embedding_cache_stats(spark.table("embeddings"))
+    return V.embedding_cache_stats(register_table(spark, sf, "embeddings"))
 
 
 @query

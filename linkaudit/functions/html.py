@@ -77,14 +77,14 @@ class LinkScanner(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._end_text()
-        attrs = {k: v or "" for k, v in attrs}
-        marks = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        nav = tag in NAV_TAGS or any(m in marks for m in NAV_MARKERS)
-        zone = tag in self.zone_tags or (
-            tag == "div" and not self.zone_classes.isdisjoint(attrs.get("class", "").split())
-        )
         if tag in VOID_TAGS:
             return
+        nav, zone = tag in NAV_TAGS, tag in self.zone_tags
+        attrs = {k: v or "" for k, v in attrs} if attrs else {}
+        if "class" in attrs or "id" in attrs:
+            marks = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+            nav = nav or any(m in marks for m in NAV_MARKERS)
+            zone = zone or (tag == "div" and not self.zone_classes.isdisjoint(attrs.get("class", "").split()))
         self.stack.append(_Element(tag, nav, zone, len(self.texts), attrs.get("href") if tag == "a" else None))
         if self.stack[-1].href is not None:
             around = self.stack[:-1]
