@@ -206,7 +206,7 @@ NEEDS = {
 
 #: Fixtures that stand for stored exports: written once per session, then read like any table.
 STAGED = ("fx_links", "fx_link_pages")
-_staged: dict[tuple[str, str, str], str] = {}
+_staged: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def register_table(spark, sf_dir: str, table: str):
@@ -227,7 +227,8 @@ def fixture(spark, sf_dir: str, name: str):
     """A fixture as a DataFrame over the tables of ``sf_dir``."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key in _staged:
-        return spark.read.parquet(_staged[key])
+        folder, schema = _staged[key]
+        return spark.read.schema(schema).parquet(folder)
     sql = FIXTURES[name]
     sql = sql[0] if isinstance(sql, tuple) else sql
     for table in ("lineitem", "part", "pages", "documents", "embeddings"):
@@ -240,8 +241,8 @@ def fixture(spark, sf_dir: str, name: str):
         return table
     folder = f"{checkpoint_dir(spark).rstrip('/')}/linkaudit-{name}-{uuid.uuid4().hex}"
     table.write.parquet(folder)
-    _staged[key] = folder
-    return spark.read.parquet(folder)
+    _staged[key] = folder, table.schema
+    return spark.read.schema(table.schema).parquet(folder)
 
 
 def duckdb_with(*names: str) -> str:

@@ -345,7 +345,7 @@ ORACLE["orphan_pages_of_list"] = _links(
     "fx_urls",
 )
 ORACLE["page_profile"] = _links(
-    """SELECT url, bool_or(s) AS is_source, sum(o)::BIGINT AS outlinks, sum(i)::BIGINT AS inlinks, sum(ob)::BIGINT AS outbound,
+    """SELECT url, bool_or(s) AS is_source, sum(s::INT)::BIGINT AS internal_out, sum(o)::BIGINT AS outlinks, sum(i)::BIGINT AS inlinks, sum(ob)::BIGINT AS outbound,
     sum(ib)::BIGINT AS inbound FROM (
     SELECT source AS url, true AS s, (NOT mech)::INT AS o, 0 AS i, (NOT mech AND source <> destination)::INT AS ob, 0 AS ib FROM il
     UNION ALL SELECT destination, false, 0, (NOT mech)::INT, 0, (NOT mech AND source <> destination)::INT FROM il) GROUP BY url"""

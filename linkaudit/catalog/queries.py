@@ -305,7 +305,7 @@ def anchor_quality_counts(spark, sf):
 
 @query
 def editorial_score(spark, sf):
-    scored = A.editorial_score(internal(spark, sf))
+    scored = A.editorial_score(classified(spark, sf))
     return scored.withColumn("score", F.round("score", 6))
 
 

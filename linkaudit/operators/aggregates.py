@@ -25,35 +25,97 @@ def top(df: DataFrame, n: int, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(n)
 
 
+RULES = ("origin", "link_type", "anchor_pattern", "path", "selector", "short_anchor", "url_anchor")
+QUALITY_BUCKETS = ("too_short", "too_long", "good", "keyword_stuffed", "url_anchor")
+
 # --- whole-table figures, one pass each ----------------------------------------
 
 
-def link_funnel(classified: DataFrame) -> DataFrame:
-    """Totals over all links of an export, classified or not worth classifying."""
+def link_figures(classified: DataFrame) -> DataFrame:
+    """Every whole-table count of an audit from one pass: funnel, rules and quality buckets, one row."""
     valid = is_valid()
     internal = valid & is_internal()
     mechanical = F.col("is_mechanical")
-    return classified.agg(
+    flags = quality_flags(F.col("anchor"))
+    judged = classified.select(
+        valid.alias("valid"),
+        internal.alias("internal"),
+        (internal & ~mechanical).alias("editorial"),
+        F.when(internal & mechanical, F.col("rule")).alias("rule"),
+        *(F.when(internal & ~mechanical, flags[b]).alias(b) for b in QUALITY_BUCKETS),
+    )
+    return judged.agg(
         F.count(F.lit(1)).alias("total_links"),
-        count_if(internal).alias("internal_links"),
-        count_if(valid & ~internal).alias("external_links"),
-        count_if(internal & mechanical).alias("mechanical_links"),
-        count_if(internal & ~mechanical).alias("editorial_links"),
-        count_if(~valid).alias("errors"),
-    ).withColumn("editorial_ratio", ratio(F.col("editorial_links"), F.col("internal_links"), 100.0))
+        count_if(F.col("internal")).alias("internal_links"),
+        count_if(F.col("valid") & ~F.col("internal")).alias("external_links"),
+        count_if(F.col("rule").isNotNull()).alias("mechanical_links"),
+        count_if(F.col("editorial")).alias("editorial_links"),
+        count_if(~F.col("valid")).alias("errors"),
+        *(count_if(F.col("rule") == r).alias(f"rule_{r}") for r in RULES),
+        *(count_if(F.col(b)).alias(b) for b in QUALITY_BUCKETS),
+    )
+
+
+FUNNEL = ("total_links", "internal_links", "external_links", "mechanical_links", "editorial_links", "errors")
+
+
+def link_funnel(classified: DataFrame) -> DataFrame:
+    """Totals over all links of an export, classified or not worth classifying."""
+    return funnel_of(link_figures(classified))
+
+
+def funnel_of(figures: DataFrame) -> DataFrame:
+    share = ratio(F.col("editorial_links"), F.col("internal_links"), 100.0)
+    return figures.select(*FUNNEL, share.alias("editorial_ratio"))
+
+
+def rules_of(figures: DataFrame) -> DataFrame:
+    """Mechanical links per rule that fired."""
+    counts = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"rule_{r}").alias("links")) for r in RULES))
+    return figures.select(F.explode(counts).alias("c")).select("c.*").where("links > 0")
+
+
+def score_of(figures: DataFrame) -> DataFrame:
+    """Editorial score with the counts it comes from."""
+    share = ratio(F.col("editorial_links"), F.col("total_internal_links"), 100.0)
+    counts = figures.withColumnRenamed("internal_links", "total_internal_links").withColumn("editorial_ratio", share)
+    score = score_expression(
+        *(F.col(c) for c in ("editorial_links", "editorial_ratio", "too_short", "too_long", "good")),
+        F.col("keyword_stuffed"),
+        F.col("url_anchor"),
+    )
+    return counts.select(
+        "total_internal_links", "editorial_links", *QUALITY_BUCKETS, "editorial_ratio", score.alias("score")
+    ).withColumn("rating", score_rating(F.col("score")))
+
+
+def stats_of(profile: DataFrame) -> DataFrame:
+    """The figures of ``link_stats`` from a page profile, without another pass over the links."""
+    sums = profile.agg(
+        count_if(F.col("is_source")).alias("total_pages"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in
+          (("internal_out", "total_internal_links"), ("outlinks", "editorial_links"))),
+    )
+    return _with_ratios(
+        sums.withColumn("mechanical_links", F.col("total_internal_links") - F.col("editorial_links"))
+    )
+
+
+def _with_ratios(stats: DataFrame) -> DataFrame:
+    return stats.withColumn(
+        "avg_editorial_per_page", ratio(F.col("editorial_links"), F.col("total_pages"))
+    ).withColumn("editorial_ratio", ratio(F.col("editorial_links"), F.col("total_internal_links"), 100.0))
 
 
 def link_stats(internal: DataFrame) -> DataFrame:
     """Figures over classified internal links."""
-    return (
+    return _with_ratios(
         internal.agg(
             F.count_distinct("source").alias("total_pages"),
             F.count(F.lit(1)).alias("total_internal_links"),
             count_if(~F.col("is_mechanical")).alias("editorial_links"),
             count_if(F.col("is_mechanical")).alias("mechanical_links"),
         )
-        .withColumn("avg_editorial_per_page", ratio(F.col("editorial_links"), F.col("total_pages")))
-        .withColumn("editorial_ratio", ratio(F.col("editorial_links"), F.col("total_internal_links"), 100.0))
     )
 
 
@@ -136,9 +198,6 @@ def destination_category_counts(internal: DataFrame) -> DataFrame:
 # --- anchor quality and score -----------------------------------------------------
 
 
-QUALITY_BUCKETS = ("too_short", "too_long", "good", "keyword_stuffed", "url_anchor")
-
-
 def anchor_quality_counts(internal: DataFrame) -> DataFrame:
     """Editorial links per quality bucket, one row."""
     flags = quality_flags(F.col("anchor"))
@@ -165,24 +224,9 @@ def score_expression(
     return F.when(e == 0, F.lit(0.0)).otherwise(bounded)
 
 
-def editorial_score(internal: DataFrame) -> DataFrame:
-    """Score with the counts it comes from, in one pass over the classified internal links."""
-    flags = quality_flags(F.col("anchor"))
-    kept = ~F.col("is_mechanical")
-    counts = internal.agg(
-        F.count(F.lit(1)).alias("total_internal_links"),
-        count_if(kept).alias("editorial_links"),
-        *(count_if(kept & flags[b]).alias(b) for b in QUALITY_BUCKETS),
-    )
-    scored = counts.withColumn(
-        "editorial_ratio", ratio(F.col("editorial_links"), F.col("total_internal_links"), 100.0)
-    )
-    score = score_expression(
-        *(F.col(c) for c in ("editorial_links", "editorial_ratio", "too_short", "too_long", "good")),
-        F.col("keyword_stuffed"),
-        F.col("url_anchor"),
-    )
-    return scored.withColumn("score", score).withColumn("rating", score_rating(F.col("score")))
+def editorial_score(classified: DataFrame) -> DataFrame:
+    """Score with the counts it comes from, in one pass over the classified links."""
+    return score_of(link_figures(classified))
 
 
 def anchor_diversity(anchors: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from .classify import editorial
 def page_profile(internal: DataFrame, ignore_self_links: bool = False) -> DataFrame:
     """One row per URL of the internal links, from one scan and one shuffle.
 
-    ``outlinks`` and ``inlinks`` are editorial; ``inbound`` and ``outbound`` leave out self links;
-    ``is_source`` marks pages that hold any internal link. Every link adds one row per end, and
+    ``internal_out`` counts all links a page holds, ``outlinks`` and ``inlinks`` the editorial ones,
+    ``outbound`` and ``inbound`` those without self links; ``is_source`` marks pages that hold any.
+    Every link adds one row per end, and
     these are summed before the shuffle, so a page that holds a third of all links costs no more
     than another.
     """
@@ -28,11 +29,11 @@ def page_profile(internal: DataFrame, ignore_self_links: bool = False) -> DataFr
 
     ends = F.array(
         F.struct(
-            F.col("source").alias("url"), yes.alias("is_source"), flag(kept).alias("outlinks"), no.alias("inlinks"),
+            F.col("source").alias("url"), yes.alias("internal_out"), flag(kept).alias("outlinks"), no.alias("inlinks"),
             flag(between).alias("outbound"), no.alias("inbound"),
         ),
         F.struct(
-            F.col("destination").alias("url"), no.alias("is_source"), no.alias("outlinks"),
+            F.col("destination").alias("url"), no.alias("internal_out"), no.alias("outlinks"),
             flag(counted_in).alias("inlinks"), no.alias("outbound"), flag(between).alias("inbound"),
         ),
     )
@@ -41,8 +42,8 @@ def page_profile(internal: DataFrame, ignore_self_links: bool = False) -> DataFr
         .select("end.*")
         .groupBy("url")
         .agg(
-            (F.max("is_source") == 1).alias("is_source"),
-            *(F.sum(c).alias(c) for c in ("outlinks", "inlinks", "outbound", "inbound")),
+            (F.sum("internal_out") > 0).alias("is_source"),
+            *(F.sum(c).alias(c) for c in ("internal_out", "outlinks", "inlinks", "outbound", "inbound")),
         )
     )
 
@@ -55,24 +56,29 @@ def orphan_pages(
     ``pages (url)`` adds pages that hold no link at all. ``ignore_self_links`` keeps a page from
     being rescued by its own link.
     """
-    profile = page_profile(internal, ignore_self_links)
+    profile = page_profile(internal, ignore_self_links).select("url", "is_source", "inlinks")
     if pages is not None:
-        listed = pages.select(
-            "url", F.lit(True).alias("is_source"), *(F.lit(0).cast("bigint").alias(c) for c in profile.columns[2:])
-        )
+        listed = pages.select("url", F.lit(True).alias("is_source"), F.lit(0).cast("bigint").alias("inlinks"))
         profile = (
             profile.unionByName(listed)
             .groupBy("url")
             .agg(F.max("is_source").alias("is_source"), F.sum("inlinks").alias("inlinks"))
         )
+    return orphans_of(profile)
+
+
+def orphans_of(profile: DataFrame) -> DataFrame:
     return profile.where("is_source AND inlinks = 0").select("url")
 
 
 def network_nodes(internal: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     """The best connected pages with their degrees and a display label."""
+    return nodes_of(page_profile(internal), cfg)
+
+
+def nodes_of(profile: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     return (
-        page_profile(internal)
-        .where("inbound + outbound > 0")
+        profile.where("inbound + outbound > 0")
         .orderBy(F.desc(F.col("inbound") + F.col("outbound")), "url")
         .limit(cfg.network_nodes)
         .select(F.col("url").alias("id"), "inbound", "outbound", url_label(F.col("url")).alias("label"))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditConfig
 from ..functions.text import py_strip
-from .aggregates import anchor_counts, anchor_quality_counts, link_stats, over_repeated_anchors, top
+from ..session import cut_lineage
+from .aggregates import anchor_counts, anchor_quality_counts, over_repeated_anchors, stats_of, top
 from .classify import editorial, quality_flags
-from .graph import orphan_pages
+from .graph import orphans_of, page_profile
 
 COLUMNS = ("kind", "priority", "url", "problem", "recommendation", "details")
 WHOLE_SITE = "whole site"
@@ -84,14 +85,17 @@ def recommendations(
     internal: DataFrame,
     cfg: AuditConfig = AuditConfig(),
     site: str | None = None,
-    orphans: DataFrame | None = None,
+    profile: DataFrame | None = None,
     anchors: DataFrame | None = None,
-    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """All findings over classified internal links; pass tables already made to save their passes."""
-    orphans = orphan_pages(internal) if orphans is None else orphans
+    """All findings over classified internal links.
+
+    Orphans and site figures share the page profile, which is made once. Pass a profile or anchor
+    counts already made to save their passes.
+    """
+    profile = cut_lineage(page_profile(internal)) if profile is None else profile
     anchors = anchor_counts(internal) if anchors is None else anchors
-    stats = link_stats(internal) if stats is None else stats
+    orphans, stats = orphans_of(profile), stats_of(profile)
     uses = F.col("links").cast("string")
     always = F.lit(True)
     orphan = _finding("orphan page", "high", F.col("url"), "no editorial link leads here",
@@ -111,13 +115,12 @@ def recommendations(
 def priority_advice(
     internal: DataFrame,
     cfg: AuditConfig = AuditConfig(),
-    orphans: DataFrame | None = None,
-    stats: DataFrame | None = None,
+    profile: DataFrame | None = None,
     quality: DataFrame | None = None,
 ) -> DataFrame:
     """Up to four lines of advice, each with the figure that calls for it."""
-    orphans = orphan_pages(internal) if orphans is None else orphans
-    stats = link_stats(internal) if stats is None else stats
+    profile = cut_lineage(page_profile(internal)) if profile is None else profile
+    orphans, stats = orphans_of(profile), stats_of(profile)
     quality = anchor_quality_counts(internal) if quality is None else quality
 
     def lines(df: DataFrame, *wanted) -> DataFrame:

@@ -59,32 +59,25 @@ def classified_links(
 def link_tables(
     classified: DataFrame, cfg: AuditConfig = AuditConfig(), site: str | None = None, work_path: str | None = None
 ) -> dict[str, DataFrame]:
-    """Every table about links. Pages and anchors are each grouped once and shared."""
+    """Every table about links. All counts come from one pass; pages and anchors are each grouped once."""
     internal = internal_links(classified)
     profile = shared(graph.page_profile(internal), "page_profile", work_path)
     anchors = shared(agg.anchor_counts(internal), "anchor_counts", work_path)
-    stats = agg.link_stats(internal)
-    score = agg.editorial_score(internal)
-    orphans = profile.where("is_source AND inlinks = 0").select("url")
-    nodes = (
-        profile.where("inbound + outbound > 0")
-        .orderBy(F.desc(F.col("inbound") + F.col("outbound")), "url")
-        .limit(cfg.network_nodes)
-        .select(F.col("url").alias("id"), "inbound", "outbound", graph.url_label(F.col("url")).alias("label"))
-    )
+    figures = shared(agg.link_figures(classified), "link_figures", work_path)
+    nodes = shared(graph.nodes_of(profile, cfg), "network_nodes", work_path)
     edges = graph.network_edge_list(graph.network_edges(internal, nodes), cfg)
     outlinks = profile.where("outlinks > 0").select(F.col("url").alias("source"), F.col("outlinks").alias("links"))
     inlinks = profile.where("inlinks > 0").select(F.col("url").alias("destination"), F.col("inlinks").alias("links"))
     return {
-        "funnel": agg.link_funnel(classified),
-        "stats": stats,
-        "score": score,
-        "rules": agg.rule_breakdown(internal),
+        "funnel": agg.funnel_of(figures),
+        "stats": agg.stats_of(profile),
+        "score": agg.score_of(figures),
+        "rules": agg.rules_of(figures),
         "top_linking_pages": agg.top_linking_pages(outlinks),
         "most_linked_pages": agg.most_linked_pages(inlinks),
         "top_anchors": agg.top_anchors(anchors),
         "over_repeated_anchors": agg.over_repeated_anchors(anchors, cfg),
-        "orphan_pages": orphans,
+        "orphan_pages": graph.orphans_of(profile),
         "flagged_anchors": anchor_quality(internal)
         .where("too_short OR keyword_stuffed OR url_anchor")
         .select("anchor", "destination", "too_short", "keyword_stuffed", "url_anchor"),
@@ -92,8 +85,8 @@ def link_tables(
         "anchor_keywords": keywords.anchor_keywords(anchors, cfg),
         "network_nodes": nodes,
         "network_edges": edges,
-        "recommendations": recommend.recommendations(internal, cfg, site, orphans, anchors, stats),
-        "priority_advice": recommend.priority_advice(internal, cfg, orphans, stats, score),
+        "recommendations": recommend.recommendations(internal, cfg, site, profile, anchors),
+        "priority_advice": recommend.priority_advice(internal, cfg, profile, figures),
     }
 
 

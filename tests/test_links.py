@@ -211,6 +211,21 @@ def test_prefix_only_site_filter(links_of):
     assert R.internal_by_domain(links, "s.fr", strict=False).count() == 2
 
 
+def test_audit_tables_equal_the_single_operators(spark, sf, tmp_path):
+    classified = C.classify_links(canonical_links(fixture(spark, sf, "fx_links")))
+    inner = R.internal_links(classified)
+    tables = audit.link_tables(classified, work_path=str(tmp_path))
+    single = {
+        "funnel": A.link_funnel(classified), "stats": A.link_stats(inner), "score": A.editorial_score(classified),
+        "rules": A.rule_breakdown(inner), "orphan_pages": G.orphan_pages(inner),
+        "top_linking_pages": A.top_linking_pages(A.outlink_counts(inner)),
+        "most_linked_pages": A.most_linked_pages(A.inlink_counts(inner)),
+    }
+    for name, want in single.items():
+        got = tables[name].select(*want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), name
+
+
 def test_audit_with_a_work_path(spark, sf, tmp_path):
     links = canonical_links(fixture(spark, sf, "fx_links"))
     tables = audit.audit_tables(links, cfg=AuditConfig().with_options(enable_semantic_analysis=False), work_path=str(tmp_path))
