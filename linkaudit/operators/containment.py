@@ -1,0 +1,35 @@
+"""Joins on "one text is part of another" that stay linear in crowded groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: A group with more texts than this is matched by cut texts instead of pair by pair.
+HOT_TEXTS = 64
+
+
+def text_lengths(df: DataFrame, column: str) -> Column:
+    """The distinct lengths of a text column as one array: a scalar subquery of a few hundred numbers."""
+    return df.select(F.length(column).alias("n")).distinct().agg(F.sort_array(F.collect_list("n"))).scalar()
+
+
+def hot_groups(texts: DataFrame, keys: list[str], limit: int = HOT_TEXTS) -> DataFrame:
+    """The keys of groups with more than ``limit`` rows; their number is at most rows / limit."""
+    return texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*keys)
+
+
+def cut_texts(df: DataFrame, column: str, lengths: Column, name: str) -> DataFrame:
+    """Every part of a text that has one of the given lengths, as column ``name``.
+
+    Linear in the length of the text and in the number of lengths. Two texts of which one
+    contains the other meet in an equi-join on the part.
+    """
+    size = F.length(column)
+    starts = F.when(F.col("_n") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), size - F.col("_n") + 1))
+    return (
+        df.select("*", F.explode(lengths).alias("_n"))
+        .where(F.col("_n") <= size)
+        .select("*", F.explode(starts).alias("_start"))
+        .withColumn(name, F.substring(F.col(column), F.col("_start"), F.col("_n")))
+        .drop("_n", "_start")
+    )

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import py_strip
+from .containment import HOT_TEXTS, cut_texts, hot_groups, text_lengths
 
 EDITORIAL_CATEGORIES = ("EDITORIAL", "CALL_TO_ACTION")
 
 
-def _lengths(df: DataFrame, column: str) -> Column:
-    """The distinct text lengths of a column as one array: a scalar subquery of a few hundred numbers."""
-    return df.select(F.length(column).alias("n")).distinct().agg(F.sort_array(F.collect_list("n"))).scalar()
-
-
 def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
     """``(source, page_url)``: the labelled page each source belongs to.
 
@@ -28,7 +24,7 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     if page_match == "page":
         keyed = sources.select("source", F.regexp_extract("source", r"^([^?]*)", 1).alias("base"))
     else:
-        lengths = _lengths(pages, "base")
+        lengths = text_lengths(pages, "base")
         keyed = (
             sources.select("source", F.explode(lengths).alias("n"))
             .where(F.col("n") <= F.length("source"))
@@ -43,14 +39,17 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     )
 
 
-def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
+def match_labels(
+    links: DataFrame, labels: DataFrame, page_match: str = "prefix", hot_texts: int = HOT_TEXTS
+) -> DataFrame:
     """``(source, text, url, category, confidence)``: the first label that fits each distinct link.
 
     A label of the link's page fits if the texts are equal, or if one text contains the other and
     the link's URL ends in the label's last path segment. Links and labels are reduced to distinct
     rows first. Equal texts are an equi-join on page and text; the URL ends are one on page and
-    segment, with links cut to every length a segment has. The smallest label is kept as the
-    joined rows come, before any shuffle.
+    segment, with links cut to every length a segment has. Where a page has more than
+    ``hot_texts`` label texts for one segment, parts of texts are matched instead of pairs of
+    texts. The smallest label is kept as the joined rows come, before any shuffle.
     """
     wanted = links.select("source", "text", "url").distinct()
     wanted = wanted.join(label_page_of_sources(wanted.select("source").distinct(), labels, page_match), "source")
@@ -69,15 +68,33 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
     key = ["source", "text", "url"]
     equal = wanted.join(by_text, ["page_url", "text"]).select(*key, "label")
     ends = (
-        wanted.select("*", F.explode(_lengths(offered, "segment")).alias("n"))
+        wanted.select("*", F.explode(text_lengths(offered, "segment")).alias("n"))
         .where(F.col("n") <= F.length("url"))
         .withColumn("segment", F.when(F.col("n") == 0, F.lit("")).otherwise(F.expr("right(url, n)")))
     )
+    ends = ends.drop("n")
+    group = ["page_url", "segment"]
+    hot = hot_groups(by_segment, group, hot_texts)
     contained = (
-        ends.join(by_segment, ["page_url", "segment"])
+        ends.join(hot, group, "left_anti")
+        .join(by_segment, group)
         .where(F.col("label_text").contains(F.col("text")) | F.col("text").contains(F.col("label_text")))
         .select(*key, "label")
     )
+    crowded, crowd = ends.join(hot, group, "left_semi"), by_segment.join(hot, group, "left_semi")
+    label_parts = (
+        cut_texts(crowd, "label_text", text_lengths(crowded, "text"), "part")
+        .groupBy(*group, F.col("part").alias("text"))
+        .agg(F.min("label").alias("label"))
+    )
+    in_label = crowded.join(label_parts, [*group, "text"]).select(*key, "label")
+    texts = crowded.select(*group, "text").distinct()
+    text_parts = cut_texts(texts, "text", text_lengths(crowd, "label_text"), "label_text").distinct()
+    best_of_text = (
+        text_parts.join(crowd, [*group, "label_text"]).groupBy(*group, "text").agg(F.min("label").alias("label"))
+    )
+    in_text = crowded.join(best_of_text, [*group, "text"]).select(*key, "label")
+    contained = contained.unionByName(in_label).unionByName(in_text)
     return (
         equal.unionByName(contained)
         .groupBy(*key)
@@ -86,14 +103,16 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
     )
 
 
-def apply_label_overrides(classified: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
+def apply_label_overrides(
+    classified: DataFrame, labels: DataFrame, page_match: str = "prefix", hot_texts: int = HOT_TEXTS
+) -> DataFrame:
     """Classified links with ``is_mechanical`` turned round where a label says otherwise.
 
     Adds ``label_corrected``, ``label_category`` and ``label_confidence``, the latter two set on
     corrected links only.
     """
     links = classified.withColumn("text", py_strip(F.lower("anchor"))).withColumn("url", py_strip(F.lower("destination")))
-    found = match_labels(links, labels, page_match)
+    found = match_labels(links, labels, page_match, hot_texts)
     joined = links.join(found, ["source", "text", "url"], "left")
     says_editorial = F.col("category").isin(*EDITORIAL_CATEGORIES)
     corrected = F.coalesce(F.col("is_mechanical") == says_editorial, F.lit(False))

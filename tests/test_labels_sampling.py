@@ -23,7 +23,8 @@ def expected(link, labels):
     return None
 
 
-def test_overrides_follow_the_rules(spark, links_of):
+@pytest.mark.parametrize("hot_texts", [64, 2, 0])
+def test_overrides_follow_the_rules(spark, links_of, hot_texts):
     rng = random.Random(3)
     words = ["bois", "bois clair", "Clair", "", "pin", "accueil", "12"]
     urls = ["https://s.fr/a/bois", "https://s.fr/b/", "https://s.fr/clair", "/x/bois", "clair"]
@@ -34,7 +35,7 @@ def test_overrides_follow_the_rules(spark, links_of):
     ]
     links = [(f"https://s.fr/{s}", rng.choice(urls), rng.choice(words)) for s in ("p", "p1", "p12", "q?y", "r") for _ in range(30)]
     table = spark.createDataFrame(labels, "page_url string, href string, text string, category string, confidence double, ord int")
-    got = L.apply_label_overrides(C.classify_links(links_of(links)), table)
+    got = L.apply_label_overrides(C.classify_links(links_of(links)), table, hot_texts=hot_texts)
     assert got.count() == len(links)
     for r in got.collect():
         label = expected((r.source, r.destination, r.anchor), labels)

@@ -62,7 +62,8 @@ def test_flat_and_nested_extraction_agree(spark, sf):
     assert nested.exceptAll(flat).isEmpty() and flat.exceptAll(nested).isEmpty()
 
 
-def test_match_rules(spark, links_of):
+@pytest.mark.parametrize("hot_texts", [64, 1, 0])
+def test_match_rules(spark, links_of, hot_texts):
     page = "https://s.fr/p"
     offered = spark.createDataFrame(
         [(page, "https://s.fr/x/", " Guide du Bois "), (page, "https://s.fr/y", "abcd"), ("https://s.fr/q", "https://s.fr/z", "zzzz")],
@@ -75,7 +76,7 @@ def test_match_rules(spark, links_of):
             (page, "https://s.fr/x", "Guide du Bois"),
         ]
     )
-    kept = sorted((r.destination, r.anchor) for r in P.match_editorial_links(links, offered).collect())
+    kept = sorted((r.destination, r.anchor) for r in P.match_editorial_links(links, offered, hot_texts=hot_texts).collect())
     assert kept == [("https://s.fr/x", "Guide du Bois")] * 2 + [("https://s.fr/x//", "bois"), ("https://s.fr/y", "ABCD")]
 
 
