@@ -86,7 +86,7 @@ def test_quality_flags(spark, anchor, flags):
     assert {n for n in row.asDict() if row[n]} == set(flags.split())
 
 
-def reference_score(e, ratio, short=0, long=0, good=0, stuffed=0, url=0):
+def expected_score(e, ratio, short=0, long=0, good=0, stuffed=0, url=0):
     if e == 0:
         return 0.0
     base = next(b for limit, b in ((70, 90), (50, 70), (30, 50), (15, 30), (-1, 10)) if ratio >= limit)
@@ -103,7 +103,7 @@ def test_score_formula(spark, e, ratio):
         row = spark.createDataFrame([(e, ratio, *counts)], "e long, r double, " + ", ".join(f"{n} long" for n in names))
         got = row.select(A.score_expression(F.col("e"), F.col("r"), *(F.col(n) for n in names))).first()[0]
         short, long, good, stuffed, url = counts
-        assert got == pytest.approx(reference_score(e, ratio, short, long, good, stuffed, url))
+        assert got == pytest.approx(expected_score(e, ratio, short, long, good, stuffed, url))
 
 
 def test_figures_of_empty_links(links_of):
