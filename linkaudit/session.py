@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
+    """The shared checkpoint folder of the session; a session without one gets an error.
 
-    A machine-local folder is used only by a local session without a setting; on a cluster a
-    missing setting is an error, as other executors could not read such a folder.
+    Other executors cannot read a machine-local folder, so none is made up here. Programs that
+    run on one machine can call ``local_checkpoint_dir`` first.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -19,13 +19,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="linkaudit-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured)
     return configured
 
 
+def local_checkpoint_dir(spark: SparkSession) -> None:
+    """Name a temporary folder for a session in one process that has no checkpoint folder yet."""
+    context = spark.sparkContext
+    unset = not context.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None)
+    if unset and context.master.startswith("local[") or unset and context.master == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="linkaudit-checkpoint-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there.
 
