@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkaudit.llm import simhash
+from linkaudit.llm import decontaminate, quality, simhash
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,3 +21,14 @@ def query(fn: Query) -> Query:
 @query
 def op5_simhash_near_duplicates(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, max_bits=4)
+
+
+@query
+def op8_benchmark_decontamination(spark, sf):
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=13)
+
+
+@query
+def op1_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf, "labels"), max_rows=20_000))
