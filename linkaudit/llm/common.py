@@ -62,8 +62,8 @@ def running_total(
     buckets of the draw; each is summed on its own and starts at the total of the buckets before
     it. No task holds a whole group, however large. ``df`` is read twice and must be stable.
     """
-    bucket = free_name(df, "bucket")
-    before, last = free_name(df, "before"), free_name(df, "last_of_group")
+    bucket = free_name(df, "__bucket")
+    before, last = free_name(df, "__before"), free_name(df, "__in_bucket")
     n = max(1, math.ceil(df.count() / rows_per_bucket))
     cut = df.withColumn(bucket, F.floor(F.col(draw) * n).cast("int"))
     totals = cut.groupBy(*groups, bucket).agg(F.sum(value).alias(last))
