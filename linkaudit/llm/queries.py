@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkaudit.llm import decontaminate, quality, simhash
+from linkaudit.llm import decontaminate, mixing, quality, sharding, simhash
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,13 @@ def op8_benchmark_decontamination(spark, sf):
 def op1_quality_classifier(spark, sf):
     docs = table(spark, sf, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf, "labels"), max_rows=20_000))
+
+
+@query
+def op3_hash_tree_sharding(spark, sf):
+    return sharding.report(table(spark, sf, "documents"), shards=16)
+
+
+@query
+def op6_temperature_mixing(spark, sf):
+    return mixing.schedule(table(spark, sf, "documents"), blocks=64, entropy_share=0.95, max_repeats=4.0)
