@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkaudit.llm import decontaminate, mixing, quality, sharding, simhash
+from linkaudit.llm import decontaminate, mixing, planes, quality, sharding, simhash
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,9 @@ def op3_hash_tree_sharding(spark, sf):
 @query
 def op6_temperature_mixing(spark, sf):
     return mixing.schedule(table(spark, sf, "documents"), blocks=64, entropy_share=0.95, max_repeats=4.0)
+
+
+@query
+def op2_bit_plane_token_ids(spark, sf):
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return planes.written_and_read(table(spark, sf, "documents"), vocabulary, end_id=2, by_word=True)
