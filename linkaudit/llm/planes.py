@@ -146,7 +146,8 @@ class Encoder:
 
     ``by_word`` is for tokenizers whose tokens never cross ASCII white space and that drop it: words are then encoded once and kept, up to
     ``kept`` of them. The end of a word that is ASCII punctuation after an ASCII letter or digit is a token run of its own
-    for these tokenizers, and letters have no case, so more words are alike. All else is encoded as it stands.
+    for these tokenizers, and letters have no case, so more words are alike; a run of small ASCII letters goes to the model
+    itself. All else is encoded as it stands.
     """
 
     def __init__(self, path: str, by_word: bool, kept: int = 500_000):
@@ -164,18 +165,18 @@ class Encoder:
         known = self.known
         if len(known) > self.kept:
             known.clear()
-        new: dict[bytes, tuple[bytes, bytes]] = {}
         split = [t.split() for t in texts]
-        for words in split:
-            for w in words:
-                if w not in known and w not in new:
-                    new[w] = self._parts(w)
-        wanted = list(dict.fromkeys(p for parts in new.values() for p in parts if p and p not in known))
-        for at in range(0, len(wanted), 4096):
-            some = wanted[at : at + 4096]
+        new = {w: self._parts(w) for w in sorted(set().union(*split).difference(known))}
+        wanted = {p for parts in new.values() for p in parts if p}.difference(known)
+        plain = [p for p in wanted if p.isalpha() and p.islower()]  # ASCII letters reach the model as they are
+        tokenize = self.tokenizer.model.tokenize
+        known.update({p: np.array([t.id for t in tokenize(p.decode())], dtype="<u4").tobytes() for p in plain})
+        others = sorted(wanted.difference(plain))
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
             known.update(zip(some, self._batch([w.decode() for w in some])))
         known.update({w: known[a] + (known[b] if b else b"") for w, (a, b) in new.items()})
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
