@@ -23,7 +23,7 @@ def new_file(uri: str, stem: str, ending: str) -> tuple[str, object]:
     system, path = open_folder(uri)
     system.create_dir(path, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex}{ending}"
-    return name, system.open_output_stream(f"{path}/{name}")
+    return name, system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_file(uri: str, name: str):

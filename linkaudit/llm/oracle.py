@@ -25,5 +25,47 @@ found AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM docs LEFT JOIN spots USING (r) LEFT JOIN found USING (r)
+""",
+    "op4_warc_bundles": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest, CASE WHEN first != page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first != page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest AND n >= 100
+""",
+    "op6_temperature_mixing": """
+WITH RECURSIVE r AS (SELECT doc_id, source, strlen(coalesce(text, '')) // 4 + 1 AS tokens FROM documents),
+s AS (SELECT source, sum(tokens)::BIGINT AS source_tokens FROM r GROUP BY source),
+t AS (SELECT sum(source_tokens)::BIGINT AS total, count(*) AS sources FROM s),
+l AS (SELECT source, source_tokens, ln(source_tokens / total::DOUBLE) AS log_p FROM s, t),
+e AS (
+    SELECT 0 AS k, 0::DOUBLE AS lo, 1::DOUBLE AS hi
+    UNION ALL
+    SELECT k + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END
+    FROM (
+        SELECT k, lo, hi, (lo + hi) / 2 AS mid,
+            (SELECT ln(sum(exp(log_p * ((lo + hi) / 2)))) - sum(exp(log_p * ((lo + hi) / 2)) * log_p * ((lo + hi) / 2)) / sum(exp(log_p * ((lo + hi) / 2)))
+                > ln(count(*)::DOUBLE) * 0.95 FROM l) AS flat
+        FROM e WHERE k < 40)),
+m AS (
+    SELECT 0 AS k, 0::DOUBLE AS lo, 1::DOUBLE AS hi
+    UNION ALL
+    SELECT k + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END
+    FROM (
+        SELECT k, lo, hi, (lo + hi) / 2 AS mid,
+            (SELECT max(exp(log_p * ((lo + hi) / 2 - 1))) / sum(exp(log_p * ((lo + hi) / 2))) > 4 FROM l) AS flat
+        FROM m WHERE k < 40)),
+x AS (SELECT round(greatest((SELECT max(hi) FROM e WHERE k = 40), (SELECT max(hi) FROM m WHERE k = 40)), 9) AS x),
+w AS (SELECT source, source_tokens, round(exp(log_p * x) / (SELECT sum(exp(log_p * x)) FROM l, x) * total)::BIGINT AS quota FROM l, x, t),
+q AS (SELECT *, quota // source_tokens AS epochs FROM w),
+c AS (SELECT doc_id, r.source, tokens, source_tokens, quota, unnest(range(0, epochs + 1)) AS epoch FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source),
+d AS (
+    SELECT *, (('0x' || substr(md5('mix:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS draw,
+        (('0x' || substr(md5('mix:place:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS place
+    FROM c),
+o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d)
+SELECT doc_id, source, epoch::INTEGER AS epoch, tokens::BIGINT AS tokens,
+    floor((epoch * source_tokens + before) * 64 / quota::DOUBLE)::INTEGER AS block, place
+FROM o WHERE epoch * source_tokens + before + tokens <= quota
 """,
 }

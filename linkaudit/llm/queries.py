@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkaudit.llm import decontaminate, mixing, planes, quality, sharding, simhash
+from linkaudit.llm import decontaminate, mixing, planes, quality, sharding, simhash, warc
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op6_temperature_mixing(spark, sf):
 def op2_bit_plane_token_ids(spark, sf):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return planes.written_and_read(table(spark, sf, "documents"), vocabulary, end_id=2, by_word=True)
+
+
+@query
+def op4_warc_bundles(spark, sf):
+    return warc.written_and_read(table(spark, sf, "pages"), least_bytes=100)
