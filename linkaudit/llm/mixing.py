@@ -14,6 +14,7 @@ are made per slice of the hash, so a source with a third of all rows is spread l
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql.window import Window
 
 from linkaudit.llm.common import hash_unit, running_total, stored
 
-_AT_ONCE = 15  # exponents tried in one pass: four halvings
-_PASSES = 10
+_AT_ONCE = 31  # exponents tried in one pass: five halvings
+_PASSES = 8
 
 
 def token_estimate(text: Column) -> Column:
@@ -30,19 +31,19 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(F.coalesce(text, F.lit("")).cast("binary")) / 4).cast("long") + 1
 
 
-def _bisected(shares: DataFrame, high: float, too_flat) -> float:
-    """The least exponent in [0, ``high``], to 40 halvings, that is not too flat.
+def _bisected(shares: DataFrame, high: float, aims: list[Callable[[float], Column]]) -> list[float]:
+    """For each aim the least exponent in [0, ``high``], to 40 halvings, that is not too flat.
 
-    ``too_flat`` maps an exponent to a condition on sums over ``log_p``; one pass over the sources tries several
-    exponents, and one row comes back.
+    An aim maps an exponent to the condition, on sums over ``log_p``, that it is too flat. One pass over the sources tries several
+    exponents for all aims, and one row comes back.
     """
-    low, step = 0.0, high / (_AT_ONCE + 1)
+    lows, step = [0.0] * len(aims), high / (_AT_ONCE + 1)
     for _ in range(_PASSES):
-        tried = [low + step * k for k in range(1, _AT_ONCE + 1)]
-        flags = shares.agg(*[too_flat(x).alias(f"x{k}") for k, x in enumerate(tried)]).first()
-        low += step * sum(map(bool, flags))
+        tried = [aim(low + step * k) for aim, low in zip(aims, lows) for k in range(1, _AT_ONCE + 1)]
+        flags = list(map(bool, shares.agg(*[c.alias(f"x{k}") for k, c in enumerate(tried)]).first()))
+        lows = [low + step * sum(flags[n * _AT_ONCE : (n + 1) * _AT_ONCE]) for n, low in enumerate(lows)]
         step /= _AT_ONCE + 1
-    return low + step * (_AT_ONCE + 1)
+    return [low + step * (_AT_ONCE + 1) for low in lows]
 
 
 def exponent(
@@ -65,12 +66,8 @@ def exponent(
     def repeats_above(x: float) -> Column:
         return F.max(F.exp(log_p * (x - 1))) / norm(x) * (budget / max(1, tokens)) > max_repeats
 
-    found = [0.0 if entropy_share or max_repeats else 1.0]
-    if entropy_share:
-        found.append(_bisected(shares, high, entropy_above))
-    if max_repeats:
-        found.append(_bisected(shares, high, repeats_above))
-    return round(max(found), 9)
+    aims = ([entropy_above] if entropy_share else []) + ([repeats_above] if max_repeats else [])
+    return round(max(_bisected(shares, high, aims)), 9) if aims else 1.0
 
 
 def mixing_plan(
@@ -89,7 +86,7 @@ def mixing_plan(
     shares = sources.withColumn("log_p", F.log(F.col("source_tokens") / F.lit(float(max(1, total)))))
     x = exponent(shares, total, budget, entropy_share, max_repeats) if total else 1.0
     norm = (shares.agg(F.sum(F.exp(F.col("log_p") * x))).first()[0] or 1.0) if total else 1.0
-    weighted = shares.withColumn("weight", F.exp(F.col("log_p") * x) / F.lit(norm)).withColumn("quota", F.floor(F.col("weight") * F.lit(float(budget))).cast("long"))
+    weighted = shares.withColumn("weight", F.exp(F.col("log_p") * x) / F.lit(norm)).withColumn("quota", F.round(F.col("weight") * F.lit(float(budget))).cast("long"))
     weighted = weighted.withColumn("epochs", F.floor(F.col("quota") / F.col("source_tokens")).cast("int"))
     weighted = weighted.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("source_tokens")).drop("log_p", "n")
     weighted = stored(weighted, "weights")
