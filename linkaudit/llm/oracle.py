@@ -67,5 +67,23 @@ o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY d
 SELECT doc_id, source, epoch::INTEGER AS epoch, tokens::BIGINT AS tokens,
     floor((epoch * source_tokens + before) * 64 / quota::DOUBLE)::INTEGER AS block, place
 FROM o WHERE epoch * source_tokens + before + tokens <= quota
+""",
+    "op9_reply_tree_chats": r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+    SELECT *, length(regexp_replace(replace(text, '\', '\\'),
+            '(<|\[)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])', '\1\\\2', 'g')) AS n,
+        length(regexp_replace(replace(role, '\', '\\'),
+            '(<|\[)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])', '\1\\\2', 'g'))
+        + length(role) - length(replace(role, chr(10), '')) AS n_role
+    FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n + n_role + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }
