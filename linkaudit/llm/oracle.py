@@ -85,5 +85,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(n + n_role + 24)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op7_embedding_near_duplicates": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT c.vec_id, l.b FROM c JOIN l ON c.r = l.a),
+m AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
 """,
 }

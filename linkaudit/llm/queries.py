@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkaudit.llm import chat, decontaminate, mixing, planes, quality, secrets, sharding, simhash, warc
+from linkaudit.llm import chat, decontaminate, mixing, planes, polytope, quality, secrets, sharding, simhash, warc
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op9_reply_tree_chats(spark, sf):
 @query
 def op10_secret_scan(spark, sf):
     return secrets.report(table(spark, sf, "documents"))
+
+
+@query
+def op7_embedding_near_duplicates(spark, sf):
+    return polytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9, tables=8, probes=4)
