@@ -72,9 +72,10 @@ def running_total(
         before,
         F.sum(last).over(Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
     ).drop(last)
-    t = totals.select(*[F.col(g).alias(f"{g}__t") for g in groups], F.col(bucket).alias("bucket__t"), F.col(before))
-    on = [F.col(g).eqNullSafe(F.col(f"{g}__t")) for g in groups] + [F.col(bucket) == F.col("bucket__t")]
+    other = {g: free_name(df, f"__total_{g}") for g in (*groups, bucket)}
+    t = totals.select(*[F.col(g).alias(name) for g, name in other.items()], F.col(before))
+    on = [F.col(g).eqNullSafe(F.col(other[g])) for g in groups] + [F.col(bucket) == F.col(other[bucket])]
     joined = cut.join(t, on)
     within = Window.partitionBy(*groups, bucket).orderBy(draw, *order).rowsBetween(Window.unboundedPreceding, -1)
     out = joined.withColumn(into, F.coalesce(F.col(before), F.lit(0)) + F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return out.drop(bucket, before, "bucket__t", *[f"{g}__t" for g in groups])
+    return out.drop(bucket, before, *other.values())

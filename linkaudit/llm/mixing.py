@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkaudit.llm.common import hash_unit, running_total, stored
+from linkaudit.llm.common import free_name, hash_unit, running_total, stored
 
 _AT_ONCE = 31  # exponents tried in one pass: five halvings
 _PASSES = 8
@@ -116,11 +116,10 @@ def draw_of(id_col: str, epoch: Column, seed: str) -> Column:
 
 def copies(rows: DataFrame, plan: DataFrame, id_col: str, source_col: str, seed: str = "mix", epoch: str = "epoch") -> DataFrame:
     """``rows`` once for each epoch that takes them, with all their columns and ``epoch``."""
-    p = plan.select(F.col("source").alias("__of"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    joined = rows.join(p, F.col(source_col).eqNullSafe(F.col("__of")))
-    taken = F.col("__epochs") + (draw_of(id_col, F.col("__epochs"), seed) < F.col("__cut")).cast("int")
-    every = joined.where(taken > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), taken - 1)))
-    return every.drop("__of", "__epochs", "__cut")
+    of, epochs, cut = (free_name(rows, n) for n in ("__of", "__epochs", "__cut"))
+    joined = rows.join(plan.select(F.col("source").alias(of), F.col("epochs").alias(epochs), F.col("cut").alias(cut)), F.col(source_col).eqNullSafe(F.col(of)))
+    taken = F.col(epochs) + (draw_of(id_col, F.col(epochs), seed) < F.col(cut)).cast("int")
+    return joined.where(taken > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), taken - 1))).drop(of, epochs, cut)
 
 
 def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, tokens: Column | None) -> DataFrame:
@@ -156,5 +155,5 @@ def mixed(
 ) -> DataFrame:
     """The documents as the mix has them: with their own columns, once for each epoch that takes them. The text is not shuffled."""
     plan = mixing_plan(_rows(docs, id_col, source_col, text_col, tokens), seed=seed, **aims)
-    epoch = "__epoch"
+    epoch = free_name(docs, "__epoch")
     return copies(docs, plan, id_col, source_col, seed, epoch).drop(epoch)

@@ -105,7 +105,7 @@ def report(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 
 def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns and ``shard`` and ``slot``, ready to be written by shard."""
+    """The documents with all their columns and ``shard`` and ``slot``, ready to be written by shard; columns of these two names are replaced."""
     return with_slots(assigned(docs, tree_of(shards), id_col, "shard"), id_col, text_col)
 
 

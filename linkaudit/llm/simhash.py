@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkaudit.llm.common import stored
+from linkaudit.llm.common import free_name, stored
 from linkaudit.llm.components import components
 
 BITS = 64
@@ -145,9 +145,8 @@ def keep_one_per_group(
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("first")
     classes = simhash_classes(taken, max_bits).join(taken.groupBy("fp").agg(first), "fp")
     kept = stored(classes.groupBy("class_fp").agg(F.min("first").alias("first")).select("first.id", "first.h"), "kept")
-    row = [F.xxhash64(F.col(id_col)).alias("__id_hash"), h.alias("__h")]
-    keys = kept.select(F.col("id").alias("__kept_id"), F.xxhash64("id").alias("__id_hash"), F.col("h").alias("__h"))
-    tagged = docs.select("*", *row)
-    stay = tagged.join(keys, (tagged["__id_hash"] == keys["__id_hash"]) & (tagged["__h"] == keys["__h"])
-                       & docs[id_col].eqNullSafe(keys["__kept_id"]), "left_semi")
-    return stay.dropDuplicates(["__id_hash", "__h"]).drop("__id_hash", "__h")
+    id_hash, text_hash, kept_id = (free_name(docs, n) for n in ("__id_hash", "__text_hash", "__kept_id"))
+    keys = kept.select(F.col("id").alias(kept_id), F.xxhash64("id").alias(id_hash), F.col("h").alias(text_hash))
+    tagged = docs.withColumns({id_hash: F.xxhash64(F.col(id_col)), text_hash: h})
+    same = (tagged[id_hash] == keys[id_hash]) & (tagged[text_hash] == keys[text_hash]) & tagged[id_col].eqNullSafe(keys[kept_id])
+    return tagged.join(keys, same, "left_semi").dropDuplicates([id_hash, text_hash]).drop(id_hash, text_hash)
