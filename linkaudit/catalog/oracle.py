@@ -492,7 +492,7 @@ rk AS (SELECT url, kind, row_number() OVER (PARTITION BY kind ORDER BY url) AS r
 def _sampled(limit: int) -> str:
     return f"""SELECT min(ord)::INTEGER AS ord, url, {PAGE_TYPE} AS page_type FROM (
     SELECT 0 AS ord, '{SITE}' AS url UNION ALL
-    SELECT (quota.i + 1) * 1000 + rn, url FROM rk JOIN quota ON quota.kind = rk.kind AND rk.rn <= quota.take)
+    SELECT (quota.i + 1) * {limit} + rn, url FROM rk JOIN quota ON quota.kind = rk.kind AND rk.rn <= quota.take)
     GROUP BY url ORDER BY min(ord), url LIMIT {limit}"""
 
 

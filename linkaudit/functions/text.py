@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import or_
@@ -67,15 +68,21 @@ def _whole_alternation(pattern: str) -> bool:
     return False
 
 
+#: A back-reference, a named group or inline flags.
+_OF_ITS_OWN = re.compile(r"\\[1-9]|\\k<|\(\?P?<[A-Za-z]|\(\?[a-zA-Z]*-?[a-zA-Z]+[:)]|\(\?P=")
+
+
 def matches_any(col: Column, patterns: Sequence[str]) -> Column:
     """Unicode, case-insensitive search for any of the patterns.
 
     Patterns that begin with ``^`` share one anchor, so that they are tried at the start of the
-    text only; the others form a second alternation.
+    text only; the others form a second alternation. Patterns that refer to their groups or set
+    flags are searched one by one, as joining them would renumber groups and spread flags.
     """
-    rooted = [p for p in patterns if p.startswith("^") and not _whole_alternation(p)]
-    free = [p for p in patterns if p not in rooted]
-    tests = []
+    own = [p for p in patterns if _OF_ITS_OWN.search(p)]
+    rooted = [p for p in patterns if p not in own and p.startswith("^") and not _whole_alternation(p)]
+    free = [p for p in patterns if p not in own and p not in rooted]
+    tests = [col.rlike(f"(?iU){p}") for p in own]
     if rooted:
         tests.append(col.rlike("(?iU)^(?:" + "|".join(p[1:] for p in rooted) + ")"))
     if free:

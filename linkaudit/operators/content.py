@@ -20,21 +20,42 @@ def word_counts(table: DataFrame) -> DataFrame:
     )
 
 
-def word_count_stats(counts: DataFrame) -> DataFrame:
-    """Pages, mean, upper median, extremes and band sizes, one row.
+#: Word counts are counted by their upper bits first: 2 ** 15 groups of 2 ** 16 counts each hold every int.
+_COUNTS_IN_GROUP = 1 << 16
+
 
-    The descending discrete median is the upper one. It keeps one counter per distinct word
-    count, merged from the tasks, so no table of pages is ever sorted.
+def _upper_median(counts: DataFrame) -> DataFrame:
+    """One row ``median_words``: the upper median, from counts of groups and then of the values of one group.
+
+    Neither the sums over groups nor those over the values of a group grow with the pages.
     """
+    rows = counts.where("word_count IS NOT NULL").select("word_count", F.floor(F.col("word_count") / _COUNTS_IN_GROUP).alias("part"))
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.floor(F.sum("n").over(all_parts) / 2) + 1
+    placed = parts.select("part", (place - F.sum("n").over(upto) + F.col("n")).alias("left"), F.col("n").alias("size"))
+    middle = placed.where("left BETWEEN 1 AND size").select("part", "left")
+    values = rows.join(middle, "part").groupBy("word_count").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
+    below = Window.orderBy("word_count").rowsBetween(Window.unboundedPreceding, 0)
+    reached = values.select("word_count", "left", F.sum("n").over(below).alias("upto")).where("upto >= left")
+    return reached.agg(F.min("word_count").cast("int").alias("median_words"))
+
+
+def word_count_stats(counts: DataFrame) -> DataFrame:
+    """Pages, mean, upper median, extremes and band sizes, one row."""
     n = F.col("word_count")
-    return counts.agg(
+    stats = counts.agg(
         F.count(F.lit(1)).alias("total_pages"),
         F.avg(n).alias("avg_words"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY word_count DESC)").cast("int").alias("median_words"),
         F.min(n).alias("min_words"),
         F.max(n).alias("max_words"),
         *(count_if(F.col("band") == b).alias(f"{b}_pages") for b in ("thin", "quality", "rich")),
     )
+    # both sides are one row
+    return stats.select("*", _upper_median(counts).scalar().alias("median_words")).select(
+        "total_pages", "avg_words", "median_words", "min_words", "max_words", "thin_pages", "quality_pages", "rich_pages"
+    )
 
 
 def _last_value(name: str) -> Column:

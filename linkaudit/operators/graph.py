@@ -88,14 +88,14 @@ def nodes_of(profile: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
 def network_edges(internal: DataFrame, nodes: DataFrame) -> DataFrame:
     """Editorial links between two of the kept nodes; anchors cut for display.
 
-    ``nodes`` holds at most ``cfg.network_nodes`` rows, hence the broadcasts.
+    ``nodes`` may be of any size: Spark broadcasts it if its size allows.
     """
     ids = nodes.select("id")
     return (
         editorial(internal)
         .where("source <> '' AND destination <> '' AND source <> destination")
-        .join(F.broadcast(ids.withColumnRenamed("id", "source")), "source", "left_semi")
-        .join(F.broadcast(ids.withColumnRenamed("id", "destination")), "destination", "left_semi")
+        .join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
+        .join(ids.withColumnRenamed("id", "destination"), "destination", "left_semi")
         .select("source", F.col("destination").alias("target"), truncate(py_strip(F.col("anchor")), 50).alias("anchor"))
     )
 

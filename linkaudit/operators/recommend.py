@@ -70,7 +70,7 @@ def site_findings(stats: DataFrame, cfg: AuditConfig = AuditConfig(), site: str
             share < cfg.min_editorial_ratio,
             _finding("overall strategy", "high", where,
                      F.concat(F.lit("low editorial share ("), _one_decimal(share), F.lit("%)")),
-                     "add editorial links to the contents", "less than 50% editorial links"),
+                     "add editorial links to the contents", f"less than {cfg.min_editorial_ratio:g}% editorial links"),
         ),
         (
             density < cfg.min_links_per_page,

@@ -60,7 +60,8 @@ def sample_pages(urls: DataFrame, site: str, max_samples: int = 5, section: str
             pool, wanted = inside, min(size, max_samples - 1, 4)
     chosen = strategic_selection(pool, wanted)
     served = F.array_position(F.array(*(F.lit(k) for k in SAMPLING_ORDER)), F.col("kind"))
-    listed = chosen.select((served * 1000 + F.col("position")).cast("int").alias("ord"), "url")
+    # positions end at ``wanted``, so types keep apart whatever the sample size
+    listed = chosen.select((served * (wanted + 1) + F.col("position")).cast("int").alias("ord"), "url")
     first = urls.sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit(home).alias("url"))
     return dedupe_urls(first.unionByName(listed), max_samples).select(
         "ord", "url", page_type(F.col("url")).alias("page_type")

@@ -166,8 +166,8 @@ def _products(left: dict, right: dict) -> np.ndarray:
 # --- What a pair of blocks returns -----------------------------------------------------
 
 
-def _pairs_of(search: Search, limit: int | None):
-    """Pairs with smaller id first; the best ``limit`` of the block pair, or all."""
+def _pairs_of(search: Search, limit: int):
+    """Pairs with smaller id first; the best ``limit`` of the block pair."""
 
     def work(left, right, same):
         cosines = _products(left, right)
@@ -176,7 +176,7 @@ def _pairs_of(search: Search, limit: int | None):
             hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
         score = np.round(cosines[i, j], COSINE_DIGITS)
-        if limit is not None and len(score) > limit:
+        if len(score) > limit:
             worst = np.partition(score, len(score) - limit)[len(score) - limit]
             kept = score >= worst
             i, j, score = i[kept], j[kept], score[kept]
@@ -184,7 +184,7 @@ def _pairs_of(search: Search, limit: int | None):
         b = np.asarray(right["id"].to_pylist(), dtype=object)[j]
         swap = a > b
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        if limit is not None and len(score) > limit:
+        if len(score) > limit:
             order = sorted(range(len(score)), key=lambda k: (-score[k], a[k], b[k]))[:limit]
             a, b, score = a[order], b[order], score[order]
         return pa.table({"source": pa.array(a, pa.string()), "target": pa.array(b, pa.string()), "similarity": score})
@@ -296,29 +296,25 @@ def smallest_labels(blocked: DataFrame, blocks: int, search: Search) -> DataFram
 def similar_page_pairs(
     vectors: DataFrame,
     threshold: float = 0.6,
-    limit: int | None = 20,
+    limit: int = 20,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(source, target, similarity)`` of the most similar pages, ``source < target``.
 
     ``vectors (id, embedding)``; pairs count from cosines above ``threshold``. All pages are
-    compared. With a limit, copies of one vector are first reduced to their ``limit + 1`` smallest
-    ids: as equal pairs rank by id, no other copy can be part of the result. ``limit=None`` lists
-    every pair, which is as long as the data makes it.
+    compared. Copies of one vector are first reduced to their ``limit + 1`` smallest
+    ids: as equal pairs rank by id, no other copy can be part of the result.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
     units = unit_vectors(vectors.select(F.col("id").cast("string").alias("id"), "embedding"))
-    if limit is not None:
-        rank = F.row_number().over(Window.partitionBy("unit").orderBy("id"))
-        units = units.withColumn("_copy", rank).where(F.col("_copy") <= limit + 1).drop("_copy")
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy("id"))
+    units = units.withColumn("_copy", rank).where(F.col("_copy") <= limit + 1).drop("_copy")
     search = Search(threshold)
     blocked, blocks = assign_blocks(cut_lineage(units), search, block_rows)
     pairs = block_pairs(
         blocked, blocks, _pairs_of(search, limit), "source string, target string, similarity double"
     )
-    if limit is None:
-        return pairs
     return pairs.orderBy(F.desc("similarity"), "source", "target").limit(limit)
 
 
@@ -326,7 +322,7 @@ def new_texts(texts: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """``(text_md5, text)`` of the distinct texts that a cache ``(text_md5, embedding)`` lacks."""
     distinct = (
         texts.select("text")
-        .where(F.length(F.btrim("text")) >= 3)
+        .where(F.length(py_strip(F.col("text"))) >= 3)
         .distinct()
         .select(text_md5(F.col("text")).alias("text_md5"), "text")
     )
@@ -339,7 +335,8 @@ def embed_texts(
     encoder: Callable[[Column], Column] = hashed_vector,
     batch_encoder: Callable[[list[str]], np.ndarray] | None = None,
 ) -> DataFrame:
-    """``(text_md5, embedding, cached)`` for the distinct texts ``(text)`` of three characters or more.
+    """``(text_md5, embedding, cached)`` for the distinct texts ``(text)`` of three characters or more
+    without the blanks around them. Shorter texts have no row: their vector is zero and like no other.
 
     Texts in the cache keep their vector; the others are encoded by a column expression, or in
     Arrow batches by ``batch_encoder``. Append the rows that are not ``cached`` to the cache.

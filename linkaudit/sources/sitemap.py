@@ -41,11 +41,12 @@ def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(py_strip(F.col("loc")).alias("url")).where(F.col("url").startswith("http"))
 
 
-def expand_sitemap_index(documents: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+def expand_sitemap_index(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """``(sitemap_url, depth)`` of all sitemaps reached from ``roots (sitemap_url)`` through indexes.
 
     Breadth first, one equi-join per level over a parent -> child table that is made once. Each
-    sitemap is entered once, so indexes that name each other end.
+    sitemap is entered once, so indexes that name each other end, and the loop goes on until a
+    level is empty, however deep the indexes are.
     """
     children = cut_lineage(
         documents.where(_is_index(F.col("xml")))
@@ -57,8 +58,10 @@ def expand_sitemap_index(documents: DataFrame, roots: DataFrame, max_depth: int
     known = documents.select("sitemap_url").distinct()
     level = roots.select("sitemap_url").distinct().join(known, "sitemap_url", "left_semi")
     reached = cut_lineage(level.withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        parents = reached.where(F.col("depth") == depth - 1).select(F.col("sitemap_url").alias("parent"))
+    found, depth = reached, 0
+    while not found.isEmpty():
+        depth += 1
+        parents = found.select(F.col("sitemap_url").alias("parent"))
         found = (
             children.join(parents, "parent")
             .select("sitemap_url")
@@ -68,9 +71,8 @@ def expand_sitemap_index(documents: DataFrame, roots: DataFrame, max_depth: int
             .withColumn("depth", F.lit(depth))
         )
         found = cut_lineage(found)
-        if found.isEmpty():
-            break
-        reached = reached.unionByName(found)
+        # one plan node a level would slow down deep chains: the levels so far are written again
+        reached = cut_lineage(reached.unionByName(found))
     return reached
 
 
