@@ -94,6 +94,7 @@ LINK_COLUMNS = "source, destination, anchor, origin, path, '' AS link_type"
 # --- sources and sinks ---------------------------------------------------------------
 
 ORACLE["read_links_csv_export"] = _sql("fx_links", body=f"SELECT {LINK_COLUMNS} FROM fx_links")
+ORACLE["read_links_csv_mixed"] = ORACLE["read_links_csv_export"]
 
 _ATTRS = ("titles", "h1", "h2", "h3", "meta_desc", "meta_keywords", "images_alt", "schema_org")
 WIDE = "wide AS (SELECT url, {} FROM fx_part_attrs WHERE trim(value) <> '' GROUP BY url)".format(

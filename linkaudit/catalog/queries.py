@@ -75,6 +75,21 @@ def read_links_csv_export(spark, sf):
     return read_links_csv(spark, folder)
 
 
+@query
+def read_links_csv_mixed(spark, sf):
+    """All links as four exports of one folder, each written in another way, read back together."""
+    folder = scratch(spark, "mixed")
+    part = F.pmod(F.xxhash64("source", "destination", "anchor", "origin", "path"), F.lit(4))
+    raw = fixture(spark, sf, "fx_links").withColumn("part", part)
+    names = {"source": " Source ", "destination": "Destination", "anchor": "Ancrage", "origin": "Origine du lien", "path": "Chemin du lien"}
+    forms = [(",", "UTF-8", list(names)), (";", "ISO-8859-1", list(names)), ("\t", "UTF-8", list(names)), (",", "UTF-8", [*reversed(names)])]
+    for n, (sep, encoding, order) in enumerate(forms):
+        rows = raw.where(F.col("part") == n).select(*(F.col(c).alias(names[c]) for c in order))
+        writer = rows.write.option("header", True).option("sep", sep).option("encoding", encoding)
+        writer.option("quoteAll", n == 3).option("escape", '"').mode("append").csv(folder)
+    return read_links_csv(spark, folder)
+
+
 @query
 def load_page_attributes(spark, sf):
     wide = attributes.load_page_attributes(fixture(spark, sf, "fx_part_attrs"))

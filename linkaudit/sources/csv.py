@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import py_strip, text
 
 LINK_COLUMNS = ("source", "destination", "anchor", "origin", "path", "link_type")
 
 SNIFF_CHARS = 2048
+SEPARATORS = "\t,;"
 
 
 def sniff_separator(sample: str, simple: bool = False) -> str:
@@ -25,54 +31,75 @@ def clean_header(name: str) -> str:
     return name.strip().strip("\ufeff\"'").strip()
 
 
-def _file_head(spark: SparkSession, path: str, chars: int) -> str:
-    lines = spark.read.text(path).select(F.substring("value", 1, chars)).limit(50).collect()
-    return "\n".join(r[0] for r in lines)[:chars]
+@dataclass(frozen=True)
+class FileForm:
+    """How the files of one group are written; files of a group also have one header line."""
 
+    sep: str
+    encoding: str
+    multi_line: bool
+    header: str
 
-def _file_traits(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """Whether all bytes are UTF-8, and whether a quoted field runs over a line end (one scan)."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    row = lines.agg(
-        F.coalesce(F.min(F.is_valid_utf8("value").cast("int")), F.lit(1)).alias("utf8"),
-        F.coalesce(F.max((quotes % 2).cast("int")), F.lit(0)).alias("open_quote"),
-    ).first()
-    return bool(row.utf8), bool(row.open_quote)
 
+def _literal_path(uri: str) -> str:
+    """A path as Spark's readers take it, from the URI in the metadata of a row."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    sep: str | None = None,
-    encoding: str | None = None,
-    multi_line: bool | None = None,
-    with_order: bool = False,
-) -> DataFrame:
-    """A CSV export as text columns with cleaned header names; missing cells are empty text.
 
-    ``sep`` is found from the head of the file. ``encoding`` (UTF-8, else Latin-1) and
-    ``multi_line`` are found by one scan over the bytes; name both to save it. Only files with
-    line breaks inside quotes are read unsplit. An empty file gives a table without columns.
-    ``with_order`` adds ``ord``, which sorts the rows of a file as they stand in it.
+def _opens_a_field(sep: str) -> Column:
+    """Whether a quote at the beginning of a field of the line is not closed in the line."""
+    return F.col("value").rlike(rf'(?:^|{re.escape(sep)})"(?:[^"]++|"")*+$')
+
+
+def file_forms(
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool | None = None
+) -> dict[FileForm, list[str]]:
+    """The files under a path by their form; files without text are left out.
+
+    One job reads the first lines of each file; a second, over all bytes, finds files that are not UTF-8 and those
+    with line breaks inside quoted fields. Name ``encoding`` and ``multi_line`` to save it. The driver holds one row per file.
     """
-    head = _file_head(spark, path, SNIFF_CHARS)
-    if not head.strip():
-        return spark.createDataFrame([], "struct<>")
-    sep = sep or sniff_separator(head)
+    separators = [sep] if sep else list(SEPARATORS)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        "value",
+    )
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    first = lines.select("file", "at", F.substring("value", 1, SNIFF_CHARS).alias("value")).withColumn("rank", rank).where("rank <= 50")
+    heads: dict[str, list[str]] = {}
+    for r in first.orderBy("file", "rank").select("file", "value").toLocalIterator():
+        heads.setdefault(r.file, []).append(r.value)
+    heads = {file: text for file, text in heads.items() if any(map(str.strip, text))}
+    traits = {}
     if encoding is None or multi_line is None:
-        utf8, open_quote = _file_traits(spark, path)
-        encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
-        multi_line = open_quote if multi_line is None else multi_line
+        flags = [F.max(_opens_a_field(c).cast("int")).alias(f"open_{i}") for i, c in enumerate(separators)]
+        utf8 = F.min(F.is_valid_utf8("value").cast("int")).alias("utf8")
+        traits = {r.file: r for r in lines.groupBy("file").agg(utf8, *flags).toLocalIterator()}
+    groups: dict[FileForm, list[str]] = {}
+    for file, text in heads.items():
+        own = sep or sniff_separator("\n".join(text)[:SNIFF_CHARS])
+        found = traits.get(file)
+        form = FileForm(
+            own,
+            encoding or ("UTF-8" if found.utf8 else "ISO-8859-1"),
+            bool(found[f"open_{separators.index(own)}"]) if multi_line is None else multi_line,
+            text[0],
+        )
+        groups.setdefault(form, []).append(_literal_path(file))
+    return groups
+
+
+def _read_group(spark: SparkSession, form: FileForm, files: list[str], with_order: bool) -> DataFrame:
     raw = (
         spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
+        .option("sep", form.sep)
+        .option("encoding", form.encoding)
+        .option("multiLine", form.multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .csv(path)
+        .csv(files)
     )
     columns = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(name) for c, name in zip(raw.columns, _unique(raw.columns))]
     if with_order:
@@ -86,6 +113,36 @@ def read_csv(
     return raw.select(*columns)
 
 
+def read_csv_groups(
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    encoding: str | None = None,
+    multi_line: bool | None = None,
+    with_order: bool = False,
+) -> list[DataFrame]:
+    """The CSV exports under a path, one table for all files of the same form and header line."""
+    groups = file_forms(spark, path, sep, encoding, multi_line)
+    return [_read_group(spark, form, files, with_order) for form, files in groups.items()]
+
+
+def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """CSV exports as text columns with cleaned header names; missing cells are empty text.
+
+    Each file is read in its own form: the separator comes from its head, the encoding (UTF-8, else
+    Latin-1) and whether fields run over line ends from its bytes; only files with line breaks inside quotes are read unsplit.
+    ``sep``, ``encoding`` and ``multi_line`` name them for all files. Columns of files with unlike headers meet by
+    name. Without any text the table has no columns. ``with_order`` adds ``ord``, which sorts the rows of a file as they stand in it.
+    """
+    groups = read_csv_groups(spark, path, **options)
+    if not groups:
+        return spark.createDataFrame([], "struct<>")
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    if len(groups) == 1:
+        return table
+    return table.select(*(c if c == "ord" else F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in table.columns))
+
+
 def _unique(headers: list[str]) -> list[str]:
     names: list[str] = []
     for header in headers:
@@ -147,15 +204,24 @@ def canonical_links(df: DataFrame, roles: dict[str, str | None] | None = None) -
 
 
 def read_links_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A link export as a canonical link table."""
-    return canonical_links(read_csv(spark, path, **options))
+    """Link exports as a canonical link table; the columns of each file are found by its own header."""
+    groups = read_csv_groups(spark, path, **options)
+    if not groups:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in LINK_COLUMNS))
+    return reduce(DataFrame.unionByName, map(canonical_links, groups))
 
 
 def read_url_table(
     spark: SparkSession, path: str, values: dict[str, tuple[str, ...]], **options
 ) -> DataFrame:
     """A page export as ``url`` plus the named value columns, each found by header fragments."""
-    raw = read_csv(spark, path, **options)
+    groups = [_url_columns(raw, values) for raw in read_csv_groups(spark, path, **options)]
+    if not groups:
+        raise ValueError(f"no table in {path}")
+    return reduce(DataFrame.unionByName, groups)
+
+
+def _url_columns(raw: DataFrame, values: dict[str, tuple[str, ...]]) -> DataFrame:
     data = [c for c in raw.columns if c != "ord"]
     url = find_column(data, "address", "adresse", "url", "source")
     if not url:

@@ -11,7 +11,7 @@ QUERIES, ORACLE = queries(), oracle_sql()
 #: Queries that run actions while they are built: their plan begins behind a checkpoint.
 ITERATIVE = {
     "expand_sitemap_index", "sitemap_pages", "similar_page_pairs", "density_clusters", "cluster_themes", "name_themes",
-    "theme_words", "write_recommendations", "write_editorial_links", "audit_tables", "read_links_csv_export",
+    "theme_words", "write_recommendations", "write_editorial_links", "audit_tables", "read_links_csv_export", "read_links_csv_mixed",
 }
 #: Queries whose work needs Python on the executors.
 WITH_PYTHON = {

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from linkaudit.operators import recommend as M
 from linkaudit.sources import attributes, sinks, sitemap
-from linkaudit.sources.csv import canonical_links, map_link_columns, read_csv, read_links_csv, read_url_table, sniff_separator
+from linkaudit.sources.csv import canonical_links, file_forms, map_link_columns, read_csv, read_links_csv, read_url_table, sniff_separator
 
 HEAD = ["Source", "Destination", "Ancrage", "Origine du lien", "Chemin du lien"]
 ROW = ["https://s.fr/é", "https://s.fr/b", "forêt dense", "Contenu", "/p/a"]
@@ -42,6 +42,29 @@ def test_empty_file_and_header_only(spark, tmp_path):
         canonical_links(read_csv(spark, write(tmp_path, b"a,b\n1,2\n", "x.csv")))
 
 
+def test_each_file_of_a_folder_is_read_in_its_own_form(spark, tmp_path):
+    folder = tmp_path / "all outlinks"
+    folder.mkdir()
+    swapped = [1, 0, 2, 3, 4]
+    (folder / "a.csv").write_bytes(("\n".join(",".join(r) for r in (HEAD, ROW)) + "\n").encode())
+    (folder / "b é.csv").write_bytes(("\n".join(";".join(r) for r in (HEAD, ROW)) + "\n").encode("latin-1"))
+    (folder / "c.csv").write_bytes(("\n".join("\t".join(r[i] for i in swapped) for r in (HEAD, ROW)) + "\n").encode())
+    (folder / "d.csv").write_bytes((",".join(HEAD) + "\n" + ROW[0] + "," + ROW[1] + ',"forêt\ndense",Contenu,/p/a\n').encode())
+    (folder / "empty.csv").write_bytes(b"")
+    rows = [tuple(r)[:5] for r in read_links_csv(spark, str(folder)).collect()]
+    assert sorted(rows) == sorted([tuple(ROW)] * 3 + [(ROW[0], ROW[1], "forêt\ndense", "Contenu", "/p/a")])
+
+
+@pytest.mark.parametrize(
+    "line, expected",
+    [(b'a,27" plat,c', False), (b'a,"27"" plat",c', False), (b'a,"open', True), (b'"open,b', True), (b'a,"x","y', True), (b'a,b"', False), (b'a,"",c', False)],
+)
+def test_only_fields_that_run_over_a_line_end_make_a_file_whole(spark, tmp_path, line, expected):
+    data = b"Source,Destination,Ancrage\n" + line + b'\n' + (b'end",x\n' if expected else b"")
+    forms = file_forms(spark, write(tmp_path, data))
+    assert [f.multi_line for f in forms] == [expected]
+
+
 def test_blank_header_keeps_the_columns_in_place(spark, tmp_path):
     data = " Source ,,Destination\na,x,b\n"
     row = read_links_csv(spark, write(tmp_path, data.encode())).first()
