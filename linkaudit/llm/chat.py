@@ -73,16 +73,18 @@ def _lifted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     first = nodes.join(known, _same("conv", "conv_2", "parent", "node_2"), "left")
     state = first.select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     state = stored(state, "pointers")
+    done, going = state.where("up IS NULL"), state.where("up IS NOT NULL")
     pointers, rounds = [], math.ceil(math.log2(max(2, state.count()))) + 1
-    while not state.where("up IS NOT NULL").isEmpty() and len(pointers) < rounds:
-        pointers.append(state.where("up IS NOT NULL").select("conv", "node", "up"))
-        above = state.select(*[F.col(c).alias(f"{c}_2") for c in ("conv", "node", "up", "total", "depth")])
-        state = state.join(above, _same("conv", "conv_2", "up", "node_2"), "left").select(
-            "conv", "node", F.col("up_2").alias("up"),
-            (F.col("total") + F.coalesce("total_2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth_2", F.lit(0))).alias("depth"),
-        )
-        state = stored(state, "pointers")
-    return state.where("up IS NULL").select("conv", "node", "total", "depth"), pointers
+    while not going.isEmpty() and len(pointers) < rounds:
+        pointers.append(going.select("conv", "node", "up"))
+        above = done.union(going).select(*[F.col(c).alias(f"{c}_2") for c in ("conv", "node", "up", "total", "depth")])
+        # only nodes that have not seen their root are joined: a long conversation does not make the short ones take its rounds
+        lifted = going.join(above, _same("conv", "conv_2", "up", "node_2")).select(
+            "conv", "node", F.col("up_2").alias("up"), (F.col("total") + F.col("total_2")).alias("total"), (F.col("depth") + F.col("depth_2")).alias("depth")
+        )
+        lifted = stored(lifted, "pointers")
+        done, going = done.union(lifted.where("up IS NULL")), lifted.where("up IS NOT NULL")
+    return done.select("conv", "node", "total", "depth"), pointers
 
 
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
