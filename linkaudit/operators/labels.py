@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import py_strip
-from .containment import HOT_TEXTS, cut_texts, hot_groups, text_lengths
+from ..session import cut_lineage
 
 EDITORIAL_CATEGORIES = ("EDITORIAL", "CALL_TO_ACTION")
 
 
+#: Parts into which the links of a labelled page are dealt where they meet its labels. The labels are repeated so often.
+SALTS = 16
+
+_HOST = r"^[^/]*//[^/]+/"
+
+
 def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
     """``(source, page_url)``: the labelled page each source belongs to.
 
-    ``prefix``: the labelled URL up to its query begins the source URL. Sources are cut to every
-    length a labelled URL has and equi-joined, so no nested-loop join is needed. ``page``: both
-    URLs agree up to the query. Of several pages the first by ``ord`` counts; without ``ord`` the
-    longest, then the smallest URL.
+    ``prefix``: the labelled URL up to its query begins the source URL. Sources are cut to the
+    lengths that labelled URLs of their host have and equi-joined, so no nested-loop join is needed and
+    labels of other hosts cost nothing. ``page``: both URLs agree up to the query. Of several
+    pages the first by ``ord`` counts; without ``ord`` the longest, then the smallest URL.
     """
     first = F.min("ord") if "ord" in labels.columns else F.lit(0)
     pages = labels.groupBy("page_url").agg(first.alias("ord"))
@@ -24,12 +30,17 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     if page_match == "page":
         keyed = sources.select("source", F.regexp_extract("source", r"^([^?]*)", 1).alias("base"))
     else:
-        lengths = text_lengths(pages, "base")
+        # a URL cut within its host has no host here and may begin the URLs of any host
+        lengths = pages.groupBy(F.regexp_extract("base", _HOST, 0).alias("host")).agg(F.collect_set(F.length("base")).alias("lengths"))
+        hosted = sources.select("source", F.regexp_extract("source", _HOST, 0).alias("host"))
+        anywhere = sources.select("source", F.lit("").alias("host"))
         keyed = (
-            sources.select("source", F.explode(lengths).alias("n"))
+            hosted.where("host <> ''").unionByName(anywhere)
+            .join(lengths, "host")
+            .select("source", F.explode("lengths").alias("n"))
             .where(F.col("n") <= F.length("source"))
             .select("source", F.substring(F.col("source"), F.lit(1), F.col("n")).alias("base"))
-        )
+        )
     rank = F.struct("ord", (-F.length("base")).alias("shorter"), "page_url")
     return (
         keyed.join(pages, "base")
@@ -39,20 +50,20 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     )
 
 
-def match_labels(
-    links: DataFrame, labels: DataFrame, page_match: str = "prefix", hot_texts: int = HOT_TEXTS
-) -> DataFrame:
+def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
     """``(source, text, url, category, confidence)``: the first label that fits each distinct link.
 
     A label of the link's page fits if the texts are equal, or if one text contains the other and
     the link's URL ends in the label's last path segment. Links and labels are reduced to distinct
-    rows first. Equal texts are an equi-join on page and text; the URL ends are one on page and
-    segment, with links cut to every length a segment has. Where a page has more than
-    ``hot_texts`` label texts for one segment, parts of texts are matched instead of pairs of
-    texts. The smallest label is kept as the joined rows come, before any shuffle.
+    rows first and written once. Equal texts are an equi-join on page and text; the URL ends are one on page and
+    segment, with links cut to the lengths that segments of their page have. A link meets the labels of one page
+    only, and the links of a page are dealt to ``SALTS`` parts, so a labelled home page that all links of a site
+    belong to is spread. The smallest label is kept as the joined rows come, before any shuffle.
     """
     wanted = links.select("source", "text", "url").distinct()
-    wanted = wanted.join(label_page_of_sources(wanted.select("source").distinct(), labels, page_match), "source")
+    found = label_page_of_sources(wanted.select("source").distinct(), labels, page_match)
+    part = F.pmod(F.xxhash64("source", "text", "url"), F.lit(SALTS)).cast("int")
+    wanted = cut_lineage(wanted.join(found, "source").withColumn("part", part))
 
     order = F.col("ord") if "ord" in labels.columns else F.lit(0)
     url = py_strip(F.lower("href"))
@@ -62,39 +73,25 @@ def match_labels(
         F.element_at(F.split(url, "/"), -1).alias("segment"),
         F.struct(order.alias("ord"), "href", "text", "category", "confidence").alias("label"),
     )
+    offered = cut_lineage(offered.groupBy("page_url", "segment", "label_text").agg(F.min("label").alias("label")))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
     by_text = offered.groupBy("page_url", F.col("label_text").alias("text")).agg(F.min("label").alias("label"))
-    by_segment = offered.groupBy("page_url", "segment", "label_text").agg(F.min("label").alias("label"))
+    by_segment = offered.select("*", parts)
+    lengths = offered.groupBy("page_url").agg(F.collect_set(F.length("segment")).alias("lengths"))
 
     key = ["source", "text", "url"]
-    equal = wanted.join(by_text, ["page_url", "text"]).select(*key, "label")
+    equal = wanted.join(by_text.select("*", parts), ["page_url", "part", "text"]).select(*key, "label")
     ends = (
-        wanted.select("*", F.explode(text_lengths(offered, "segment")).alias("n"))
+        wanted.join(lengths.select("*", parts), ["page_url", "part"])
+        .select(*key, "page_url", "part", F.explode("lengths").alias("n"))
         .where(F.col("n") <= F.length("url"))
         .withColumn("segment", F.when(F.col("n") == 0, F.lit("")).otherwise(F.expr("right(url, n)")))
     )
-    ends = ends.drop("n")
-    group = ["page_url", "segment"]
-    hot = hot_groups(by_segment, group, hot_texts)
     contained = (
-        ends.join(hot, group, "left_anti")
-        .join(by_segment, group)
+        ends.join(by_segment, ["page_url", "part", "segment"])
         .where(F.col("label_text").contains(F.col("text")) | F.col("text").contains(F.col("label_text")))
         .select(*key, "label")
     )
-    crowded, crowd = ends.join(hot, group, "left_semi"), by_segment.join(hot, group, "left_semi")
-    label_parts = (
-        cut_texts(crowd, "label_text", text_lengths(crowded, "text"), "part")
-        .groupBy(*group, F.col("part").alias("text"))
-        .agg(F.min("label").alias("label"))
-    )
-    in_label = crowded.join(label_parts, [*group, "text"]).select(*key, "label")
-    texts = crowded.select(*group, "text").distinct()
-    text_parts = cut_texts(texts, "text", text_lengths(crowd, "label_text"), "label_text").distinct()
-    best_of_text = (
-        text_parts.join(crowd, [*group, "label_text"]).groupBy(*group, "text").agg(F.min("label").alias("label"))
-    )
-    in_text = crowded.join(best_of_text, [*group, "text"]).select(*key, "label")
-    contained = contained.unionByName(in_label).unionByName(in_text)
     return (
         equal.unionByName(contained)
         .groupBy(*key)
@@ -103,16 +100,17 @@ def match_labels(
     )
 
 
-def apply_label_overrides(
-    classified: DataFrame, labels: DataFrame, page_match: str = "prefix", hot_texts: int = HOT_TEXTS
-) -> DataFrame:
+def apply_label_overrides(classified: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
     """Classified links with ``is_mechanical`` turned round where a label says otherwise.
 
     Adds ``label_corrected``, ``label_category`` and ``label_confidence``, the latter two set on
-    corrected links only.
+    corrected links only. Where links have an ``alt_text``, it stands for an empty anchor.
     """
-    links = classified.withColumn("text", py_strip(F.lower("anchor"))).withColumn("url", py_strip(F.lower("destination")))
-    found = match_labels(links, labels, page_match, hot_texts)
+    anchor = F.col("anchor")
+    if "alt_text" in classified.columns:
+        anchor = F.when(py_strip(anchor) == "", F.coalesce("alt_text", F.lit(""))).otherwise(anchor)
+    links = classified.withColumn("text", py_strip(F.lower(anchor))).withColumn("url", py_strip(F.lower("destination")))
+    found = match_labels(links, labels, page_match)
     joined = links.join(found, ["source", "text", "url"], "left")
     says_editorial = F.col("category").isin(*EDITORIAL_CATEGORIES)
     corrected = F.coalesce(F.col("is_mechanical") == says_editorial, F.lit(False))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.html import LINK_SCHEMA, html_h1, html_title, html_word_count, link_batches
 from ..functions.text import py_strip
 from ..functions.urls import url_join
-from .containment import HOT_TEXTS, cut_texts, hot_groups, text_lengths
 from .filters import internal_by_domain
 
 
@@ -70,17 +69,15 @@ def page_attributes(pages: DataFrame) -> DataFrame:
     )
 
 
-def match_editorial_links(
-    links: DataFrame, content_links: DataFrame, host: str | None = None, hot_texts: int = HOT_TEXTS
-) -> DataFrame:
+def match_editorial_links(links: DataFrame, content_links: DataFrame, host: str | None = None) -> DataFrame:
     """Crawled links that a content zone of their source page holds too.
 
     URLs must agree but for closing slashes, and texts must be equal, or the anchor must be
-    longer than 3 characters and part of the text. An equi semi-join on page and URL with the
-    text test on top. Where a page offers one URL under more than ``hot_texts`` texts, its links
-    are matched against the parts of these texts instead, so no group costs more than linear time.
+    longer than 3 characters and part of the text. Both sides are reduced to distinct (page, URL,
+    text) first and matched once; what is compared text by text is one URL on one page. The links are
+    then chosen by a join on exactly what was matched, so repeated links are never part of the comparison.
     """
-    slash, keys = F.lit("/"), ["_page", "_url"]
+    slash, keys = F.lit("/"), ["_page", "_url", "_text"]
     kept = internal_by_domain(links, host, strict=False) if host else links
     wanted = (
         kept.withColumn("_page", F.col("source"))
@@ -92,23 +89,11 @@ def match_editorial_links(
         F.rtrim(F.col("href"), slash).alias("_url"),
         py_strip(F.col("text")).alias("_link_text"),
     ).distinct()
-    hot = hot_groups(offered, keys, hot_texts)
-
     same_text = F.col("_text") == F.col("_link_text")
     part_of_text = (F.length("_text") > 3) & F.lower("_link_text").contains(F.lower("_text"))
-    few = wanted.join(hot, keys, "left_anti").alias("w").join(
+    matched = wanted.select(*keys).distinct().alias("w").join(
         offered.alias("o"),
         (F.col("w._page") == F.col("o._page")) & (F.col("w._url") == F.col("o._url")) & (same_text | part_of_text),
         "left_semi",
     )
-
-    crowded = wanted.join(hot, keys, "left_semi")
-    texts = offered.join(hot, keys, "left_semi")
-    anchors = crowded.select(*keys, "_text").distinct()
-    equal = anchors.join(texts.withColumnRenamed("_link_text", "_text"), [*keys, "_text"], "left_semi")
-    long_anchors = anchors.where(F.length("_text") > 3).withColumn("_part", F.lower("_text"))
-    lowered = texts.select(*keys, F.lower("_link_text").alias("_lowered")).distinct()
-    parts = cut_texts(lowered, "_lowered", text_lengths(long_anchors, "_part"), "_part").select(*keys, "_part")
-    within = long_anchors.join(parts, [*keys, "_part"], "left_semi").select(*keys, "_text")
-    many = crowded.join(equal.unionByName(within).distinct(), [*keys, "_text"], "left_semi")
-    return few.select(*links.columns).unionByName(many.select(*links.columns))
+    return wanted.join(matched, keys, "left_semi").select(*links.columns)

@@ -175,6 +175,7 @@ def map_link_columns(columns: list[str]) -> dict[str, str | None]:
         ("destination", ("destination", "target", "dest")),
         ("origin", ("origin",)),
         ("path", ("xpath", "chemin", "path")),
+        ("alt_text", ("alt text", "texte alt", "alt_text")),
         ("anchor", ("anchor", "ancrage", "link text", "text")),
     ):
         role[name] = find_column(columns, *fragments, skip=taken)
@@ -189,8 +190,11 @@ def map_link_columns(columns: list[str]) -> dict[str, str | None]:
     return role
 
 
-def canonical_links(df: DataFrame, roles: dict[str, str | None] | None = None) -> DataFrame:
-    """The six link columns as non-null text; URLs without surrounding blanks."""
+def canonical_links(df: DataFrame, roles: dict[str, str | None] | None = None, alt_text: bool = False) -> DataFrame:
+    """The six link columns as non-null text; URLs without surrounding blanks.
+
+    With ``alt_text`` also the alternative text of image links, which stands for an empty anchor where labels are matched.
+    """
     roles = roles or map_link_columns(df.columns)
     if not roles.get("source") or not roles.get("destination"):
         raise ValueError(f"no source or destination column among {df.columns}")
@@ -200,15 +204,15 @@ def canonical_links(df: DataFrame, roles: dict[str, str | None] | None = None) -
         value = text(F.col(f"`{header}`").cast("string")) if header else F.lit("")
         return py_strip(value) if role in ("source", "destination") else value
 
-    return df.select(*(column(r).alias(r) for r in LINK_COLUMNS))
+    return df.select(*(column(r).alias(r) for r in (*LINK_COLUMNS, *["alt_text"] * alt_text)))
 
 
-def read_links_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_links_csv(spark: SparkSession, path: str, alt_text: bool = False, **options) -> DataFrame:
     """Link exports as a canonical link table; the columns of each file are found by its own header."""
     groups = read_csv_groups(spark, path, **options)
     if not groups:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in LINK_COLUMNS))
-    return reduce(DataFrame.unionByName, map(canonical_links, groups))
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*LINK_COLUMNS, *["alt_text"] * alt_text)))
+    return reduce(DataFrame.unionByName, [canonical_links(g, alt_text=alt_text) for g in groups])
 
 
 def read_url_table(

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkaudit.operators import classify as C
 from linkaudit.operators import labels as L
@@ -23,8 +24,7 @@ def expected(link, labels):
     return None
 
 
-@pytest.mark.parametrize("hot_texts", [64, 2, 0])
-def test_overrides_follow_the_rules(spark, links_of, hot_texts):
+def test_overrides_follow_the_rules(spark, links_of):
     rng = random.Random(3)
     words = ["bois", "bois clair", "Clair", "", "pin", "accueil", "12"]
     urls = ["https://s.fr/a/bois", "https://s.fr/b/", "https://s.fr/clair", "/x/bois", "clair"]
@@ -35,7 +35,7 @@ def test_overrides_follow_the_rules(spark, links_of, hot_texts):
     ]
     links = [(f"https://s.fr/{s}", rng.choice(urls), rng.choice(words)) for s in ("p", "p1", "p12", "q?y", "r") for _ in range(30)]
     table = spark.createDataFrame(labels, "page_url string, href string, text string, category string, confidence double, ord int")
-    got = L.apply_label_overrides(C.classify_links(links_of(links)), table, hot_texts=hot_texts)
+    got = L.apply_label_overrides(C.classify_links(links_of(links)), table)
     assert got.count() == len(links)
     for r in got.collect():
         label = expected((r.source, r.destination, r.anchor), labels)
@@ -83,3 +83,35 @@ def test_sample_pages(spark):
     assert inside == ["https://s.fr/", "https://s.fr/blog/a"]
     other = [r.url for r in S.sample_pages(urls, "https://s.fr", section="/none").orderBy("ord").collect()]
     assert other == got
+
+
+def test_labels_of_other_hosts_cost_no_rows(spark):
+    def rows_of_joins(n_other):
+        labels = [("https://s.fr/p", 0)] + [(f"https://other{i}.fr/{'x' * i}", i) for i in range(n_other)]
+        table = spark.createDataFrame(labels, "page_url string, ord int")
+        sources = spark.createDataFrame([(f"https://s.fr/p{i}",) for i in range(50)], "source string")
+        found = L.label_page_of_sources(sources, table)
+        assert len(found.collect()) == 50
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        lengths = table.selectExpr("regexp_extract(page_url, '^[^/]*//[^/]+/', 0) AS host", "length(page_url) AS n")
+        return sources.selectExpr("regexp_extract(source, '^[^/]*//[^/]+/', 0) AS host").join(lengths, "host").count()
+
+    assert rows_of_joins(0) == rows_of_joins(60) == 50
+
+
+def test_alt_text_stands_for_an_empty_anchor(spark, links_of):
+    labels = spark.createDataFrame(
+        [("https://s.fr/p", "https://s.fr/x", "logo du site", "NAVIGATION", 0.9, 0)],
+        "page_url string, href string, text string, category string, confidence double, ord int",
+    )
+    links = links_of([("https://s.fr/p", "https://s.fr/y/other", " ")])
+    rows = L.match_labels(
+        links.selectExpr("source", "'logo du site' AS text", "destination AS url"), labels
+    ).collect()
+    assert [r.category for r in rows] == ["NAVIGATION"]
+    plain = L.apply_label_overrides(C.classify_links(links), labels).first()
+    assert plain.label_category is None and plain.is_mechanical
+    editorial = C.classify_links(links).withColumn("is_mechanical", F.lit(False))
+    with_alt = L.apply_label_overrides(editorial.withColumn("alt_text", F.lit("Logo du site")), labels).first()
+    assert (with_alt.label_category, with_alt.is_mechanical) == ("NAVIGATION", True)
