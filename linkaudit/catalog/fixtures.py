@@ -172,12 +172,12 @@ FIXTURES["fx_page_vectors"] = (
     """
 SELECT p.page_id, p.url AS id, zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * w + CAST(y AS DOUBLE) * (1D - w)) AS embedding
 FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 0.9D WHEN 1 THEN 0.7D ELSE 0.5D END AS w FROM pages) p
-JOIN embeddings a ON a.vec_id = p.page_id % 40 JOIN embeddings b ON b.vec_id = p.page_id % 500
+JOIN embeddings a ON a.vec_id = p.page_id % 40 JOIN embeddings b ON b.vec_id = p.page_id % (SELECT count(*) FROM embeddings)
 """,
     """
 SELECT p.page_id, p.url AS id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * w + z[2]::DOUBLE * (1 - w)) AS embedding
 FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS w FROM pages) p
-JOIN embeddings a ON a.vec_id = p.page_id % 40 JOIN embeddings b ON b.vec_id = p.page_id % 500
+JOIN embeddings a ON a.vec_id = p.page_id % 40 JOIN embeddings b ON b.vec_id = p.page_id % (SELECT count(*) FROM embeddings)
 """,
 )
 
@@ -212,13 +212,13 @@ _staged: dict[tuple[str, str, str], tuple[str, object]] = {}
 def register_table(spark, sf_dir: str, table: str):
     """A delivered table, also as a temporary view.
 
-    A table that is one small file would be one task from the scan on; it is spread over the
-    cores. Tables of more files than that are read as they are.
+    ``spark.linkaudit.inputPartitions`` deals the large tables to so many partitions, where they come as
+    few files; without it they are read as they are.
     """
     data = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in ("lineitem", "pages", "documents") and len(data.inputFiles()) < cores:
-        data = data.repartition(cores)
+    partitions = spark.conf.get("spark.linkaudit.inputPartitions", None)
+    if partitions and table in ("lineitem", "pages", "documents"):
+        data = data.repartition(int(partitions))
     data.createOrReplaceTempView(table)
     return data
 

@@ -682,14 +682,25 @@ _TABLES = {
     "largest_clusters": "largest_clusters",
     "pillar_pages": "pillar_page_recommendations",
 }
-_PARTS = [f"SELECT '{name}' AS name, count(*) AS n_rows FROM ({ORACLE[q]})" for name, q in _TABLES.items()] + [
-    f"SELECT 'flagged_anchors', count(*) FROM ({ORACLE['anchor_quality']}) WHERE too_short OR keyword_stuffed OR url_anchor",
-    f"SELECT 'network_edges', least(500, count(*)) FROM ({ORACLE['network_edges']})",
+_PARTS = [f"SELECT '{name}' AS name, count(*) AS n_rows, true AS as_query FROM ({ORACLE[q]})" for name, q in _TABLES.items()] + [
+    f"SELECT 'flagged_anchors', count(*), NULL FROM ({ORACLE['anchor_quality']}) WHERE too_short OR keyword_stuffed OR url_anchor",
+    f"SELECT 'network_edges', least(500, count(*)), NULL FROM ({ORACLE['network_edges']})",
     "SELECT 'priority_advice', (SELECT count(*) FROM ({o}) WHERE n > 0) + (SELECT (editorial_ratio < 50)::INT + (avg_editorial_per_page < 2)::INT "
-    "FROM ({s})) + (SELECT (too_short > 0)::INT FROM ({q}))".format(
+    "FROM ({s})) + (SELECT (too_short > 0)::INT FROM ({q})), NULL".format(
         o=f"SELECT count(*) AS n FROM ({ORACLE['orphan_pages']})", s=ORACLE["link_stats"], q=ORACLE["anchor_quality_counts"]
     ),
-    f"SELECT 'thin_pages', count(*) FROM ({ORACLE['word_count_band']}) WHERE band = 'thin'",
-    f"SELECT 'title_h1_different', count(*) FROM ({ORACLE['title_h1_coherence']}) WHERE status = 'different'",
+    f"SELECT 'thin_pages', count(*), NULL FROM ({ORACLE['word_count_band']}) WHERE band = 'thin'",
+    f"SELECT 'title_h1_different', count(*), NULL FROM ({ORACLE['title_h1_coherence']}) WHERE status = 'different'",
 ]
 ORACLE["audit_tables"] = "\nUNION ALL ".join(_PARTS)
+ORACLE["audit_of_folder"] = ORACLE["audit_tables"]
+
+ORACLE["simple_audit"] = ORACLE["link_funnel_simple"]
+ORACLE["guided_audit"] = ORACLE["match_editorial_links"]
+ORACLE["link_opportunities"] = _sql(
+    "fx_page_vectors",
+    body="""SELECT source, target, round(s, 6) AS similarity FROM (
+    SELECT *, row_number() OVER (ORDER BY s DESC, source, target) AS n FROM (
+    SELECT least(a.id, b.id) AS source, greatest(a.id, b.id) AS target, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS s
+    FROM fx_page_vectors a JOIN fx_page_vectors b ON a.id < b.id) WHERE s > 0.6) WHERE n <= 40 AND n % 2 = 0""",
+)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import AuditConfig
 from ..functions import html as H
@@ -24,7 +25,7 @@ from ..operators import recommend as M
 from ..operators import sampling as S
 from ..operators import similarity as V
 from ..operators import themes as T
-from ..plans import audit
+from ..plans import audit, folder
 from ..session import checkpoint_dir
 from ..sources import attributes, sinks, sitemap
 from ..sources.csv import canonical_links, read_csv, read_links_csv
@@ -137,10 +138,8 @@ def write_editorial_links(spark, sf):
     return read_csv(spark, folder)
 
 
-@query
-def audit_tables(spark, sf):
-    """Row count of every table of a whole audit, over all inputs."""
-    inputs = audit.PageInputs(
+def page_inputs(spark, sf) -> audit.PageInputs:
+    return audit.PageInputs(
         word_counts=fixture(spark, sf, "fx_word_counts"),
         titles=fixture(spark, sf, "fx_page_attrs").select("url", "title"),
         h1s=fixture(spark, sf, "fx_page_attrs").select("url", "h1"),
@@ -149,14 +148,100 @@ def audit_tables(spark, sf):
         clusters=fixture(spark, sf, "fx_clusters"),
         attributes=attributes.load_page_attributes(fixture(spark, sf, "fx_part_attrs")),
     )
-    work = scratch(spark, "audit")
-    tables = audit.link_tables(audit.classified_links(links(spark, sf), CFG, work_path=work), CFG, SITE, work)
-    tables.update(audit.content_tables(inputs, CFG))
-    counts = [t.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows")) for name, t in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+
+
+#: Tables of an audit and the registered queries that give the same rows, each checked by SQL of its own.
+SAME_AS = {
+    "funnel": "link_funnel", "stats": "link_stats", "score": "editorial_score", "rules": "rule_breakdown",
+    "top_linking_pages": "top_linking_pages", "most_linked_pages": "most_linked_pages", "top_anchors": "top_anchors",
+    "over_repeated_anchors": "over_repeated_anchors", "orphan_pages": "orphan_pages",
+    "destination_categories": "destination_category_counts", "anchor_keywords": "anchor_keywords",
+    "network_nodes": "network_nodes", "recommendations": "recommendations", "word_count_stats": "word_count_stats",
+    "title_h1_summary": "title_h1_summary", "conversion_pages": "conversion_pages", "conversion_summary": "conversion_summary",
+    "similar_pairs_summary": "similar_pairs_summary", "similar_pairs": "top_similar_pairs",
+    "similarity_scores": "top_similarity_scores", "missing_links": "missing_link_recommendations",
+    "cluster_summary": "cluster_summary", "largest_clusters": "largest_clusters", "pillar_pages": "pillar_page_recommendations",
+}
+
+
+def _fingerprint(table: DataFrame) -> DataFrame:
+    """Rows and a hash of a table that does not depend on their order; numbers with six digits."""
+    columns = [F.round(F.col(c).cast("double"), 6) if t in ("double", "float") or t.startswith("decimal") else F.col(c).cast("string") for c, t in sorted(table.dtypes)]
+    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(20,0)")), F.lit(0)).alias("digest"))
+
+
+def _compared(spark, sf, tables: dict[str, DataFrame]) -> DataFrame:
+    """``(name, n_rows, as_query)``: the rows of each table, and whether they are those of the query of ``SAME_AS``."""
+    out = []
+    for name, table in tables.items():
+        own = _fingerprint(table).select(F.lit(name).alias("name"), "n_rows", "digest")
+        if name in SAME_AS:
+            query = QUERIES[SAME_AS[name]](spark, sf)
+            other = _fingerprint(query.select(*[c for c in query.columns if c in table.columns]))
+            own = own.withColumn("as_query", F.col("digest") == other.select("digest").scalar())
+        else:
+            own = own.withColumn("as_query", F.lit(None).cast("boolean"))
+        out.append(own.drop("digest"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query
+def audit_tables(spark, sf):
+    cfg = CFG.with_options(enable_semantic_analysis=True)
+    tables = audit.audit_tables(links(spark, sf), page_inputs(spark, sf), cfg, site=SITE, work_path=scratch(spark, "audit"))
+    semantic = {"theme_names", "theme_words", "coherence_summary", "link_opportunities"}
+    return _compared(spark, sf, {name: t for name, t in tables.items() if name not in semantic})
+
+
+@query
+def simple_audit(spark, sf):
+    return audit.simple_audit(links(spark, sf))["funnel"]
+
+
+@query
+def guided_audit(spark, sf):
+    """The links that page HTML confirms, as the guided audit lists them."""
+    pages = fixture(spark, sf, "fx_link_pages")
+    cfg = CFG.with_options(enable_semantic_analysis=False)
+    tables = audit.guided_audit(links(spark, sf), pages, HOST, cfg=cfg, work_path=scratch(spark, "guided"))
+    return tables["editorial_links"].select("source", "destination", "anchor")
+
+
+@query
+def link_opportunities(spark, sf):
+    """Similar pages without a link between them: every second one of the best pairs is linked beforehand."""
+    vectors = fixture(spark, sf, "fx_page_vectors").select("id", "embedding")
+    best = V.similar_page_pairs(vectors, limit=40)
+    place = F.row_number().over(Window.orderBy(F.desc("similarity"), "source", "target"))  # of 40 rows
+    linked = best.withColumn("n", place).where("n % 2 = 1").select(F.col("target").alias("source"), F.col("source").alias("destination"))
+    return V.unlinked_similar_pairs(vectors, linked).select("source", "target", _r("similarity"))
+
+
+@query
+def audit_of_folder(spark, sf):
+    """All families of exports written to one folder, found by name, read by header and audited."""
+    home = scratch(spark, "folder")
+    exports = {
+        "all_outlinks.csv": fixture(spark, sf, "fx_links").select(
+            F.col("source").alias("Source"), F.col("destination").alias("Destination"), F.col("anchor").alias("Ancrage"),
+            F.col("origin").alias("Origine du lien"), F.col("path").alias("Chemin du lien")),
+        "word_count.csv": fixture(spark, sf, "fx_word_counts").select(F.col("url").alias("Address"), F.col("word_count").alias("Word Count")),
+        "page_titles_all.csv": fixture(spark, sf, "fx_page_attrs").select(F.col("url").alias("Address"), F.col("title").alias("Title 1")),
+        "h1_all.csv": fixture(spark, sf, "fx_page_attrs").select(F.col("url").alias("Address"), F.col("h1").alias("H1-1")),
+        "internal_html.csv": fixture(spark, sf, "fx_internal_pages").select(F.col("url").alias("Address"), F.col("title").alias("Title 1")),
+        "similar_pages.csv": fixture(spark, sf, "fx_similar_pairs").select(
+            F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("similarity").cast("string").alias("Similarity")),
+        "content_clusters.csv": fixture(spark, sf, "fx_clusters").select(F.col("url").alias("URL"), F.col("cluster_id").cast("string").alias("Cluster")),
+    }
+    for name, table in exports.items():
+        table.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "").csv(f"{home}/{name}")
+    cfg = CFG.with_options(enable_semantic_analysis=True)
+    inputs = folder.load_page_inputs(spark, home)
+    link_table = read_links_csv(spark, f"{home}/all_outlinks.csv")
+    work = scratch(spark, "folder-audit")
+    tables = audit.link_tables(audit.classified_links(link_table, cfg, work_path=work), cfg, SITE, work)
+    tables.update(audit.content_tables(inputs, cfg))
+    return _compared(spark, sf, tables)
 
 
 # --- filters -------------------------------------------------------------------------------

@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import py_strip, text_md5
-from ..functions.vectors import COSINE_DIGITS, cosine, hashed_vector, unit
+from ..functions.vectors import COSINE_DIGITS, dot, hashed_vector, unit
 from ..session import cut_lineage
 from .classify import editorial
+from .graph import linked_similar_filter
 
 #: Vectors per block; a task holds two blocks and their product matrix (8 bytes a cell).
 BLOCK_ROWS = 2048
-#: Upper bound of the pivots the driver collects and every task receives.
-MAX_PIVOTS = 1024
+#: Angles a task computes at once.
+_ANGLES = 1 << 22
+#: Thresholds tried, from above, until enough pairs lie over one: the higher, the fewer cells a vector reaches.
+_FALLING = (0.98, 0.95, 0.9, 0.8, 0.7)
 
 #: Slack for angles, far above rounding errors and far below any useful threshold.
 _ANGLE_SLACK = 1e-6
@@ -70,10 +73,11 @@ def assign_blocks(units: DataFrame, search: Search, block_rows: int = BLOCK_ROWS
     """``(id, unit, block, targets)`` and the number of blocks.
 
     ``units (id, unit)`` must be cheap to read twice (a table or a checkpoint) with unique ids.
-    The driver holds the pivots and one row per cell, both at most ``MAX_PIVOTS``.
+    There is a pivot for every ``block_rows`` vectors, so cells keep their size as the vectors become more.
+    The driver holds the pivots and one row per cell.
     """
     total = units.count()
-    wanted = int(min(MAX_PIVOTS, max(1, -(-total // block_rows))))
+    wanted = int(max(1, -(-total // block_rows)))
     pivots = np.array(
         [r.unit for r in units.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], dtype="float64"
     )
@@ -81,8 +85,15 @@ def assign_blocks(units: DataFrame, search: Search, block_rows: int = BLOCK_ROWS
         empty = units.select("id", "unit", F.lit(0).alias("block"), F.array(F.lit(0)).alias("targets"))
         return empty, 1
 
-    def home_cells(batches):
+    rows_at_once = max(1, _ANGLES // len(pivots))
+
+    def sliced(batches):
         for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                yield batch.slice(at, rows_at_once)
+
+    def home_cells(batches):
+        for batch in sliced(batches):
             angles = np.arccos(np.clip(_matrix(batch.column("unit")) @ pivots.T, -1.0, 1.0))
             cell = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -105,7 +116,7 @@ def assign_blocks(units: DataFrame, search: Search, block_rows: int = BLOCK_ROWS
     reach = search.angle()
 
     def targets(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             angles = np.arccos(np.clip(_matrix(batch.column("unit")) @ pivots.T, -1.0, 1.0))
             cell = angles.argmin(axis=1)
             own = first[cell] + np.asarray(batch.column("hash")) % parts[cell]
@@ -302,7 +313,7 @@ def similar_page_pairs(
     """``(source, target, similarity)`` of the most similar pages, ``source < target``.
 
     ``vectors (id, embedding)``; pairs count from cosines above ``threshold``. All pages are
-    compared. Copies of one vector are first reduced to their ``limit + 1`` smallest
+    compared. The search goes down from a high threshold and ends as soon as ``limit`` pairs lie above one. Copies of one vector are first reduced to their ``limit + 1`` smallest
     ids: as equal pairs rank by id, no other copy can be part of the result.
     """
     if not 0 < threshold < 1:
@@ -310,12 +321,31 @@ def similar_page_pairs(
     units = unit_vectors(vectors.select(F.col("id").cast("string").alias("id"), "embedding"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy("id"))
     units = units.withColumn("_copy", rank).where(F.col("_copy") <= limit + 1).drop("_copy")
-    search = Search(threshold)
-    blocked, blocks = assign_blocks(cut_lineage(units), search, block_rows)
-    pairs = block_pairs(
-        blocked, blocks, _pairs_of(search, limit), "source string, target string, similarity double"
-    )
-    return pairs.orderBy(F.desc("similarity"), "source", "target").limit(limit)
+    units = cut_lineage(units)
+    for level in (*(t for t in _FALLING if t > threshold), threshold):
+        search = Search(level)
+        blocked, blocks = assign_blocks(units, search, block_rows)
+        pairs = block_pairs(
+            blocked, blocks, _pairs_of(search, limit), "source string, target string, similarity double"
+        )
+        best = cut_lineage(pairs.orderBy(F.desc("similarity"), "source", "target").limit(limit))
+        if best.count() == limit:  # no pair below this level is among the best
+            break
+    return best
+
+
+def unlinked_similar_pairs(vectors: DataFrame, links: DataFrame, threshold: float = 0.6, limit: int = 20) -> DataFrame:
+    """The most similar pages of which neither links to the other: ``similar_page_pairs`` without linked ones.
+
+    Linked pairs leave before the list is cut: the search is widened until ``limit`` pairs remain or there are no more.
+    """
+    wanted = limit
+    while True:
+        pairs = similar_page_pairs(vectors, threshold, wanted)
+        unlinked = linked_similar_filter(pairs, links)
+        if unlinked.count() >= limit or pairs.count() < wanted:
+            return unlinked.orderBy(F.desc("similarity"), "source", "target").limit(limit)
+        wanted *= 4
 
 
 def new_texts(texts: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -398,11 +428,14 @@ def anchor_coherence(
         .agg(F.count(F.lit(1)).alias("links"))
     )
     if vectors is None:
-        pages = contents.select(F.col("url").alias("destination"), encoder(F.col("content")).alias("_page"))
-        joined = uses.join(pages, "destination").withColumn("_anchor", encoder(F.col("anchor")))
+        # one vector of length 1 per distinct text, made before the join
+        pages = contents.select(F.col("url").alias("destination"), unit(encoder(F.col("content"))).alias("_page"))
+        texts = uses.select("anchor").distinct().select("anchor", unit(encoder(F.col("anchor"))).alias("_anchor"))
+        joined = uses.join(pages, "destination").join(texts, "anchor")
     else:
-        of_page = vectors.select(F.col("text_md5").alias("_page_md5"), F.col("embedding").alias("_page"))
-        of_anchor = vectors.select(F.col("text_md5").alias("_anchor_md5"), F.col("embedding").alias("_anchor"))
+        units = vectors.select("text_md5", unit(F.col("embedding")).alias("unit"))
+        of_page = units.select(F.col("text_md5").alias("_page_md5"), F.col("unit").alias("_page"))
+        of_anchor = units.select(F.col("text_md5").alias("_anchor_md5"), F.col("unit").alias("_anchor"))
         pages = (
             contents.select(F.col("url").alias("destination"), text_md5(F.col("content")).alias("_page_md5"))
             .join(of_page, "_page_md5", "left")
@@ -413,7 +446,7 @@ def anchor_coherence(
             .withColumn("_anchor_md5", text_md5(F.col("anchor")))
             .join(of_anchor, "_anchor_md5", "left")
         )
-    similarity = F.coalesce(cosine(F.col("_anchor"), F.col("_page")), F.lit(0.0))
+    similarity = F.coalesce(dot(F.col("_anchor"), F.col("_page")), F.lit(0.0))
     return joined.select("anchor", "destination", "links", similarity.alias("similarity"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import AuditConfig
@@ -14,6 +13,7 @@ from ..operators import content as cnt
 from ..operators import graph, keywords, pages as pg, recommend, similarity, themes as th
 from ..operators.classify import anchor_quality, classify_links, classify_links_simple, editorial
 from ..operators.filters import internal_links, url_prefix_filter, valid_links
+from ..session import cut_lineage
 from ..sources.attributes import page_text
 
 
@@ -39,11 +39,11 @@ def base_links(links: DataFrame, cfg: AuditConfig = AuditConfig(), prefix: str =
 def shared(df: DataFrame, name: str, work_path: str | None) -> DataFrame:
     """A table that several others start from, made once.
 
-    With a ``work_path`` it becomes a Parquet table, which outlives executors and lets each later
-    pass read only the columns it needs; without one it is kept in memory and on disk.
+    With a ``work_path`` it becomes a Parquet table there, which lets each later pass read only the columns it needs;
+    without one it is written to the checkpoint folder. Both outlive executors.
     """
     if work_path is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return cut_lineage(df)
     target = f"{work_path.rstrip('/')}/{name}"
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.parquet(target)
@@ -130,7 +130,7 @@ def semantic_tables(
     encoder=similarity.hashed_vector,
     work_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Themes of anchors; with page attributes also the fit of anchors and pages worth linking."""
+    """Themes of anchors; with page attributes also the fit of anchors and pages worth linking, those without a link yet."""
     internal = internal_links(classified)
     themes = shared(th.cluster_themes(agg.anchor_counts(internal), encoder=encoder), "themes", work_path)
     out = {"theme_names": th.name_themes(themes), "theme_words": th.theme_words(themes)}
@@ -139,7 +139,7 @@ def semantic_tables(
         out["coherence_summary"] = similarity.coherence_summary(coherence)
         contents = page_text(attributes, alt_texts=False).where("content <> ''")
         vectors = contents.select(F.col("url").alias("id"), encoder(F.col("content")).alias("embedding"))
-        out["link_opportunities"] = similarity.similar_page_pairs(vectors)
+        out["link_opportunities"] = similarity.unlinked_similar_pairs(shared(vectors, "page_vectors", work_path), internal)
     return out
 
 
@@ -183,7 +183,8 @@ def guided_audit(
     chosen = valid_links(links)
     if section:
         chosen = chosen.where(F.col("source").contains(section) | F.col("destination").contains(section))
-    confirmed = pg.match_editorial_links(chosen, pg.content_zone_links(pg.extract_page_links(pages)), host)
+    found = pg.match_editorial_links(chosen, pg.content_zone_links(pg.extract_page_links(pages)), host)
+    confirmed = shared(found, "editorial_links", options.get("work_path"))  # the pages are parsed once
     tables = audit_tables(confirmed, cfg=cfg, **options)
     tables["editorial_links"] = confirmed
     tables["editorial_yield"] = agg.editorial_yield(confirmed, chosen, f"https://{host}")

@@ -12,6 +12,7 @@ QUERIES, ORACLE = queries(), oracle_sql()
 ITERATIVE = {
     "expand_sitemap_index", "sitemap_pages", "similar_page_pairs", "density_clusters", "cluster_themes", "name_themes",
     "theme_words", "write_recommendations", "write_editorial_links", "audit_tables", "read_links_csv_export", "read_links_csv_mixed",
+    "audit_of_folder", "simple_audit", "guided_audit", "link_opportunities",
 }
 #: Queries whose work needs Python on the executors.
 WITH_PYTHON = {

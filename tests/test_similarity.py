@@ -30,7 +30,7 @@ def test_all_pairs_in_any_block_size(spark, block_rows, threshold):
     vectors = clustered(150)
     c = cosines(vectors)
     want = {(f"u{i:05d}", f"u{j:05d}"): c[i, j] for i, j in itertools.combinations(range(150), 2) if c[i, j] > threshold}
-    rows = V.similar_page_pairs(table(spark, vectors), threshold, None, block_rows).collect()
+    rows = V.similar_page_pairs(table(spark, vectors), threshold, 10**6, block_rows).collect()
     assert len(rows) == len(want)
     assert {(r.source, r.target): pytest.approx(r.similarity) for r in rows} == want
 
