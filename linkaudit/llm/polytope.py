@@ -130,7 +130,7 @@ def class_links(classes: DataFrame, threshold: float, tables: int, probes: int,
     """Verified pairs ``a < b`` of classes (``class``, ``unit``, ``size`` in bytes) that meet in a bucket."""
     if parts is None:
         n, length = classes.agg(F.count("*"), F.max(F.length("unit"))).first()
-        parts = max(1, int(math.log(max(2, n)) / math.log(2 * max(2, (length or 16) // 8))))
+        parts = max(1, math.ceil(math.log(max(2, n)) / math.log(2 * max(2, (length or 16) // 8))))
     keyed = stored(classes.select("class", bucket_column(F.col("unit"), tables, parts, probes).alias("keys")), "buckets")
     index = keyed.select(F.col("class").alias("b"), F.explode(F.transform("keys", lambda k: k[0])).alias("b_key"))
     probe = keyed.select(F.col("class").alias("a"), F.explode(F.flatten("keys")).alias("a_key"))
@@ -143,12 +143,12 @@ def class_links(classes: DataFrame, threshold: float, tables: int, probes: int,
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, tables: int = 8, probes: int = 4, parts: int | None = None,
+    vectors: DataFrame, threshold: float = 0.9, tables: int = 12, probes: int = 4, parts: int | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """One row per vector: its id, ``n_links``, ``component_id`` and ``kept``.
 
-    ``parts`` hashes make a key, by default as many as give each of the vectors about a bucket of its own. Null and zero
+    ``parts`` hashes make a key, by default as many as give each of the vectors a bucket of its own. Null and zero
     vectors and those with null or non-finite components have no links and are components of their own. Vectors of unlike
     length have no links with each other. Equal vectors are all linked, also rows with the same id. A null id counts as larger than
     any other and is never kept. An empty table gives an empty result; further columns are ignored.

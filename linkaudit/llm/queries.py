@@ -72,4 +72,4 @@ def op10_secret_scan(spark, sf):
 
 @query
 def op7_embedding_near_duplicates(spark, sf):
-    return polytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9, tables=8, probes=4)
+    return polytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9, tables=12, probes=4)
