@@ -109,8 +109,8 @@ ORACLE["page_text"] = _sql("fx_part_attrs", ctes=f"{WIDE}, {CONTENT}", body="SEL
 ORACLE["read_sitemap"] = "SELECT concat('https://maps.example/s', page_id // 100, '.xml') AS sitemap_url, url FROM pages"
 ORACLE["expand_sitemap_index"] = """
 SELECT 'https://maps.example/index.xml' AS sitemap_url, 0 AS depth
-UNION SELECT concat('https://maps.example/i', page_id // 1000, '.xml'), 1 FROM pages
-UNION SELECT concat('https://maps.example/s', page_id // 100, '.xml'), 2 FROM pages"""
+UNION SELECT concat('https://maps.example/i', page_id // 1000, '.xml'), (page_id // 1000)::INTEGER + 1 FROM pages
+UNION SELECT concat('https://maps.example/s', page_id // 100, '.xml'), (page_id // 1000)::INTEGER + 2 FROM pages"""
 ORACLE["sitemap_pages"] = "SELECT url FROM pages"
 ORACLE["robots_sitemaps"] = f"""
 SELECT concat('https://', h, '/robots.txt') AS robots_url, p AS position, concat('https://', h, f) AS sitemap_url
@@ -236,6 +236,18 @@ STATS = """st AS (SELECT *, editorial_links / total_pages AS avg_editorial_per_p
     count(*) FILTER (NOT mech) AS editorial_links, count(*) FILTER (mech) AS mechanical_links FROM il))"""
 ORACLE["link_stats"] = _links("SELECT * FROM st", ctes=STATS)
 ORACLE["rule_breakdown"] = _links("SELECT rule, count(*) AS links FROM il WHERE mech GROUP BY rule")
+ORACLE["rule_breakdown_all_rules"] = _sql(
+    "fx_links",
+    body=f"""SELECT rule, count(*) AS links FROM (SELECT CASE
+    WHEN regexp_matches(lower(origin), 'navigation|en-tête|pied de page|header|footer|nav|menu') THEN 'origin'
+    WHEN l_linenumber = 6 THEN 'link_type'
+    WHEN regexp_matches(trim(lower(anchor)), '{SHIPPED}') OR starts_with(lower(anchor), 'promo promo promo ') THEN 'anchor_pattern'
+    WHEN l_linenumber <> 5 AND regexp_matches(lower(path), '{PATH_WORDS}') THEN 'path'
+    WHEN l_linenumber = 5 THEN 'selector'
+    WHEN length(trim(anchor)) <= 2 AND trim(lower(anchor)) NOT IN ('tv', 'pc') THEN 'short_anchor'
+    WHEN regexp_matches(trim(lower(anchor)), '^(https?://|www\\.)') THEN 'url_anchor'
+    ELSE 'editorial' END AS rule FROM fx_links WHERE {VALID} AND {INTERNAL}) WHERE rule <> 'editorial' GROUP BY rule""",
+)
 ORACLE["outlink_counts"] = _links("SELECT source, count(*) AS links FROM ed GROUP BY source")
 ORACLE["inlink_counts"] = _links("SELECT destination, count(*) AS links FROM ed GROUP BY destination")
 ANCHORS = "an AS (SELECT trim(anchor) AS anchor, count(*) AS links FROM ed WHERE trim(anchor) <> '' GROUP BY 1)"

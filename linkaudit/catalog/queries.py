@@ -378,6 +378,15 @@ def rule_breakdown(spark, sf):
     return A.rule_breakdown(internal(spark, sf))
 
 
+@query
+def rule_breakdown_all_rules(spark, sf):
+    """A configuration with own selectors and a pattern that refers to its group, on links with types: every rule occurs."""
+    cfg = CFG.with_options(anchor_patterns=(*CFG.anchor_patterns, r"^(\w+) \1 \1 "), selectors=(".promo-box",))
+    typed = fixture(spark, sf, "fx_links").withColumn("link_type", F.when(F.col("l_linenumber") == 6, "Footer").otherwise("Hyperlink"))
+    boxed = typed.withColumn("path", F.when(F.col("l_linenumber") == 5, "/html/body/div.promo-box/a").otherwise(F.col("path")))
+    return A.rule_breakdown(R.internal_links(C.classify_links(canonical_links(boxed), cfg)))
+
+
 @query
 def outlink_counts(spark, sf):
     return A.outlink_counts(internal(spark, sf))
