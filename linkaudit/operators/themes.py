@@ -24,6 +24,9 @@ from .similarity import (
 MIN_DIVERSITY = 0.3
 FIRST_EPS, SECOND_EPS = 0.2, 0.15
 
+#: Parts into which the points at one place are dealt.
+PARTS = 16
+
 
 def _roots(hooks: DataFrame) -> DataFrame:
     """Follow ``(v, parent)`` until every parent is a root; the path halves in each round."""
@@ -113,7 +116,10 @@ def density_clusters(
     named = places.select(F.col("id").alias("_place"), "unit").join(
         labelled.withColumnRenamed("id", "_place"), "_place"
     )
-    points = units.join(named.drop("_place"), "unit").select("id", "weight", "is_core", "label")
+    # copies of one vector may be very many: they are dealt to parts, and the place is repeated for each
+    named = named.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = units.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    points = dealt.join(named.drop("_place"), ["unit", "_part"]).select("id", "weight", "is_core", "label")
     zero = vectors.select(F.col("id").cast("string").alias("id"), "weight").join(
         units.select("id"), "id", "left_anti"
     )
