@@ -10,9 +10,9 @@ All work on rows is DataFrame functions; Python reads the patterns of the rules
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
+from re import _parser as sre  # the standard library's own reader of patterns
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +21,6 @@ from pyspark.sql.window import Window
 from linkaudit.functions.binding import let
 from linkaudit.llm.common import stored
 
-try:
-    from re import _parser as sre
-except ImportError:  # Python 3.10
-    import sre_parse as sre
-
 _MOST_STRINGS = 64
 
 
