@@ -12,7 +12,6 @@ from ..config import AuditConfig
 from ..functions import html as H
 from ..functions.text import jaccard_words, ngrams, py_words, truncate
 from ..functions.urls import url_host, url_join, url_label, url_path
-from ..functions.vectors import hashed_vector
 from ..operators import aggregates as A
 from ..operators import classify as C
 from ..operators import content as N
