@@ -119,7 +119,8 @@ UNION ALL SELECT {_PART_URL}, 'meta_keywords', CASE WHEN p_partkey % 2 = 0 THEN
 UNION ALL SELECT {_PART_URL}, 'images_alt', concat('photo ', p_name), 1 FROM part
 """
 
-# Sitemaps of all pages: one per 100 pages, an index per 10 sitemaps, one index on top.
+# Sitemaps of all pages: one per 100 pages, an index per 10 sitemaps that also names
+# the next index, so the depth grows with the pages.
 FIXTURES["fx_sitemaps"] = (
     """
 SELECT concat('https://maps.example/s', CAST(page_id DIV 100 AS STRING), '.xml') AS sitemap_url,
