@@ -11,7 +11,7 @@ EDITORIAL_CATEGORIES = ("EDITORIAL", "CALL_TO_ACTION")
 
 
 #: Parts into which the links of a labelled page are dealt where they meet its labels. The labels are repeated so often.
-SALTS = 16
+SALTS = 4
 
 _HOST = r"^[^/]*//[^/]+/"
 
@@ -80,9 +80,9 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
     lengths = offered.groupBy("page_url").agg(F.collect_set(F.length("segment")).alias("lengths"))
 
     key = ["source", "text", "url"]
-    equal = wanted.join(by_text.select("*", parts), ["page_url", "part", "text"]).select(*key, "label")
+    equal = wanted.join(by_text, ["page_url", "text"]).select(*key, "label")
     ends = (
-        wanted.join(lengths.select("*", parts), ["page_url", "part"])
+        wanted.join(lengths, "page_url")
         .select(*key, "page_url", "part", F.explode("lengths").alias("n"))
         .where(F.col("n") <= F.length("url"))
         .withColumn("segment", F.when(F.col("n") == 0, F.lit("")).otherwise(F.expr("right(url, n)")))

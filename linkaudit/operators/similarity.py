@@ -428,10 +428,8 @@ def anchor_coherence(
         .agg(F.count(F.lit(1)).alias("links"))
     )
     if vectors is None:
-        # one vector of length 1 per distinct text, made before the join
         pages = contents.select(F.col("url").alias("destination"), unit(encoder(F.col("content"))).alias("_page"))
-        texts = uses.select("anchor").distinct().select("anchor", unit(encoder(F.col("anchor"))).alias("_anchor"))
-        joined = uses.join(pages, "destination").join(texts, "anchor")
+        joined = uses.join(pages, "destination").withColumn("_anchor", unit(encoder(F.col("anchor"))))
     else:
         units = vectors.select("text_md5", unit(F.col("embedding")).alias("unit"))
         of_page = units.select(F.col("text_md5").alias("_page_md5"), F.col("unit").alias("_page"))
