@@ -4,6 +4,9 @@ A unit vector is rotated by random signs and a fast Hadamard transform, three ti
 the axes and their opposites. Several such hashes make the key of a table, and there are several tables. Each vector is stored in its
 own bucket of every table and looked up there and in the next nearest ones. Pairs that meet are
 verified by their cosine in double precision, so no link is wrong; a pair that meets nowhere is missed.
+The more hashes a key has, the less often a pair meets in a table. There are as many tables as pairs at the threshold
+need to be missed no more often than ``MISSED``, counted with random pairs under the rotations in use, so recall is the same
+for tables of any size.
 
 Equal vectors are one class throughout; its links count with the number of its vectors.
 """
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -23,6 +27,12 @@ from linkaudit.llm.common import stored
 from linkaudit.llm.components import components
 
 _SEED = 20_240_607
+#: Share of the pairs at the threshold that may meet in no table.
+MISSED = 0.001
+#: A key has fewer hashes where more would need more tables than this, or try more combinations of axes than 3 ** _MOST_PARTS.
+_MOST_TABLES, _MOST_PARTS = 512, 6
+#: Tables whose keys are made in one row.
+_AT_ONCE = 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -35,9 +45,19 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded(length: int) -> int:
+    """The power of two that vectors of a length are padded to."""
+    return 1 << max(1, math.ceil(math.log2(max(2, length))))
+
+
+def kind(length: int) -> int:
+    """Vectors of lengths of one kind have the same keys: the length itself where there are few rotations, else the padded length."""
+    return max(2, length) if length <= 16 else padded(length)
+
+
 def rotated(x: np.ndarray, table: int, part: int) -> np.ndarray:
     """Unit vectors, padded to a power of two, after the rotation of a hash."""
-    size = 1 << max(1, math.ceil(math.log2(max(2, x.shape[1]))))
+    size = padded(x.shape[1])
     signs = np.random.default_rng([_SEED, x.shape[1], table, part]).choice([-1.0, 1.0], size=(3, size))
     out = np.zeros((len(x), size))
     out[:, : x.shape[1]] = x
@@ -47,7 +67,9 @@ def rotated(x: np.ndarray, table: int, part: int) -> np.ndarray:
 
 
 def table_keys(x: np.ndarray, table: int, parts: int, probes: int, near: int = 3) -> np.ndarray:
-    """Keys of the ``probes`` nearest buckets of a table for the rows of ``x``; the first is the row's own."""
+    """Keys of the ``probes`` nearest buckets of a table for the rows of ``x``; the first is the row's own. Without hashes there is one bucket."""
+    if parts == 0:
+        return np.full((len(x), 1), x.shape[1] * 1_000_003 + table + 1, dtype=np.int64)
     vertices, costs = [], []
     for part in range(parts):
         y = rotated(x, table, part)
@@ -69,6 +91,58 @@ def table_keys(x: np.ndarray, table: int, parts: int, probes: int, near: int = 3
     return np.take_along_axis(np.stack(keys, axis=1), order, axis=1).view(np.int64)
 
 
+def pairs_at(cosine: float, pairs: int, length: int, seed: int = _SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and for each a partner at exactly this cosine."""
+    rng = np.random.default_rng([seed, length])
+    x, other = rng.normal(size=(2, pairs, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * other
+
+
+def meet(x: np.ndarray, y: np.ndarray, table: int, parts: int, probes: int) -> np.ndarray:
+    """Whether the rows of ``x`` and ``y`` meet in a table: one is stored in a bucket where the other is looked up."""
+    a, b = table_keys(x, table, parts, probes), table_keys(y, table, parts, probes)
+    return (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
+
+
+@lru_cache(maxsize=256)
+def tables_needed(threshold: float, length: int, parts: int, probes: int) -> int | None:
+    """The number of tables in which all but ``MISSED`` of the pairs at the threshold meet; None above ``_MOST_TABLES``.
+
+    It is counted up to a quarter of that share, as other pairs than those that are counted fare a little worse.
+    """
+    pairs = max(1000, min(4000, (1 << 20) // length))
+    x, y = pairs_at(min(1.0, max(-1.0, threshold)), pairs, length)
+    for table in range(_MOST_TABLES):
+        apart = ~meet(x, y, table, parts, probes)
+        x, y = x[apart], y[apart]
+        if len(x) <= MISSED * pairs / 4:
+            return table + 1
+        if table == 0 and len(x) / pairs > MISSED ** (1 / _MOST_TABLES):
+            return None
+    return None
+
+
+def scheme(n: int, length: int, threshold: float, tables: int, probes: int, parts: int | None = None) -> tuple[int, int]:
+    """Hashes per key and number of tables, at least ``tables``, for ``n`` vectors of a kind of length.
+
+    There are as many hashes as give each vector a bucket of its own, or fewer where that would need too many tables. Where
+    no number of tables does, as for thresholds near and below 0, all vectors meet in one bucket.
+    """
+    if parts is not None:
+        needed = tables_needed(threshold, length, parts, probes)
+        if needed is None:
+            raise ValueError(f"{parts} hashes per key need more than {_MOST_TABLES} tables at a threshold of {threshold}")
+        return parts, max(tables, needed)
+    for k in range(min(_MOST_PARTS, max(1, math.ceil(math.log(max(2, n)) / math.log(2 * padded(length))))), 0, -1):
+        needed = tables_needed(threshold, length, k, probes)
+        if needed is not None:
+            return k, max(tables, needed)
+    return 0, 1
+
+
 def unit(vector: np.ndarray | None) -> bytes | None:
     """The vector scaled to length one, as bytes of doubles; None if it is null, zero or not finite."""
     if vector is None or not len(vector) or not np.isfinite(vector).all():
@@ -100,22 +174,24 @@ def unit_column(vector: Column) -> Column:
     return units(vector)
 
 
-def bucket_column(units: Column, tables: int, parts: int, probes: int) -> Column:
-    """An array for each table with the keys of the nearest buckets."""
+def bucket_column(units: Column, first: Column, schemes: dict[int, tuple[int, int]], probes: int) -> Column:
+    """An array for each table, from ``first`` on and ``_AT_ONCE`` at most, with the keys of the nearest buckets."""
 
     @F.arrow_udf("array<array<bigint>>")
-    def buckets(column: pa.Array) -> pa.Array:
-        lengths = np.array([len(u.as_py()) for u in column])
+    def buckets(column: pa.Array, firsts: pa.Array) -> pa.Array:
+        lengths = np.array([len(u.as_py()) // 8 for u in column])
+        starts = firsts.to_numpy(zero_copy_only=False)
         out: list = [None] * len(column)
-        for length in np.unique(lengths):
-            rows = np.nonzero(lengths == length)[0]
+        for length, start in set(zip(lengths.tolist(), starts.tolist())):
+            rows = np.nonzero((lengths == length) & (starts == start))[0]
             x = _matrix(column.take(pa.array(rows)))
-            keys = np.stack([table_keys(x, t, parts, probes) for t in range(tables)], axis=1)
+            parts, tables = schemes[kind(length)]
+            keys = np.stack([table_keys(x, t, parts, probes) for t in range(start, min(tables, start + _AT_ONCE))], axis=1)
             for row, k in zip(rows, keys.tolist()):
                 out[row] = k
         return pa.array(out, type=pa.list_(pa.list_(pa.int64())))
 
-    return buckets(units)
+    return buckets(units, first)
 
 
 def cosine_column(a: Column, b: Column) -> Column:
@@ -128,10 +204,15 @@ def cosine_column(a: Column, b: Column) -> Column:
 
 def class_links(classes: DataFrame, threshold: float, tables: int, probes: int, parts: int | None) -> DataFrame:
     """Verified pairs ``a < b`` of classes (``class``, ``unit``, ``size`` in bytes) that meet in a bucket."""
-    if parts is None:
-        n, length = classes.agg(F.count("*"), F.max(F.length("unit"))).first()
-        parts = max(1, math.ceil(math.log(max(2, n)) / math.log(2 * max(2, (length or 16) // 8))))
-    keyed = stored(classes.select("class", bucket_column(F.col("unit"), tables, parts, probes).alias("keys")), "buckets")
+    counts: dict[int, int] = {}
+    for r in classes.groupBy((F.length("unit") / 8).cast("int").alias("length")).count().collect():
+        counts[kind(r["length"])] = counts.get(kind(r["length"]), 0) + r["count"]
+    schemes = {length: scheme(n, length, threshold, tables, probes, parts) for length, n in counts.items()}
+    last = F.lit(0)
+    for length in sorted(schemes, reverse=True):
+        last = F.when(F.length("unit") <= 8 * length, F.lit(schemes[length][1] - 1)).otherwise(last)
+    each = classes.select("class", "unit", F.explode(F.sequence(F.lit(0), last, F.lit(_AT_ONCE))).alias("first"))
+    keyed = stored(each.select("class", bucket_column(F.col("unit"), F.col("first"), schemes, probes).alias("keys")), "buckets")
     index = keyed.select(F.col("class").alias("b"), F.explode(F.transform("keys", lambda k: k[0])).alias("b_key"))
     probe = keyed.select(F.col("class").alias("a"), F.explode(F.flatten("keys")).alias("a_key"))
     met = probe.join(index, (F.col("a_key") == F.col("b_key")) & (F.col("a") != F.col("b")))
@@ -148,7 +229,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: its id, ``n_links``, ``component_id`` and ``kept``.
 
-    ``parts`` hashes make a key, by default as many as give each of the vectors a bucket of its own. Null and zero
+    ``parts`` hashes make a key, by default as many as give each of the vectors a bucket of its own; there are ``tables``
+    tables, or more where pairs at the threshold need them (``scheme``). Null and zero
     vectors and those with null or non-finite components have no links and are components of their own. Vectors of unlike
     length have no links with each other. Equal vectors are all linked, also rows with the same id. A null id counts as larger than
     any other and is never kept. An empty table gives an empty result; further columns are ignored.

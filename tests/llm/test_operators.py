@@ -343,6 +343,29 @@ def test_recall_at_the_threshold_and_no_false_link(spark):
     assert sum(out.values()) >= 0.98 * degree.sum()
 
 
+@pytest.mark.parametrize(("n", "parts"), [(500, 2), (16_385, 3), (2_097_153, 4)])
+def test_recall_at_the_threshold_is_the_same_for_any_number_of_vectors(n, parts):
+    found, tables = polytope.scheme(n, 64, threshold=0.9, tables=12, probes=4)
+    assert found == parts
+    x, y = polytope.pairs_at(0.9, 2000, 64, seed=5)
+    met = np.zeros(2000, dtype=bool)
+    for t in range(tables):
+        met |= polytope.meet(x, y, t, parts, 4)
+    assert met.mean() >= 0.998
+
+
+def test_links_of_a_small_table_are_found_with_the_keys_of_a_large_one(spark):
+    x, y = polytope.pairs_at(0.901, 300, 64, seed=6)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = polytope.near_duplicates(table, parts=4).collect()
+    assert sum(r.n_links for r in out) >= 2 * 299
+    # without hashes that find enough, every pair is compared
+    assert polytope.scheme(50, 64, -0.95, 12, 4) == (0, 1)
+    out = polytope.near_duplicates(table.limit(50), threshold=-0.95).collect()
+    assert {r.n_links for r in out} == {49} and {r.component_id for r in out} == {min(r.vec_id for r in out)}
+
+
 def test_vectors_of_messy_and_empty_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []),
