@@ -33,7 +33,11 @@ def clean_header(name: str) -> str:
 
 @dataclass(frozen=True)
 class FileForm:
-    """How the files of one group are written; files of a group also have one header line."""
+    """How the files of one group are written; files of a group also have one header line.
+
+    ``header`` is the first line that is not blank, a line of more than ``SNIFF_CHARS`` with a digest of all of it in place
+    of the rest. A header that may run over a line end has its file's path instead, so no other file is read by it.
+    """
 
     sep: str
     encoding: str
@@ -66,10 +70,16 @@ def file_forms(
         "value",
     )
     rank = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    first = lines.select("file", "at", F.substring("value", 1, SNIFF_CHARS).alias("value")).withColumn("rank", rank).where("rank <= 50")
+    # blank lines are those that the CSV reader skips before a header
+    written = lines.where(F.col("value").rlike(r"[^\x00-\x20]"))
+    rest = F.when(F.length("value") > SNIFF_CHARS, F.sha2(F.col("value").cast("binary"), 256)).otherwise("")
+    first = written.select("file", "at", F.substring("value", 1, SNIFF_CHARS).alias("value"), rest.alias("rest"))
+    first = first.withColumn("rank", rank).where("rank <= 50")
     heads: dict[str, list[str]] = {}
-    for r in first.orderBy("file", "rank").select("file", "value").toLocalIterator():
+    rests: dict[str, str] = {}
+    for r in first.orderBy("file", "rank").select("file", "value", "rest").toLocalIterator():
         heads.setdefault(r.file, []).append(r.value)
+        rests.setdefault(r.file, r.rest)
     heads = {file: text for file, text in heads.items() if any(map(str.strip, text))}
     traits = {}
     if encoding is None or multi_line is None:
@@ -80,11 +90,13 @@ def file_forms(
     for file, text in heads.items():
         own = sep or sniff_separator("\n".join(text)[:SNIFF_CHARS])
         found = traits.get(file)
+        whole = bool(found[f"open_{separators.index(own)}"]) if multi_line is None else multi_line
+        runs_on = whole and (rests[file] or text[0].count('"') % 2)
         form = FileForm(
             own,
             encoding or ("UTF-8" if found.utf8 else "ISO-8859-1"),
-            bool(found[f"open_{separators.index(own)}"]) if multi_line is None else multi_line,
-            text[0],
+            whole,
+            file if runs_on else text[0] + rests[file],
         )
         groups.setdefault(form, []).append(_literal_path(file))
     return groups

@@ -65,6 +65,26 @@ def test_only_fields_that_run_over_a_line_end_make_a_file_whole(spark, tmp_path,
     assert [f.multi_line for f in forms] == [expected]
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("", ""),
+        (",".join(f"column {i}" for i in range(400)) + ",", "," * 400),
+        ("\n", ""),
+        (" \n" * 60, ""),
+        ('"Link\n', '"x\n'),
+    ],
+)
+def test_files_meet_under_whole_headers_only(spark, tmp_path, before, after):
+    closing = '"' if before.startswith('"') else ""
+    folder = tmp_path / "links"
+    folder.mkdir()
+    for name, columns, row in (("a.csv", ("Source", "Destination"), ("s", "d")), ("b.csv", ("Destination", "Source"), ("d", "s"))):
+        (folder / name).write_text(f"{before}{columns[0]}{closing},{columns[1]}\n{after}{row[0]}{closing},{row[1]}\n")
+    rows = [(r.source[-1], r.destination[-1]) for r in read_links_csv(spark, str(folder)).collect()]
+    assert rows == [("s", "d")] * 2
+
+
 def test_blank_header_keeps_the_columns_in_place(spark, tmp_path):
     data = " Source ,,Destination\na,x,b\n"
     row = read_links_csv(spark, write(tmp_path, data.encode())).first()
