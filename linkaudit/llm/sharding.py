@@ -86,10 +86,12 @@ def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return running_total(docs.withColumns({draw: spread, one: F.lit(1).cast("long")}), [shard], draw, [id_col], one, into).drop(draw, one)
 
 
-def report(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", first: int = 16) -> DataFrame:
     """One row per document: id, ``size`` (UTF-8 bytes and one), ``text_crc32``, ``law`` (``key``: the id and the number
     of shards decide), ``shard``, ``slot`` and ``grown_shard``, the shard when there is one more.
 
+    The added shard is a region of its own at any number of shards: both trees have the same ``first`` shards, all of them
+    if there are fewer. To grow on from fewer than 16 shards, name the number of shards at the beginning as ``first`` from then on.
     A null text has no bytes, repeated rows are one row each with slots of their own, null ids count as one id, and
     an empty table gives an empty result. Further columns are ignored.
     """
@@ -98,15 +100,19 @@ def report(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("__id"), (F.length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    out = assigned(narrow, tree_of(shards), "__id", "shard")
-    out = assigned(out, tree_of(shards + 1), "__id", "grown_shard")
+    first = min(first, shards)
+    out = assigned(narrow, tree_of(shards, first), "__id", "shard")
+    out = assigned(out, tree_of(shards + 1, first), "__id", "grown_shard")
     out = with_slots(out, "__id", "text_crc32")
     return out.select(F.col("__id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns and ``shard`` and ``slot``, ready to be written by shard; columns of these two names are replaced."""
-    return with_slots(assigned(docs, tree_of(shards), id_col, "shard"), id_col, text_col)
+def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", first: int = 16) -> DataFrame:
+    """The documents with all their columns and ``shard`` and ``slot``, ready to be written by shard; columns of these two names are replaced.
+
+    ``first`` as in ``report``.
+    """
+    return with_slots(assigned(docs, tree_of(shards, first), id_col, "shard"), id_col, text_col)
 
 
 def write_shards(docs: DataFrame, path: str, shard: str = "shard", slot: str = "slot", files_per_shard: int = 1) -> None:

@@ -193,6 +193,18 @@ def test_rows_move_only_where_weights_change(spark):
         sharding.assigned(ids, [*tree, tree[0]])
 
 
+@pytest.mark.parametrize("shards", [1, 6, 12, 20])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
+    out = sharding.report(docs, shards=shards).collect()
+    assert {r.shard for r in out} == set(range(shards))
+    assert all(r.grown_shard in (r.shard, shards) for r in out)
+    assert any(r.grown_shard == shards for r in out)
+    assert {r.doc_id: r.shard for r in sharding.sharded(docs, shards=shards).collect()} == {r.doc_id: r.shard for r in out}
+    grown = sharding.report(docs, shards=shards + 1, first=shards if shards < 16 else 16).collect()
+    assert {r.doc_id: r.shard for r in grown} == {r.doc_id: r.grown_shard for r in out}
+
+
 def test_written_shards_hold_their_rows(spark, tmp_path):
     docs = sharding.sharded(spark.range(300).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text"))
     sharding.write_shards(docs, str(tmp_path / "out"), files_per_shard=2)
