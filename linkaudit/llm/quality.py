@@ -192,7 +192,7 @@ def train(
     """Fit the model on at most ``max_rows`` labelled documents that are not held out.
 
     Labels that are null or neither 0 nor 1 and null ids are left out; a document with unlike labels counts
-    with the smaller one.
+    with the smaller one. Of documents with the same id the one whose text has the smallest hash counts, once.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     sample = (
@@ -200,8 +200,9 @@ def train(
         .orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
     )
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    # at most max_rows ids and labels are broadcast
-    rows = texts.join(F.broadcast(sample), "__id").select("__id", "__label", features_column(F.col("__text")).alias("x")).toPandas()
+    # at most max_rows ids and labels are broadcast, and one row for each comes to the driver
+    found = texts.join(F.broadcast(sample), "__id").groupBy("__id", "__label").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__least"))
+    rows = found.select("__id", "__label", features_column(F.col("__least.__text")).alias("x")).toPandas()
     if rows.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.array(rows["x"].tolist(), dtype=np.float64)

@@ -100,6 +100,20 @@ def test_classifier_learns_only_from_labels_outside_the_held_out_rows(spark):
     assert all(r.predicted == r.doc_id % 2 == (r.score >= 0.5) for r in out)
 
 
+def test_rows_of_one_id_are_learned_from_once(spark, monkeypatch):
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hot = free[0]
+    rows = [(i, f"text number {i}") for i in range(40)] + [(hot, f"other text {k}") for k in range(300)] + [(hot, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    for some in (rows, rows[::-1]):
+        quality.train(spark.createDataFrame(some, "doc_id long, text string").repartition(7), labels)
+        quality.train(spark.createDataFrame(some, "doc_id long, text string"), labels, max_rows=5)
+    assert [len(x) for x, _ in seen] == [len(free), 5] * 2
+    assert all(np.array_equal(a, b) for one, other in zip(seen[:2], seen[2:]) for a, b in zip(one, other))
+
+
 def test_classifier_on_messy_empty_and_unlabelled_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(messy(spark), none)
