@@ -7,13 +7,16 @@ window is looked up by the rarest one. A match gives the window's place in the d
 positional bound (it may not begin before the document) and the length bound (nor end after it) come
 next, then the words are compared one by one.
 
-The index of the benchmark goes to every task. It is cut into blocks of at most about
-``block_bytes`` of text; each block has its own pass, so the index never grows with the benchmark.
+The index of the benchmark goes to every task. It is cut into blocks of less than twice
+``block_bytes`` of text; each block has its own pass, so the index never grows with the benchmark or with one of its items:
+longer items are cut into pieces with all of their windows. Only a window that is longer by itself stays whole.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkaudit.llm.common import stored
+from linkaudit.llm.common import running_total, stored
 
 SHINGLE = 3
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -35,6 +38,30 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def pieces(text: bytes, window: int, limit: int) -> Iterator[bytes]:
+    """The text, or if it has more than ``limit`` bytes its words in pieces that share ``window`` - 1 words, each of at least ``window``."""
+    if len(text) <= limit:
+        yield text
+        return
+    flat = re.sub(rb" +", b" ", text.translate(_TABLE))
+    start, end, n, last = 0, 0, 0, deque(maxlen=max(0, window - 1))
+    for word in re.finditer(rb"[^ ]+", flat):
+        if n >= window and word.end() - start > limit:
+            yield flat[start:end]
+            start, n = (last[0] if last else word.start()), len(last)
+        last.append(word.start())
+        end, n = word.end(), n + 1
+    yield flat[start:end]
+
+
+def _pieces_column(text: Column, window: int, limit: int) -> Column:
+    @F.arrow_udf("array<binary>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([list(pieces(t.as_py(), window, limit)) for t in texts], type=pa.list_(pa.binary()))
+
+    return cut(text)
+
+
 class Index:
     """Windows of one block of items, as arrays. ``rarest`` chooses the shingle each window is found by."""
 
@@ -209,13 +236,19 @@ def with_overlap(
     """
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
     items = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text")).distinct()
-    items = stored(items, "items")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = items.select("name", F.explode(_pieces_column(F.col("text"), window, block_bytes)).alias("text"))
+    items = stored(items.withColumns({"bytes": F.length("text").cast("long"), "all": F.lit(0)}), "items")
+    size = items.agg(F.sum("bytes")).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
+    block = F.lit(0)
+    if blocks > 1:
+        spread = F.shiftrightunsigned(F.xxhash64("name", "text"), 12) / F.lit(float(2**52))
+        items = stored(running_total(items.withColumn("draw", spread), ["all"], "draw", ["name", "text"], "bytes", "before"), "blocks")
+        block = F.floor(F.col("before") / block_bytes)
     texts = docs.select(F.col(text_col).cast("binary"))
     out = docs
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
+        part = items.where(block == k)
         index = Index([(r["name"], bytes(r["text"])) for r in part.collect()], window)
         index.rarest(_counted(texts, index))
         out = out.withColumn(into, _found(index, docs, F.col(text_col), into if k else None))

@@ -437,6 +437,23 @@ def test_overlap_equals_a_plain_version(spark, block_bytes):
         assert r.contaminated == (expected[1] > 0 and 20 * expected[1] >= expected[0])
 
 
+def test_long_items_are_cut_into_blocks_of_bounded_size(spark, monkeypatch):
+    words = [f"w{i}" for i in range(600)]
+    blocks, made = [], decontaminate.Index.__init__
+    monkeypatch.setattr(decontaminate.Index, "__init__", lambda self, items, window: blocks.append(sum(len(t) for _, t in items)) or made(self, items, window))
+    benchmark = spark.createDataFrame([(1, " -- ".join(words)), (2, "w1 other words")], "item_id long, text string")
+    texts = [" ".join(words), " ".join(words[297:302]), " ".join(words[100:104]), "other w1 other words", " ".join(words[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.report(docs, benchmark, window=5, block_bytes=1200).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items) for r in out] == [(600, 1), (5, 1), (0, 0), (3, 1), (0, 0)]
+    assert len(blocks) > 1 and max(blocks) < 2400
+    for window in (1, 2, 5):
+        parts = [p.split() for p in decontaminate.pieces(texts[0].encode(), window, 50)]
+        cut = [tuple(p[i : i + window]) for p in parts for i in range(len(p) - window + 1)]
+        whole = texts[0].encode().split()
+        assert cut == [tuple(whole[i : i + window]) for i in range(len(whole) - window + 1)]
+
+
 def test_decontamination_of_messy_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "plain words about nothing")], "item_id long, text string")
     kept = decontaminate.keep_clean(messy(spark), items)
