@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkaudit.llm import chat, decontaminate, mixing, planes, polytope, quality, secrets, sharding, simhash, warc
+from linkaudit.llm import chat, decontaminate, mixing, planes, polytope, quality, secrets, sharding, simhash, substrings, warc
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op10_secret_scan(spark, sf):
 @query
 def op7_embedding_near_duplicates(spark, sf):
     return polytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9, tables=12, probes=4)
+
+
+@query
+def op11_substring_dedup(spark, sf):
+    return substrings.report(table(spark, sf, "documents"), window=13)
