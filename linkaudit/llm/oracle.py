@@ -93,5 +93,38 @@ c AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT c.vec_id, l.b FROM c JOIN l
 m AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY vec_id),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+""",
+    "op13_filter_interactions": r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+        least IS NOT NULL AND (doc_id IS NULL OR least < doc_id) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+    FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+    SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p JOIN x q ON q.x != p.x JOIN x r ON r.x NOT IN (p.x, q.x)
+    JOIN x s ON s.x NOT IN (p.x, q.x, r.x) JOIN x t ON t.x NOT IN (p.x, q.x, r.x, s.x)),
+k AS (
+    SELECT m.*, filter_order, least(CASE WHEN a THEN strpos(filter_order, 'A') ELSE 9 END, CASE WHEN b THEN strpos(filter_order, 'B') ELSE 9 END,
+        CASE WHEN c THEN strpos(filter_order, 'C') ELSE 9 END, CASE WHEN d THEN strpos(filter_order, 'D') ELSE 9 END,
+        CASE WHEN e THEN strpos(filter_order, 'E') ELSE 9 END) AS gone
+    FROM m, o),
+s AS (
+    SELECT *, CASE letter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails
+    FROM (SELECT k.*, step, substr(filter_order, step, 1) AS letter FROM k, (SELECT unnest(range(1, 6)) AS step))),
+g AS (
+    SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (gone > step), 0) AS kept, coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+        coalesce(sum(n) FILTER (fails AND gone < step), 0) AS redundant,
+        coalesce(sum(n) FILTER (fails AND a::INT + b::INT + c::INT + d::INT + e::INT = 1), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (gone = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0) AS toxic_lost
+    FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM g
 """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkaudit.llm import chat, decontaminate, mixing, planes, polytope, quality, secrets, sharding, simhash, substrings, warc
+from linkaudit.llm import chat, decontaminate, filter_audit, mixing, planes, polytope, quality, secrets, sharding, simhash, substrings, warc, whitening
 from linkaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,13 @@ def op7_embedding_near_duplicates(spark, sf):
 @query
 def op11_substring_dedup(spark, sf):
     return substrings.report(table(spark, sf, "documents"), window=13)
+
+
+@query
+def op13_filter_interactions(spark, sf):
+    return filter_audit.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op12_embedding_whitening(spark, sf):
+    return whitening.report(table(spark, sf, "embeddings"), wanted=4)
