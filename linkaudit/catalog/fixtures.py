@@ -172,17 +172,19 @@ FROM fx_links GROUP BY source
     "SELECT 1 AS unused",
 )
 
-# Page vectors: a theme vector mixed with one of the page's own; every page has one.
+# Page vectors: each of the delivered vectors mixed with that of one of forty themes; the vector's number names the page.
 FIXTURES["fx_page_vectors"] = (
-    """
-SELECT p.page_id, p.url AS id, zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * w + CAST(y AS DOUBLE) * (1D - w)) AS embedding
-FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 0.9D WHEN 1 THEN 0.7D ELSE 0.5D END AS w FROM pages) p
-JOIN embeddings a ON a.vec_id = p.page_id % 40 JOIN embeddings b ON b.vec_id = p.page_id % (SELECT count(*) FROM embeddings)
+    f"""
+SELECT concat('{SITE}guide/p', {_text('e.vec_id')}) AS id,
+  zip_with(a.embedding, e.embedding, (x, y) -> CAST(x AS DOUBLE) * e.w + CAST(y AS DOUBLE) * (1D - e.w)) AS embedding
+FROM (SELECT vec_id, embedding, CASE vec_id % 3 WHEN 0 THEN 0.9D WHEN 1 THEN 0.7D ELSE 0.5D END AS w FROM embeddings) e
+JOIN embeddings a ON a.vec_id = e.vec_id % 40
 """,
-    """
-SELECT p.page_id, p.url AS id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * w + z[2]::DOUBLE * (1 - w)) AS embedding
-FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS w FROM pages) p
-JOIN embeddings a ON a.vec_id = p.page_id % 40 JOIN embeddings b ON b.vec_id = p.page_id % (SELECT count(*) FROM embeddings)
+    f"""
+SELECT concat('{SITE}guide/p', {_text('e.vec_id')}) AS id,
+  list_transform(list_zip(a.embedding, e.embedding), lambda z: z[1]::DOUBLE * e.w + z[2]::DOUBLE * (1 - e.w)) AS embedding
+FROM (SELECT vec_id, embedding, CASE vec_id % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS w FROM embeddings) e
+JOIN embeddings a ON a.vec_id = e.vec_id % 40
 """,
 )
 
@@ -200,6 +202,15 @@ SELECT anchor, CAST(sum(n) AS BIGINT) AS links FROM (
 ) t GROUP BY anchor
 """
 
+# Anchors of a site with one dominant subject: two words weigh more than the five of the title, and one anchor stands apart.
+FIXTURES["fx_dominant_anchors"] = f"""
+SELECT anchor, CAST(sum(n) AS BIGINT) AS links FROM (
+  SELECT concat('guide guide guide guide bois bois', {", ".join(f"' ', split_part(ti, ' ', {n})" for n in range(1, 6))}) AS anchor, 1 AS n
+  FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS ti FROM pages) a
+  UNION ALL SELECT 'mentions imprimeur', 1
+) t GROUP BY anchor
+"""
+
 NEEDS = {
     "fx_labels": ("fx_links",),
     "fx_urls": ("fx_links",),

@@ -612,18 +612,19 @@ ORACLE["coherence_summary"] = _links(
 )
 
 
-def _dbscan(points: str, min_samples: int) -> str:
-    """DBSCAN over ``points(id, e, weight)`` with a radius of 0.2: components by recursion."""
+def _dbscan(points: str, min_samples: int, cosine: float = 0.8, tag: str = "") -> str:
+    """DBSCAN over ``points(id, e, weight)`` with a radius of 1 less the cosine: components by recursion. The result is ``db`` and the tag."""
+    near, core, ce, reach, lab = (f"{name}{tag}" for name in ("near", "core", "ce", "reach", "lab"))
     return f"""
-near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.weight AS weight FROM {points} a JOIN {points} b
-  ON a.id = b.id OR round(list_cosine_similarity(a.e, b.e), 9) >= 0.8),
-core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING sum(weight) >= {min_samples}),
-ce AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
-reach AS (SELECT id, id AS seen FROM core UNION SELECT reach.id, ce.b FROM reach JOIN ce ON ce.a = reach.seen),
-lab AS MATERIALIZED (SELECT id, min(seen) AS label FROM reach GROUP BY id),
-db AS (SELECT p.id, p.weight, p.id IN (SELECT id FROM core) AS is_core, coalesce(lab.label, bd.label) AS label FROM {points} p
-  LEFT JOIN lab ON lab.id = p.id
-  LEFT JOIN (SELECT near.a, min(lab.label) AS label FROM near JOIN lab ON lab.id = near.b GROUP BY near.a) bd ON bd.a = p.id)"""
+{near} AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.weight AS weight FROM {points} a JOIN {points} b
+  ON a.id = b.id OR round(list_cosine_similarity(a.e, b.e), 9) >= {cosine}),
+{core} AS MATERIALIZED (SELECT a AS id FROM {near} GROUP BY a HAVING sum(weight) >= {min_samples}),
+{ce} AS MATERIALIZED (SELECT a, b FROM {near} WHERE a IN (SELECT id FROM {core}) AND b IN (SELECT id FROM {core})),
+{reach} AS (SELECT id, id AS seen FROM {core} UNION SELECT {reach}.id, {ce}.b FROM {reach} JOIN {ce} ON {ce}.a = {reach}.seen),
+{lab} AS MATERIALIZED (SELECT id, min(seen) AS label FROM {reach} GROUP BY id),
+db{tag} AS MATERIALIZED (SELECT p.id, p.weight, p.id IN (SELECT id FROM {core}) AS is_core, coalesce({lab}.label, bd.label) AS label FROM {points} p
+  LEFT JOIN {lab} ON {lab}.id = p.id
+  LEFT JOIN (SELECT {near}.a, min({lab}.label) AS label FROM {near} JOIN {lab} ON {lab}.id = {near}.b GROUP BY {near}.a) bd ON bd.a = p.id)"""
 
 
 ORACLE["density_clusters"] = _sql(
@@ -631,13 +632,23 @@ ORACLE["density_clusters"] = _sql(
     ctes="pt AS MATERIALIZED (SELECT id, embedding AS e, 1 AS weight FROM fx_page_vectors)," + _dbscan("pt", 3),
     body="SELECT id, is_core, label FROM db",
 )
-# One dominant cluster would be searched again; the anchors of this fixture form many.
-THEMES = f"""
-pt AS MATERIALIZED (SELECT anchor AS id, {_vector('anchor')} AS e, links AS weight FROM fx_theme_anchors WHERE length(trim(anchor)) > 3),
+
+
+def _themes(anchors: str) -> str:
+    """Themes of at least two links; a single cluster with more than half of the points besides noise is searched with the smaller radius."""
+    return f"""
+pt AS MATERIALIZED (SELECT anchor AS id, {_vector('anchor')} AS e, links AS weight FROM {anchors} WHERE length(trim(anchor)) > 3),
 {_dbscan('pt', 2)},
-th AS (SELECT id AS anchor, weight AS links, label AS theme FROM db
-  WHERE label IN (SELECT label FROM db GROUP BY label HAVING sum(weight) >= 2))"""
+{_dbscan('pt', 2, 0.85, '_close')},
+again AS MATERIALIZED (SELECT count(DISTINCT label) = 1 AND bool_or(label IS NULL) AND 2 * sum(weight) FILTER (label IS NOT NULL) > sum(weight) AS dominant FROM db),
+cl AS (SELECT db.* FROM db, again WHERE NOT dominant UNION ALL SELECT db_close.* FROM db_close, again WHERE dominant),
+th AS (SELECT id AS anchor, weight AS links, label AS theme FROM cl
+  WHERE label IN (SELECT label FROM cl GROUP BY label HAVING sum(weight) >= 2))"""
+
+
+THEMES = _themes("fx_theme_anchors")
 ORACLE["cluster_themes"] = _sql("fx_theme_anchors", ctes=THEMES, body="SELECT * FROM th")
+ORACLE["cluster_themes_dominant"] = _sql("fx_dominant_anchors", ctes=_themes("fx_dominant_anchors"), body="SELECT * FROM th")
 
 
 def _uses(stops: tuple[str, ...]) -> str:

@@ -747,6 +747,12 @@ def cluster_themes(spark, sf):
     return _themes(spark, sf)
 
 
+@query
+def cluster_themes_dominant(spark, sf):
+    """One subject holds nearly all anchors, so they are searched again with the smaller radius."""
+    return T.cluster_themes(fixture(spark, sf, "fx_dominant_anchors"), min_cluster_size=2)
+
+
 @query
 def name_themes(spark, sf):
     return T.name_themes(_themes(spark, sf))

@@ -1,9 +1,7 @@
 """Exact all-pairs cosine work over vectors, in bounded blocks.
 
-Vectors are grouped into cells around pivots. By the triangle inequality of angles a vector can
-only have partners in a cell whose pivot lies within the search angle plus the radius of that
-cell, so it is sent to those cells alone. Cells above the block size are split, so one crowded
-region becomes many blocks. Each pair of blocks is one matrix product in one task, and a task
+Which vectors meet is found by a tree of pivots (``cells``) or, for vectors that are mostly zero, by lists of buckets
+(``sparse_pairs``). Each pair of blocks is one matrix product in one task, and a task
 never passes on all of its pairs: it returns its best pairs, a sum per vector, or a spanning
 forest, each at most linear in the block.
 """
@@ -11,7 +9,7 @@ forest, each at most linear in the block.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import py_strip, text_md5
 from ..functions.vectors import COSINE_DIGITS, dot, hashed_vector, unit
 from ..session import cut_lineage
+from . import sparse_pairs
+from .cells import PivotTree, dealt_to_cells, matrix, pivot_tree
 from .classify import editorial
 from .graph import linked_similar_filter
 
 #: Vectors per block; a task holds two blocks and their product matrix (8 bytes a cell).
 BLOCK_ROWS = 2048
-#: Angles a task computes at once.
-_ANGLES = 1 << 22
 #: Thresholds tried, from above, until enough pairs lie over one: the higher, the fewer cells a vector reaches.
 _FALLING = (0.98, 0.95, 0.9, 0.8, 0.7)
 
@@ -40,17 +38,6 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return scaled.where("unit IS NOT NULL")
 
 
-# --- Arrow helpers -------------------------------------------------------------------
-
-
-def _matrix(column) -> np.ndarray:
-    """A list column as a matrix, without a copy per row."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
-
-
 @dataclass(frozen=True)
 class Search:
     """Which pairs count: cosine above ``threshold``, or equal to it if ``inclusive``."""
@@ -69,103 +56,69 @@ class Search:
 # --- Blocks ----------------------------------------------------------------------------
 
 
-def assign_blocks(units: DataFrame, search: Search, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """``(id, unit, block, targets)`` and the number of blocks.
+@dataclass(frozen=True)
+class Candidates:
+    """Vectors (``id``, ``unit``, further columns) with the blocks they are compared in.
 
-    ``units (id, unit)`` must be cheap to read twice (a table or a checkpoint) with unique ids.
-    There is a pivot for every ``block_rows`` vectors, so cells keep their size as the vectors become more.
-    The driver holds the pivots and one row per cell.
+    ``rows`` has the block of a vector and those it is sent to (``block``, ``targets``), or a row for each time it is sent (``short``,
+    ``bin``, ``low``, ``high``, ``right``). ``met`` tells which pairs of two blocks count there, where a pair can meet in several.
     """
-    total = units.count()
-    wanted = int(max(1, -(-total // block_rows)))
-    pivots = np.array(
-        [r.unit for r in units.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], dtype="float64"
-    )
-    if not len(pivots):
-        empty = units.select("id", "unit", F.lit(0).alias("block"), F.array(F.lit(0)).alias("targets"))
-        return empty, 1
-
-    rows_at_once = max(1, _ANGLES // len(pivots))
-
-    def sliced(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                yield batch.slice(at, rows_at_once)
-
-    def home_cells(batches):
-        for batch in sliced(batches):
-            angles = np.arccos(np.clip(_matrix(batch.column("unit")) @ pivots.T, -1.0, 1.0))
-            cell = angles.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype("int32")), pa.array(angles[np.arange(len(cell)), cell])], ["cell", "angle"]
-            )
-
-    cells = (
-        units.select("unit")
-        .mapInArrow(home_cells, "cell int, angle double")
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
-        .collect()
-    )
-    radius = np.full(len(pivots), -np.inf)
-    parts = np.zeros(len(pivots), dtype="int64")
-    for c in cells:
-        radius[c.cell] = c.radius
-        parts[c.cell] = -(-c.n // block_rows)
-    first = np.concatenate([[0], np.cumsum(parts)])
-    reach = search.angle()
-
-    def targets(batches):
-        for batch in sliced(batches):
-            angles = np.arccos(np.clip(_matrix(batch.column("unit")) @ pivots.T, -1.0, 1.0))
-            cell = angles.argmin(axis=1)
-            own = first[cell] + np.asarray(batch.column("hash")) % parts[cell]
-            near = angles - radius[None, :] <= reach
-            near[np.arange(len(cell)), cell] = True
-            lists = [np.concatenate([np.arange(first[q], first[q + 1]) for q in np.flatnonzero(row)]) for row in near]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("unit"),
-                    pa.array(own.astype("int32")),
-                    pa.array([t.astype("int32") for t in lists], type=pa.list_(pa.int32())),
-                ],
-                ["id", "unit", "block", "targets"],
-            )
-
-    # A non-negative hash of the id spreads a large cell evenly over its parts.
-    hashed = units.select("id", "unit", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)).alias("hash"))
-    blocked = hashed.mapInArrow(targets, "id string, unit array<double>, block int, targets array<int>")
-    return blocked, int(first[-1])
-
-
-def block_pairs(
-    blocked: DataFrame, blocks: int, work: Callable[[dict, dict, bool], pa.Table], schema: str
-) -> DataFrame:
-    """Run ``work(left, right, same_block)`` once for every pair of blocks that can hold hits.
 
-    Both sides come as dicts of columns; ``unit`` is a matrix.
-    """
-    low, high = F.least("block", "target"), F.greatest("block", "target")
-    sent = (
-        blocked.withColumn("target", F.explode("targets"))
-        .withColumn("pair", low.cast("bigint") * blocks + high)
-        .withColumn("right", F.col("block") > F.col("target"))
-        .drop("targets", "target", "block")
-    )
+    rows: DataFrame
+    search: Search
+    met: Callable[[dict, dict], np.ndarray] | None = None
 
-    def run(key, table):  # no type hints: Spark reads them as a choice of interface
-        same = key[0].as_py() // blocks == key[0].as_py() % blocks
-        sides = []
-        for is_right in (False, True):
-            part = table.filter(pa.compute.equal(table["right"], is_right))
-            side = {n: part[n].combine_chunks() for n in part.column_names if n not in ("unit", "pair", "right")}
-            side["unit"] = _matrix(part["unit"])
-            sides.append(side)
-        left, right = sides
-        return work(left, left if same else right, same)
+    def joined(self, other: DataFrame, how: str = "inner") -> Candidates:
+        """With the columns of ``other (id, ...)``."""
+        return replace(self, rows=self.rows.join(other, "id", how))
 
-    return sent.groupBy("pair").applyInArrow(run, schema)
+    def stored(self) -> Candidates:
+        return replace(self, rows=cut_lineage(self.rows))
+
+    def sent(self) -> DataFrame:
+        if "targets" not in self.rows.columns:
+            return self.rows
+        low, high = F.least("block", "target"), F.greatest("block", "target")
+        sent = self.rows.withColumn("target", F.explode("targets"))
+        sent = sent.withColumns({"short": F.lit(False), "bin": F.lit(0).cast("bigint"), "low": low, "high": high, "right": F.col("block") > F.col("target")})
+        return sent.drop("targets", "target", "block")
+
+    def compared(self, work: Callable[..., pa.Table], schema: str) -> DataFrame:
+        """Run ``work(left, right, same_block, cosines, hits)`` once for every pair of blocks that can hold hits.
+
+        Both sides come as dicts of columns; ``unit`` is a matrix.
+        """
+        search, met, where = self.search, self.met, ("short", "bin", "low", "high", "right")
+
+        def run(key, table):  # no type hints: Spark reads them as a choice of interface
+            same = key[2].as_py() == key[3].as_py()
+            sides = []
+            for is_right in (False, True):
+                part = table.filter(pa.compute.equal(table["right"], is_right))
+                side = {n: part[n].combine_chunks() for n in part.column_names if n not in ("unit", *where)}
+                side["unit"] = matrix(part["unit"])
+                sides.append(side)
+            left, right = sides
+            if same:
+                right = left
+            cosines = _products(left, right)
+            hit = search.hits(cosines)
+            if met is not None:
+                hit &= met(left, right)
+            return work(left, right, same, cosines, hit)
+
+        return self.sent().groupBy("short", "bin", "low", "high").applyInArrow(run, schema)
+
+
+def candidates(units: DataFrame, search: Search, block_rows: int = BLOCK_ROWS) -> Candidates:
+    """The vectors of ``units (id, unit)`` and where they meet; ``units`` must be cheap to read several times and have unique ids."""
+    if search.threshold > 0 and sparse_pairs.fits(units):
+        return Candidates(sparse_pairs.dealt_to_lists(units, search.threshold, block_rows), search, sparse_pairs.met_first)
+    return in_cells(pivot_tree(units, block_rows), search)
+
+
+def in_cells(tree: PivotTree, search: Search) -> Candidates:
+    return Candidates(dealt_to_cells(tree, search.angle()), search)
 
 
 def _products(left: dict, right: dict) -> np.ndarray:
@@ -177,12 +130,10 @@ def _products(left: dict, right: dict) -> np.ndarray:
 # --- What a pair of blocks returns -----------------------------------------------------
 
 
-def _pairs_of(search: Search, limit: int):
+def _pairs_of(limit: int):
     """Pairs with smaller id first; the best ``limit`` of the block pair."""
 
-    def work(left, right, same):
-        cosines = _products(left, right)
-        hit = search.hits(cosines)
+    def work(left, right, same, cosines, hit):
         if same:
             hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
@@ -203,11 +154,10 @@ def _pairs_of(search: Search, limit: int):
     return work
 
 
-def _neighbour_weights(search: Search):
+def _neighbour_weights():
     """Summed weight of the partners of each vector, itself left out."""
 
-    def work(left, right, same):
-        hit = search.hits(_products(left, right))
+    def work(left, right, same, _, hit):
         if same:
             np.fill_diagonal(hit, False)
         wl, wr = (np.asarray(s["weight"], dtype="float64") for s in (left, right))
@@ -220,11 +170,10 @@ def _neighbour_weights(search: Search):
     return work
 
 
-def _spanning_forest(search: Search):
+def _spanning_forest():
     """For each connected group within the two blocks, its members linked to its smallest id."""
 
-    def work(left, right, same):
-        hit = search.hits(_products(left, right))
+    def work(left, right, same, _, hit):
         nl, nr = hit.shape
         ids = left["id"].to_pylist() + ([] if same else right["id"].to_pylist())
         component = np.full(len(ids), -1)
@@ -257,11 +206,10 @@ def _spanning_forest(search: Search):
     return work
 
 
-def _smallest_label(search: Search):
+def _smallest_label():
     """For each vector without label, the smallest label among its partners."""
 
-    def work(left, right, same):
-        hit = search.hits(_products(left, right))
+    def work(left, right, same, _, hit):
         ll, lr = (np.asarray(s["label"].to_pylist(), dtype=object) for s in (left, right))
         names = sorted({n for n in (*ll, *lr) if n is not None})
         rank = {n: i for i, n in enumerate(names)}
@@ -284,21 +232,19 @@ def _smallest_label(search: Search):
     return work
 
 
-def neighbour_weights(blocked: DataFrame, blocks: int, search: Search) -> DataFrame:
-    """``(id, weight)``: summed weight of all partners, from ``blocked`` with a ``weight`` column."""
-    parts = block_pairs(blocked, blocks, _neighbour_weights(search), "id string, weight bigint")
-    return parts.groupBy("id").agg(F.sum("weight").alias("weight"))
+def neighbour_weights(found: Candidates) -> DataFrame:
+    """``(id, weight)``: summed weight of all partners, from candidates with a ``weight``."""
+    return found.compared(_neighbour_weights(), "id string, weight bigint").groupBy("id").agg(F.sum("weight").alias("weight"))
 
 
-def spanning_edges(blocked: DataFrame, blocks: int, search: Search) -> DataFrame:
+def spanning_edges(found: Candidates) -> DataFrame:
     """``(a, b)``: edges that connect what partners connect, far fewer than the partner pairs."""
-    return block_pairs(blocked, blocks, _spanning_forest(search), "a string, b string").distinct()
+    return found.compared(_spanning_forest(), "a string, b string").distinct()
 
 
-def smallest_labels(blocked: DataFrame, blocks: int, search: Search) -> DataFrame:
-    """``(id, label)`` for rows of ``blocked`` with a null ``label`` that have labelled partners."""
-    parts = block_pairs(blocked, blocks, _smallest_label(search), "id string, label string")
-    return parts.groupBy("id").agg(F.min("label").alias("label"))
+def smallest_labels(found: Candidates) -> DataFrame:
+    """``(id, label)`` for candidates with a null ``label`` that have labelled partners."""
+    return found.compared(_smallest_label(), "id string, label string").groupBy("id").agg(F.min("label").alias("label"))
 
 
 # --- Operators ----------------------------------------------------------------------------
@@ -321,13 +267,9 @@ def similar_page_pairs(
     units = unit_vectors(vectors.select(F.col("id").cast("string").alias("id"), "embedding"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy("id"))
     units = units.withColumn("_copy", rank).where(F.col("_copy") <= limit + 1).drop("_copy")
-    units = cut_lineage(units)
+    tree = pivot_tree(cut_lineage(units), block_rows)
     for level in (*(t for t in _FALLING if t > threshold), threshold):
-        search = Search(level)
-        blocked, blocks = assign_blocks(units, search, block_rows)
-        pairs = block_pairs(
-            blocked, blocks, _pairs_of(search, limit), "source string, target string, similarity double"
-        )
+        pairs = in_cells(tree, Search(level)).compared(_pairs_of(limit), "source string, target string, similarity double")
         best = cut_lineage(pairs.orderBy(F.desc("similarity"), "source", "target").limit(limit))
         if best.count() == limit:  # no pair below this level is among the best
             break

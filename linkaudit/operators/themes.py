@@ -14,7 +14,7 @@ from .aggregates import anchor_diversity
 from .similarity import (
     BLOCK_ROWS,
     Search,
-    assign_blocks,
+    candidates,
     neighbour_weights,
     smallest_labels,
     spanning_edges,
@@ -88,11 +88,10 @@ def density_clusters(
     search = Search(1.0 - eps, inclusive=True)
     units = unit_vectors(vectors.select(F.col("id").cast("string").alias("id"), "embedding", "weight"))
     places = cut_lineage(units.groupBy("unit").agg(F.min("id").alias("id"), F.sum("weight").alias("weight")))
-    blocked, blocks = assign_blocks(places.select("id", "unit"), search, block_rows)
-    blocked = cut_lineage(blocked)
+    found = candidates(places.select("id", "unit"), search, block_rows).stored()
 
     weights = places.select("id", "weight")
-    around = neighbour_weights(blocked.join(weights, "id"), blocks, search).withColumnRenamed("weight", "_around")
+    around = neighbour_weights(found.joined(weights)).withColumnRenamed("weight", "_around")
     density = cut_lineage(
         weights.join(around, "id", "left").select(
             "id",
@@ -101,15 +100,13 @@ def density_clusters(
         )
     )
     cores = density.where("is_core").select("id")
-    edges = spanning_edges(blocked.join(cores, "id", "left_semi"), blocks, search)
+    edges = spanning_edges(found.joined(cores, "left_semi"))
     components = connected_components(edges)
     core_labels = cut_lineage(
         cores.join(components, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     )
-    candidates = blocked.join(density.where("has_partners").select("id"), "id", "left_semi").join(
-        core_labels, "id", "left"
-    )
-    border = smallest_labels(candidates, blocks, search)
+    near = found.joined(density.where("has_partners").select("id"), "left_semi")
+    border = smallest_labels(near.joined(core_labels, "left"))
     labelled = density.select("id", "is_core").join(core_labels.unionByName(border), "id", "left")
 
     # Back from places to points: equal vectors share label and kind.

@@ -39,17 +39,19 @@ def test_repeated_links_are_not_part_of_the_comparison(spark, links_of):
 
 def test_replication_does_not_grow_with_clustered_vectors(spark):
     rng = np.random.default_rng(0)
-    centers = rng.normal(size=(24, 32))
 
-    def targets(copies):
-        rows = [(f"{c}-{i}", (centers[c] + rng.normal(size=32) * 0.02).tolist()) for c in range(24) for i in range(copies)]
+    def blocks_per_vector(groups, copies):
+        centers = rng.normal(size=(groups, 32))
+        rows = [(f"{c}-{i}", (centers[c] + rng.normal(size=32) * 0.02).tolist()) for c in range(groups) for i in range(copies)]
         units = V.unit_vectors(spark.createDataFrame(rows, "id string, embedding array<double>"))
-        blocked, _ = V.assign_blocks(units.cache(), V.Search(0.95), block_rows=32)
-        return blocked.agg(F.avg(F.size("targets"))).first()[0]
-
-    # four times the vectors and blocks, but hardly more blocks in reach of a vector
-    small, large = targets(32), targets(128)
-    assert large < 1.5 * small
+        sent = V.in_cells(V.pivot_tree(units.cache(), block_rows=32), V.Search(0.95)).sent()
+        return sent.count() / units.count()
+
+    # four times the groups and blocks, but hardly more blocks in reach of a vector
+    few, many = blocks_per_vector(24, 32), blocks_per_vector(96, 32)
+    assert many < 1.5 * few < 1.5 * 4
+    # groups of four blocks each: a vector reaches at most twice as many
+    assert blocks_per_vector(24, 128) < 2 * 4
 
 
 def test_falling_thresholds_give_the_same_best_pairs(spark):

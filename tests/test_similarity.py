@@ -55,14 +55,70 @@ def test_zero_vectors_have_no_partner(spark):
         V.similar_page_pairs(table(spark, vectors), 0.0)
 
 
+def tree_of(spark, vectors, block_rows, **options):
+    units = V.unit_vectors(table(spark, vectors)).select("id", "unit")
+    return V.pivot_tree(units, block_rows, **options)
+
+
 def test_far_cells_are_not_compared(spark):
     """Tight groups far from each other: a vector is sent to its own cell, not to all cells."""
     centres = np.eye(8)
     vectors = np.repeat(centres, 40, axis=0) + 0.001 * np.random.default_rng(0).normal(size=(320, 8))
+    tree = tree_of(spark, vectors, 10)
+    cells = tree.vectors.groupBy("cell").count()
+    n = cells.count()
+    assert n >= 32 and cells.agg(F.max("count")).first()[0] <= 10
+    targets = V.in_cells(tree, V.Search(0.9)).rows.groupBy("id").agg(F.sum(F.size("targets")).alias("n"))
+    assert targets.agg(F.avg("n")).first()[0] < n / 2
+
+
+@pytest.mark.parametrize("fan,block_rows", [(2, 20), (4, 5), (64, 3)])
+def test_trees_of_any_depth_find_all_pairs(spark, monkeypatch, fan, block_rows):
+    """Several levels, leaves at unlike depths, and lists of neighbours in several parts."""
+    monkeypatch.setattr("linkaudit.operators.cells.NEIGHBOURS", 5)
+    vectors = np.concatenate([clustered(120, noise=0.3), clustered(60, centres=1, noise=0.01, seed=3)])
+    tree = tree_of(spark, vectors, block_rows, fan=fan)
+    assert len(tree.levels) > 1 or fan == 64
+    c = cosines(vectors)
+    want = {(f"u{i:05d}", f"u{j:05d}") for i, j in itertools.combinations(range(180), 2) if c[i, j] > 0.8}
+    rows = V.in_cells(tree, V.Search(0.8)).compared(V._pairs_of(10**6), "source string, target string, similarity double").collect()
+    assert len(rows) == len(want) and {(r.source, r.target) for r in rows} == want
+
+
+def counts_of_words(n, size=6, seed=0):
+    """Groups of ``size`` texts that share most of their words, as counts in 64 buckets."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n // size):
+        words = rng.integers(0, 64, rng.integers(1, 9))
+        for _ in range(size):
+            own = np.where(rng.random(len(words)) < 0.1, rng.integers(0, 64, len(words)), words)
+            rows.append(np.bincount(own, minlength=64))
+    return np.unique(np.array(rows, dtype=float), axis=0)
+
+
+@pytest.mark.parametrize("block_rows", [2048, 64, 12])
+@pytest.mark.parametrize("threshold", [0.8, 0.85, 0.5])
+def test_lists_of_buckets_find_each_pair_once(spark, block_rows, threshold):
+    vectors = counts_of_words(240)
+    vectors = vectors[:, np.random.default_rng(1).permutation(64)]
+    c = cosines(vectors)
+    want = {(f"u{i:05d}", f"u{j:05d}") for i, j in itertools.combinations(range(len(vectors)), 2) if c[i, j] >= threshold}
     units = V.unit_vectors(table(spark, vectors)).select("id", "unit")
-    blocked, blocks = V.assign_blocks(units, V.Search(0.9), 10)
-    assert blocks >= 32
-    assert blocked.agg(F.avg(F.size("targets"))).first()[0] < blocks / 2
+    found = V.candidates(units, V.Search(threshold, inclusive=True), block_rows)
+    assert found.met is not None
+    rows = found.compared(V._pairs_of(10**6), "source string, target string, similarity double").collect()
+    assert sorted((r.source, r.target) for r in rows) == sorted(want)
+
+
+def test_work_per_vector_does_not_grow_with_the_table(spark):
+    """Four times the groups of like texts: each vector is sent no more often, and no list is longer."""
+    sent = []
+    for n in (1500, 6000):
+        units = V.unit_vectors(table(spark, counts_of_words(n, seed=n))).select("id", "unit")
+        rows = V.candidates(units, V.Search(0.8, inclusive=True)).sent()
+        sent.append(rows.count() / units.count())
+    assert sent[1] < 1.5 * sent[0]
 
 
 def dbscan(vectors, weights, eps, min_samples):
