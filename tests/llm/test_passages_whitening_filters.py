@@ -96,7 +96,7 @@ def test_longest_windows_double_as_long_as_they_are_repeated(spark):
     out = {r.doc_id: r.longest for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[4] == 0
     for k, n in enumerate([700, 700, 230, 60]):
-        assert out[k] <= n < 2 * out[k] * 2 + 12 and out[k] in {13 << j for j in range(8)}
+        assert out[k] <= n < 2 * out[k] + 4 * 13 and out[k] in {13 << j for j in range(8)}
 
 
 def test_passages_in_messy_and_empty_tables(spark):
