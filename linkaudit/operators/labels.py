@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import py_strip
 from ..session import cut_lineage
+from .prefixes import beginning
 
 EDITORIAL_CATEGORIES = ("EDITORIAL", "CALL_TO_ACTION")
 
 
-#: Parts into which the links of a labelled page are dealt where they meet its labels. The labels are repeated so often.
-SALTS = 4
-
-_HOST = r"^[^/]*//[^/]+/"
-
-
 def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str = "prefix") -> DataFrame:
     """``(source, page_url)``: the labelled page each source belongs to.
 
-    ``prefix``: the labelled URL up to its query begins the source URL. Sources are cut to the
-    lengths that labelled URLs of their host have and equi-joined, so no nested-loop join is needed and
-    labels of other hosts cost nothing. ``page``: both URLs agree up to the query. Of several
+    ``prefix``: the labelled URL up to its query begins the source URL, found by one sweep over both in order.
+    ``page``: both URLs agree up to the query. Of several
     pages the first by ``ord`` counts; without ``ord`` the longest, then the smallest URL.
     """
     first = F.min("ord") if "ord" in labels.columns else F.lit(0)
@@ -30,17 +24,9 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     if page_match == "page":
         keyed = sources.select("source", F.regexp_extract("source", r"^([^?]*)", 1).alias("base"))
     else:
-        # a URL cut within its host has no host here and may begin the URLs of any host
-        lengths = pages.groupBy(F.regexp_extract("base", _HOST, 0).alias("host")).agg(F.collect_set(F.length("base")).alias("lengths"))
-        hosted = sources.select("source", F.regexp_extract("source", _HOST, 0).alias("host"))
-        anywhere = sources.select("source", F.lit("").alias("host"))
-        keyed = (
-            hosted.where("host <> ''").unionByName(anywhere)
-            .join(lengths, "host")
-            .select("source", F.explode("lengths").alias("n"))
-            .where(F.col("n") <= F.length("source"))
-            .select("source", F.substring(F.col("source"), F.lit(1), F.col("n")).alias("base"))
-        )
+        points = sources.select(F.lit("").alias("group"), F.col("source").alias("text"))
+        found = beginning(points, pages.select(F.lit("").alias("group"), F.col("base").alias("text")))
+        keyed = found.select(F.col("text").alias("source"), F.col("prefix").alias("base"))
     rank = F.struct("ord", (-F.length("base")).alias("shorter"), "page_url")
     return (
         keyed.join(pages, "base")
@@ -55,15 +41,14 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
 
     A label of the link's page fits if the texts are equal, or if one text contains the other and
     the link's URL ends in the label's last path segment. Links and labels are reduced to distinct
-    rows first and written once. Equal texts are an equi-join on page and text; the URL ends are one on page and
-    segment, with links cut to the lengths that segments of their page have. A link meets the labels of one page
-    only, and the links of a page are dealt to ``SALTS`` parts, so a labelled home page that all links of a site
-    belong to is spread. The smallest label is kept as the joined rows come, before any shuffle.
+    rows first and written once. Equal texts are an equi-join on page and text. The segments that end a URL are found by a sweep over
+    the reversed URLs and segments of each page, then joined on page and segment. A link meets the labels of one page
+    only; the sweep deals the links of a page to many ranges, and joins are split by Spark where a page has very many. The smallest
+    label is kept as the joined rows come, before any shuffle.
     """
     wanted = links.select("source", "text", "url").distinct()
     found = label_page_of_sources(wanted.select("source").distinct(), labels, page_match)
-    part = F.pmod(F.xxhash64("source", "text", "url"), F.lit(SALTS)).cast("int")
-    wanted = cut_lineage(wanted.join(found, "source").withColumn("part", part))
+    wanted = cut_lineage(wanted.join(found, "source"))
 
     order = F.col("ord") if "ord" in labels.columns else F.lit(0)
     url = py_strip(F.lower("href"))
@@ -74,21 +59,17 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
         F.struct(order.alias("ord"), "href", "text", "category", "confidence").alias("label"),
     )
     offered = cut_lineage(offered.groupBy("page_url", "segment", "label_text").agg(F.min("label").alias("label")))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
     by_text = offered.groupBy("page_url", F.col("label_text").alias("text")).agg(F.min("label").alias("label"))
-    by_segment = offered.select("*", parts)
-    lengths = offered.groupBy("page_url").agg(F.collect_set(F.length("segment")).alias("lengths"))
 
     key = ["source", "text", "url"]
     equal = wanted.join(by_text, ["page_url", "text"]).select(*key, "label")
-    ends = (
-        wanted.join(lengths, "page_url")
-        .select(*key, "page_url", "part", F.explode("lengths").alias("n"))
-        .where(F.col("n") <= F.length("url"))
-        .withColumn("segment", F.when(F.col("n") == 0, F.lit("")).otherwise(F.expr("right(url, n)")))
+    points = wanted.select(F.col("page_url").alias("group"), F.reverse("url").alias("text"), F.col("text").alias("link_text"), "source")
+    ends = beginning(points, offered.select(F.col("page_url").alias("group"), F.reverse("segment").alias("text")))
+    ends = ends.select(
+        "source", F.col("link_text").alias("text"), F.reverse("text").alias("url"), F.col("group").alias("page_url"), F.reverse("prefix").alias("segment")
     )
     contained = (
-        ends.join(by_segment, ["page_url", "part", "segment"])
+        ends.join(offered, ["page_url", "segment"])
         .where(F.col("label_text").contains(F.col("text")) | F.col("text").contains(F.col("label_text")))
         .select(*key, "label")
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import py_strip, text
 
@@ -15,18 +18,23 @@ LINK_COLUMNS = ("source", "destination", "anchor", "origin", "path", "link_type"
 
 SNIFF_CHARS = 2048
 SEPARATORS = "\t,;"
+#: Bytes that hold as many characters.
+_HEAD_BYTES = 4 * SNIFF_CHARS
 
 
-def sniff_separator(sample: str, simple: bool = False) -> str:
-    """Separator by frequency in the head of a file; the simple form knows tab and comma only."""
-    tabs, commas, semicolons = (sample.count(c) for c in "\t,;")
-    if simple:
-        return "\t" if tabs > commas else ","
+def separator_of(tabs: int, commas: int, semicolons: int) -> str:
+    """Separator by how often each occurs in the head of a file."""
     if tabs > commas and tabs > semicolons:
         return "\t"
     return ";" if semicolons > commas else ","
 
 
+def sniff_separator(sample: str, simple: bool = False) -> str:
+    """Separator of the head of a file; the simple form knows tab and comma only."""
+    tabs, commas, semicolons = (sample.count(c) for c in SEPARATORS)
+    return separator_of(tabs, commas, 0 if simple else semicolons)
+
+
 def clean_header(name: str) -> str:
     return name.strip().strip("\ufeff\"'").strip()
 
@@ -35,8 +43,8 @@ def clean_header(name: str) -> str:
 class FileForm:
     """How the files of one group are written; files of a group also have one header line.
 
-    ``header`` is the first line that is not blank, a line of more than ``SNIFF_CHARS`` with a digest of all of it in place
-    of the rest. A header that may run over a line end has its file's path instead, so no other file is read by it.
+    ``header`` is a digest of the first line that is not blank. A header that may run over a line end has its file's
+    path instead, so no other file is read by it.
     """
 
     sep: str
@@ -55,51 +63,84 @@ def _opens_a_field(sep: str) -> Column:
     return F.col("value").rlike(rf'(?:^|{re.escape(sep)})"(?:[^"]++|"")*+$')
 
 
+_FORMS = (
+    "file string, block long, tabs long, commas long, semicolons long, header string, runs_on boolean, utf8 boolean, open array<boolean>"
+)
+
+
+def _splits_of_files(batches):
+    """A row for each file of a task: separators in its first ``SNIFF_CHARS`` characters, a digest of its header, and what holds of any line."""
+    current: dict | None = None
+
+    def row(split: dict) -> pa.RecordBatch:
+        sample = "\n".join(line.decode(errors="replace") for line in split["lines"])[:SNIFF_CHARS]
+        header = split["lines"][0] if split["lines"] else None
+        columns = {
+            "file": [split["key"][0]], "block": [split["key"][1]], **{n: [sample.count(c)] for n, c in zip(("tabs", "commas", "semicolons"), SEPARATORS)},
+            "header": pa.array([header and hashlib.sha256(header + split["rest"].encode()).hexdigest()], pa.string()),
+            "runs_on": [bool(header and (split["rest"] or header.count(b'"') % 2))],
+            "utf8": [bool(split["utf8"])], "open": pa.array([split["open"].tolist()], pa.list_(pa.bool_())),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, blocks = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+        places = files.indices.to_numpy()
+        edges = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]) | (blocks[1:] != blocks[:-1])]).tolist()
+        utf8 = batch.column("utf8").to_numpy(zero_copy_only=False)
+        opened = np.column_stack([batch.column(f"open_{i}").to_numpy(zero_copy_only=False) for i in range(len(batch.schema.names) - 6)])
+        for low, high in zip(edges, [*edges[1:], batch.num_rows]):
+            key = files.dictionary[int(places[low])].as_py(), int(blocks[low])
+            if current is None or current["key"] != key:
+                if current is not None:
+                    yield row(current)
+                current = {"key": key, "lines": [], "size": 0, "rest": "", "utf8": True, "open": np.zeros(opened.shape[1], bool)}
+            current["utf8"] &= utf8[low:high].all()
+            current["open"] |= opened[low:high].any(axis=0)
+            at = low
+            while at < high and current["size"] < _HEAD_BYTES and len(current["lines"]) < 50:
+                if batch.column("written")[at].as_py():
+                    if not current["lines"]:
+                        current["rest"] = batch.column("rest")[at].as_py()
+                    current["lines"].append(batch.column("value")[at].as_py())
+                    current["size"] += len(current["lines"][-1]) + 1
+                at += 1
+    if current is not None:
+        yield row(current)
+
+
 def file_forms(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool | None = None
 ) -> dict[FileForm, list[str]]:
     """The files under a path by their form; files without text are left out.
 
-    One job reads the first lines of each file; a second, over all bytes, finds files that are not UTF-8 and those
-    with line breaks inside quoted fields. Name ``encoding`` and ``multi_line`` to save it. The driver holds one row per file.
+    One pass over the bytes: each task describes its part of a file in one row, and the first part with any text gives separator and header.
+    The driver holds one row per file: its path, three counts, a digest of the header and three flags.
     """
     separators = [sep] if sep else list(SEPARATORS)
+    value = F.col("value")
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
-        "value",
+        F.col("_metadata.file_block_start").alias("block"),
+        F.substring(value.cast("binary"), 1, _HEAD_BYTES).alias("value"),
+        F.when(F.octet_length(value) > _HEAD_BYTES, F.sha2(value.cast("binary"), 256)).otherwise("").alias("rest"),
+        value.rlike(r"[^\x00-\x20]").alias("written"),  # blank lines are those that the CSV reader skips before a header
+        F.is_valid_utf8("value").alias("utf8"),
+        *(_opens_a_field(c).alias(f"open_{i}") for i, c in enumerate(separators)),
     )
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    # blank lines are those that the CSV reader skips before a header
-    written = lines.where(F.col("value").rlike(r"[^\x00-\x20]"))
-    rest = F.when(F.length("value") > SNIFF_CHARS, F.sha2(F.col("value").cast("binary"), 256)).otherwise("")
-    first = written.select("file", "at", F.substring("value", 1, SNIFF_CHARS).alias("value"), rest.alias("rest"))
-    first = first.withColumn("rank", rank).where("rank <= 50")
-    heads: dict[str, list[str]] = {}
-    rests: dict[str, str] = {}
-    for r in first.orderBy("file", "rank").select("file", "value", "rest").toLocalIterator():
-        heads.setdefault(r.file, []).append(r.value)
-        rests.setdefault(r.file, r.rest)
-    heads = {file: text for file, text in heads.items() if any(map(str.strip, text))}
-    traits = {}
-    if encoding is None or multi_line is None:
-        flags = [F.max(_opens_a_field(c).cast("int")).alias(f"open_{i}") for i, c in enumerate(separators)]
-        utf8 = F.min(F.is_valid_utf8("value").cast("int")).alias("utf8")
-        traits = {r.file: r for r in lines.groupBy("file").agg(utf8, *flags).toLocalIterator()}
+    first = F.struct("tabs", "commas", "semicolons", "header", "runs_on")
+    opened = [F.max(F.col("open")[i]).alias(f"open_{i}") for i in range(len(separators))]
+    found = lines.mapInArrow(_splits_of_files, _FORMS).groupBy("file")
+    found = found.agg(F.min_by(first, F.when(F.col("header").isNotNull(), F.col("block"))).alias("first"), F.min("utf8").alias("utf8"), *opened)
     groups: dict[FileForm, list[str]] = {}
-    for file, text in heads.items():
-        own = sep or sniff_separator("\n".join(text)[:SNIFF_CHARS])
-        found = traits.get(file)
-        whole = bool(found[f"open_{separators.index(own)}"]) if multi_line is None else multi_line
-        runs_on = whole and (rests[file] or text[0].count('"') % 2)
-        form = FileForm(
-            own,
-            encoding or ("UTF-8" if found.utf8 else "ISO-8859-1"),
-            whole,
-            file if runs_on else text[0] + rests[file],
-        )
-        groups.setdefault(form, []).append(_literal_path(file))
-    return groups
+    for r in found.where("first IS NOT NULL").select("file", "first.*", "utf8", *(f"open_{i}" for i in range(len(separators)))).toLocalIterator():
+        own = sep or separator_of(r.tabs, r.commas, r.semicolons)
+        whole = r[f"open_{separators.index(own)}"] if multi_line is None else multi_line
+        form = FileForm(own, encoding or ("UTF-8" if r.utf8 else "ISO-8859-1"), whole, r.file if whole and r.runs_on else r.header)
+        groups.setdefault(form, []).append(_literal_path(r.file))
+    return dict(sorted(groups.items(), key=lambda g: min(g[1])))
 
 
 def _read_group(spark: SparkSession, form: FileForm, files: list[str], with_order: bool) -> DataFrame:

@@ -161,3 +161,36 @@ def test_sinks(spark, tmp_path, links_of):
     sinks.write_tables({"t": table}, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables/t")).count() == 1
     assert M.COLUMNS[0] == "kind"
+
+
+def test_the_driver_gets_a_bounded_row_for_each_file(spark, tmp_path, monkeypatch):
+    """Long headers, many lines and several parts of a file: counts, flags and a digest come back, and one row a file."""
+    from pyspark.sql import DataFrame
+
+    rows = []
+    old = DataFrame.toLocalIterator
+
+    def seen(self, *args, **options):
+        for r in old(self, *args, **options):
+            rows.append(r)
+            yield r
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", seen)
+    header = "Source;Destination;" + ";".join(f"column {i}" for i in range(3000))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(header + "\n" + "\n".join(f"s{i};d{i}{',' * 40}" for i in range(5000)))
+    (tmp_path / "blank.csv").write_text("\n \n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        forms = file_forms(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(f.sep, len(files)) for f, files in forms.items()] == [(";", 2)]
+    assert len(rows) == 2
+    assert all(len(str(v)) <= 64 for r in rows for k, v in r.asDict().items() if k != "file")
+
+
+def test_separator_counts_lines_after_the_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("\n\nA\n1;2\n" + "3;4\n" * 10)
+    assert [f.sep for f in file_forms(spark, str(tmp_path))] == [";"]
