@@ -41,10 +41,9 @@ def hashed_vector(col: Column, dim: int = 64) -> Column:
     buckets = F.transform(
         words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     )
-    return let(
-        buckets,
-        lambda found: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"),
-        ),
-    )
+    def counted(found: Column) -> Column:
+        # each bucket that occurs is counted once, then looked up for its place
+        return F.map_from_entries(F.transform(F.array_distinct(found), lambda b: F.struct(b, F.size(F.filter(found, lambda x: x == b)).cast("double"))))
+
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    return let(let(buckets, counted), lambda counts: F.transform(places, lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0.0))))

@@ -20,7 +20,7 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     """
     first = F.min("ord") if "ord" in labels.columns else F.lit(0)
     pages = labels.groupBy("page_url").agg(first.alias("ord"))
-    pages = pages.withColumn("base", F.regexp_extract("page_url", r"^([^?]*)", 1))
+    pages = cut_lineage(pages.withColumn("base", F.regexp_extract("page_url", r"^([^?]*)", 1)))
     if page_match == "page":
         keyed = sources.select("source", F.regexp_extract("source", r"^([^?]*)", 1).alias("base"))
     else:
@@ -46,7 +46,7 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
     only; the sweep deals the links of a page to many ranges, and joins are split by Spark where a page has very many. The smallest
     label is kept as the joined rows come, before any shuffle.
     """
-    wanted = links.select("source", "text", "url").distinct()
+    wanted = cut_lineage(links.select("source", "text", "url").distinct())
     found = label_page_of_sources(wanted.select("source").distinct(), labels, page_match)
     wanted = cut_lineage(wanted.join(found, "source"))
 

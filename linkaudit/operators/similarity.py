@@ -83,33 +83,56 @@ class Candidates:
         sent = sent.withColumns({"short": F.lit(False), "bin": F.lit(0).cast("bigint"), "low": low, "high": high, "right": F.col("block") > F.col("target")})
         return sent.drop("targets", "target", "block")
 
-    def compared(self, work: Callable[..., pa.Table], schema: str) -> DataFrame:
-        """Run ``work(left, right, same_block, cosines, hits)`` once for every pair of blocks that can hold hits.
+    def compared(self, work: Callable[[dict, dict, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+        """Run ``work(left, right, i, j, cosines)`` once for every pair of blocks that can hold hits: row ``i`` on the left and ``j`` on the right.
 
-        Both sides come as dicts of columns; ``unit`` is a matrix.
+        Both sides come as dicts of columns; ``unit`` is a matrix. A block by itself is both sides, and has each of its pairs once.
         """
         search, met, where = self.search, self.met, ("short", "bin", "low", "high", "right")
 
         def run(key, table):  # no type hints: Spark reads them as a choice of interface
-            same = key[2].as_py() == key[3].as_py()
+            short, same = key[0].as_py(), key[2].as_py() == key[3].as_py()
             sides = []
             for is_right in (False, True):
                 part = table.filter(pa.compute.equal(table["right"], is_right))
+                if short:
+                    part = part.sort_by("key")
                 side = {n: part[n].combine_chunks() for n in part.column_names if n not in ("unit", *where)}
                 side["unit"] = matrix(part["unit"])
                 sides.append(side)
             left, right = sides
             if same:
                 right = left
-            cosines = _products(left, right)
-            hit = search.hits(cosines)
-            if met is not None:
-                hit &= met(left, right)
-            return work(left, right, same, cosines, hit)
+            if not short:
+                return work(left, right, *_hits(search, met, left, right, slice(None), same))
+            # many short lists in one block: each is compared by itself
+            keys = np.asarray(left["key"])
+            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else []
+            found = [_hits(search, met, left, left, slice(a, b), True) for a, b in zip(edges, edges[1:]) if b > a + 1]
+            none = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
+            return work(left, left, *map(np.concatenate, zip(*(found or none))))
 
         return self.sent().groupBy("short", "bin", "low", "high").applyInArrow(run, schema)
 
 
+def _hits(search: Search, met, left: dict, right: dict, rows: slice, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of two blocks, or of some rows of one, that count."""
+    a, b = left["unit"][rows], right["unit"][rows]
+    if not len(a) or not len(b):
+        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    cosines = a @ b.T
+    hit = search.hits(cosines)
+    if same:
+        hit = np.triu(hit, 1)
+    i, j = np.nonzero(hit)
+    cosines = cosines[i, j]
+    first = rows.start or 0
+    if met is not None and len(i):
+        kept = met(left, right, i + first, j + first)
+        i, j, cosines = i[kept], j[kept], cosines[kept]
+    return i + first, j + first, cosines
+
+
 def candidates(units: DataFrame, search: Search, block_rows: int = BLOCK_ROWS) -> Candidates:
     """The vectors of ``units (id, unit)`` and where they meet; ``units`` must be cheap to read several times and have unique ids."""
     if search.threshold > 0 and sparse_pairs.fits(units):
@@ -121,23 +144,14 @@ def in_cells(tree: PivotTree, search: Search) -> Candidates:
     return Candidates(dealt_to_cells(tree, search.angle()), search)
 
 
-def _products(left: dict, right: dict) -> np.ndarray:
-    if not len(left["unit"]) or not len(right["unit"]):
-        return np.zeros((len(left["unit"]), len(right["unit"])))
-    return left["unit"] @ right["unit"].T
-
-
 # --- What a pair of blocks returns -----------------------------------------------------
 
 
 def _pairs_of(limit: int):
     """Pairs with smaller id first; the best ``limit`` of the block pair."""
 
-    def work(left, right, same, cosines, hit):
-        if same:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
-        score = np.round(cosines[i, j], COSINE_DIGITS)
+    def work(left, right, i, j, cosines):
+        score = np.round(cosines, COSINE_DIGITS)
         if len(score) > limit:
             worst = np.partition(score, len(score) - limit)[len(score) - limit]
             kept = score >= worst
@@ -154,18 +168,26 @@ def _pairs_of(limit: int):
     return work
 
 
+def _both(left: dict, right: dict, i: np.ndarray, j: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of rows of both sides, and the pairs' right ends among them."""
+    shift = 0 if left is right else len(left["unit"])
+    return shift + len(right["unit"]), j + shift
+
+
+def _ids(left: dict, right: dict) -> list[str]:
+    return left["id"].to_pylist() + ([] if left is right else right["id"].to_pylist())
+
+
 def _neighbour_weights():
     """Summed weight of the partners of each vector, itself left out."""
 
-    def work(left, right, same, _, hit):
-        if same:
-            np.fill_diagonal(hit, False)
+    def work(left, right, i, j, _):
+        n, k = _both(left, right, i, j)
         wl, wr = (np.asarray(s["weight"], dtype="float64") for s in (left, right))
-        ids, sums = list(left["id"].to_pylist()), hit @ wr if hit.size else np.zeros(len(wl))
-        if not same:
-            ids += right["id"].to_pylist()
-            sums = np.concatenate([sums, hit.T @ wl if hit.size else np.zeros(len(wr))])
-        return pa.table({"id": pa.array(ids, pa.string()), "weight": np.rint(sums).astype("int64")})
+        sums = np.bincount(i, weights=wr[j], minlength=n) + np.bincount(k, weights=wl[i], minlength=n)
+        some = np.flatnonzero(sums)
+        ids = _ids(left, right)
+        return pa.table({"id": pa.array([ids[r] for r in some], pa.string()), "weight": np.rint(sums[some]).astype("int64")})
 
     return work
 
@@ -173,35 +195,29 @@ def _neighbour_weights():
 def _spanning_forest():
     """For each connected group within the two blocks, its members linked to its smallest id."""
 
-    def work(left, right, same, _, hit):
-        nl, nr = hit.shape
-        ids = left["id"].to_pylist() + ([] if same else right["id"].to_pylist())
-        component = np.full(len(ids), -1)
-        for start in range(len(ids)):
-            if component[start] >= 0:
-                continue
-            component[start] = start
-            frontier = np.array([start])
-            while len(frontier):
-                if same:
-                    found = hit[frontier].any(axis=0)
-                else:
-                    l, r = frontier[frontier < nl], frontier[frontier >= nl] - nl
-                    found = np.concatenate(
-                        [
-                            hit[:, r].any(axis=1) if len(r) else np.zeros(nl, bool),
-                            hit[l].any(axis=0) if len(l) else np.zeros(nr, bool),
-                        ]
-                    )
-                frontier = np.flatnonzero(found & (component < 0))
-                component[frontier] = start
-        smallest: dict[int, str] = {}
-        for c, name in zip(component, ids):
-            smallest[c] = min(name, smallest.get(c, name))
-        edges = [(n, smallest[c]) for c, n in zip(component, ids) if n != smallest[c]]
-        return pa.table(
-            {"a": pa.array([e[0] for e in edges], pa.string()), "b": pa.array([e[1] for e in edges], pa.string())}
-        )
+    def work(left, right, i, j, _):
+        n, k = _both(left, right, i, j)
+        ids = _ids(left, right)
+        # rows in the order of their ids, so that the smallest row of a group is its smallest id
+        order = sorted(range(n), key=ids.__getitem__)
+        place = np.empty(n, dtype="int64")
+        place[order] = np.arange(n)
+        a, b = place[i], place[k]
+        root = np.arange(n)
+        while True:
+            low = np.minimum(root[a], root[b])
+            lower = root.copy()
+            np.minimum.at(lower, a, low)
+            np.minimum.at(lower, b, low)
+            np.minimum.at(lower, root[a], low)
+            np.minimum.at(lower, root[b], low)
+            lower = lower[lower]
+            if (lower == root).all():
+                break
+            root = lower
+        names = [ids[r] for r in order]
+        moved = [r for r in np.flatnonzero(root != np.arange(n)) if names[r] != names[root[r]]]
+        return pa.table({"a": pa.array([names[r] for r in moved], pa.string()), "b": pa.array([names[root[r]] for r in moved], pa.string())})
 
     return work
 
@@ -209,25 +225,18 @@ def _spanning_forest():
 def _smallest_label():
     """For each vector without label, the smallest label among its partners."""
 
-    def work(left, right, same, _, hit):
-        ll, lr = (np.asarray(s["label"].to_pylist(), dtype=object) for s in (left, right))
-        names = sorted({n for n in (*ll, *lr) if n is not None})
-        rank = {n: i for i, n in enumerate(names)}
-        none = len(names)
-        out_ids, out_labels = [], []
-
-        def collect(ids, own, others, reached):
-            ranks = np.array([none if n is None else rank[n] for n in others])
-            best = np.where(reached, ranks[None, :], none).min(axis=1, initial=none)
-            for name, has, b in zip(ids, own, best):
-                if has is None and b < none:
-                    out_ids.append(name)
-                    out_labels.append(names[b])
-
-        collect(left["id"].to_pylist(), ll, lr, hit)
-        if not same:
-            collect(right["id"].to_pylist(), lr, ll, hit.T)
-        return pa.table({"id": pa.array(out_ids, pa.string()), "label": pa.array(out_labels, pa.string())})
+    def work(left, right, i, j, _):
+        n, k = _both(left, right, i, j)
+        labels = left["label"].to_pylist() + ([] if left is right else right["label"].to_pylist())
+        names = sorted({x for x in labels if x is not None})
+        rank = {x: r for r, x in enumerate(names)}
+        own = np.array([rank.get(x, len(names)) for x in labels], dtype="int64")
+        best = np.full(n, len(names))
+        np.minimum.at(best, i, own[k])
+        np.minimum.at(best, k, own[i])
+        some = np.flatnonzero((own == len(names)) & (best < len(names)))
+        ids = _ids(left, right)
+        return pa.table({"id": pa.array([ids[r] for r in some], pa.string()), "label": pa.array([names[best[r]] for r in some], pa.string())})
 
     return work
 
@@ -371,7 +380,8 @@ def anchor_coherence(
     )
     if vectors is None:
         pages = contents.select(F.col("url").alias("destination"), unit(encoder(F.col("content"))).alias("_page"))
-        joined = uses.join(pages, "destination").withColumn("_anchor", unit(encoder(F.col("anchor"))))
+        anchors = uses.groupBy("anchor").agg(F.lit(1).alias("_one")).select("anchor", unit(encoder(F.col("anchor"))).alias("_anchor"))
+        joined = uses.join(anchors, "anchor").join(pages, "destination")
     else:
         units = vectors.select("text_md5", unit(F.col("embedding")).alias("unit"))
         of_page = units.select(F.col("text_md5").alias("_page_md5"), F.col("unit").alias("_page"))

@@ -22,7 +22,7 @@ from .cells import matrix
 #: Longest vectors that are taken (a set of buckets is a 64-bit number), and the mean of non-zero numbers up to which lists are used.
 MOST_BUCKETS, MOST_FILLED = 64, 16
 #: Highest level, and sets of buckets per vector and level up to which a level is used.
-MOST_SHARED, MOST_SETS = 4, 64
+MOST_SHARED, MOST_SETS = 4, 24
 _SLACK = 1e-7
 
 
@@ -91,16 +91,15 @@ def _listed(order: list[int], threshold: float):
     return run, schema
 
 
-def met_first(left: dict, right: dict) -> np.ndarray:
-    """The pairs of a block that are counted there: same list, first shared buckets, and one of the two asks at this level."""
-    keys, others = (np.asarray(s["key"]).view(np.uint64) for s in (left, right))
-    common = np.asarray(left["prefix"]).view(np.uint64)[:, None] & np.asarray(right["prefix"]).view(np.uint64)[None, :]
-    rest, key = common.copy(), keys[:, None]
+def met_first(left: dict, right: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of a list are counted there: it is that of the first buckets they share, and one of the two asks at this level."""
+    key = np.asarray(left["key"]).view(np.uint64)[i]
+    common = np.asarray(left["prefix"]).view(np.uint64)[i] & np.asarray(right["prefix"]).view(np.uint64)[j]
+    rest, wanted = common.copy(), np.bitwise_count(key)
     for _ in range(MOST_SHARED):
         # as many of the lowest bits are cleared as the key has
-        rest &= np.where(np.bitwise_count(common ^ rest) < np.bitwise_count(key), rest - (rest > 0), rest)
-    asks, asked = (np.asarray(s["asks"]) for s in (left, right))
-    return (key == others[None, :]) & ((common ^ rest) == key) & (asks[:, None] | asked[None, :])
+        rest &= np.where(np.bitwise_count(common ^ rest) < wanted, rest - (rest > 0), rest)
+    return ((common ^ rest) == key) & (np.asarray(left["asks"])[i] | np.asarray(right["asks"])[j])
 
 
 def dealt_to_lists(units: DataFrame, threshold: float, block_rows: int) -> DataFrame:
