@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from linkaudit.llm.common import shared_folder, stored
 from linkaudit.llm.files import new_file, open_file
+from linkaudit.llm.words import pieces, places_and_hashes
 
 HEAD, TAIL = b"BPID", b"DIPB"
 _SPLIT = b".,!|%$#&*?;:"
@@ -141,42 +142,127 @@ class PlaneReader:
         return np.concatenate(parts) if parts and stop > start else np.zeros(0, dtype="<u4")
 
 
+class _Known:
+    """Token ids of words, found by two hashes of the word; sorted by the first."""
+
+    def __init__(self):
+        self.keys = self.checks = np.zeros(0, dtype=np.uint64)
+        self.starts = self.lengths = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Words in the order of their keys, none of them known."""
+        starts = len(self.pool) + np.cumsum(lengths) - lengths
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.starts, self.lengths = np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths)
+        self.pool = np.concatenate([self.pool, ids])
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self.pool, self.starts[at], self.lengths[at])
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` one after the other, and their lengths."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts - ends + lengths, lengths)], lengths
+
+
 class Encoder:
     """A tokenizer of the tokenizers library, giving ids as little-endian 32-bit bytes.
 
-    ``by_word`` is for tokenizers whose tokens never cross ASCII white space and that drop it: words are then encoded once and kept, up to
-    ``kept`` of them. The end of a word that is ASCII punctuation after an ASCII letter or digit is a token run of its own
+    ``by_word`` is for tokenizers whose tokens never cross ASCII white space and that drop it: words are then encoded once and kept, in two
+    generations of up to ``kept`` each; what the older one has and is used again moves to the newer. The end of a word that
+    is ASCII punctuation after an ASCII letter or digit is a token run of its own
     for these tokenizers, and letters have no case, so more words are alike; a run of small ASCII letters goes to the model
-    itself. All else is encoded as it stands.
+    itself. All else is encoded as it stands. Words are told apart by 128 bits.
     """
 
-    def __init__(self, path: str, by_word: bool, kept: int = 500_000):
+    def __init__(self, path: str, by_word: bool, kept: int = 400_000, piece: int = 4 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.kept = Tokenizer.from_file(path), by_word, kept
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.by_word, self.kept, self.piece = Tokenizer.from_file(path), by_word, kept, piece
+        self.recent, self.older = _Known(), _Known()
+        self.parts: dict[bytes, np.ndarray] = {}
+        self.older_parts: dict[bytes, np.ndarray] = {}
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        return [ids.tobytes() for ids in self._arrays(texts)]
+
+    def _arrays(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return self._batch([t.decode() for t in texts])
-        known = self.known
-        if len(known) > self.kept:
-            known.clear()
-        split = [t.split() for t in texts]
-        new = {w: self._parts(w) for w in sorted(set().union(*split).difference(known))}
-        wanted = {p for parts in new.values() for p in parts if p}.difference(known)
+        # texts one after the other, in pieces that end between words
+        out: list[np.ndarray] = []
+        group: list[bytes] = []
+        held = 0
+        for text in texts:
+            if held + len(text) > self.piece and group:
+                out += self._encoded(group)
+                group, held = [], 0
+            if len(text) > self.piece:
+                out.append(np.concatenate([self._encoded([p])[0] for p in pieces(text, self.piece)]))
+            else:
+                group.append(text)
+                held += len(text)
+        return out + (self._encoded(group) if group else [])
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b" ".join([*texts, b""])
+        starts, ends, keys, checks = places_and_hashes(data)
+        words, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if (checks[first][inverse] != checks).any():  # two words with one key
+            return self._batch([t.decode() for t in texts])
+        ids, lengths = self._of_words(data, starts[first], ends[first], words, checks[first])
+        at = np.cumsum(lengths) - lengths
+        ids, per_word = _gathered(ids, at[inverse], lengths[inverse])
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.concatenate([[0], np.cumsum(per_word)])[np.searchsorted(starts, bounds)]
+        return np.split(ids, cuts[:-1])
+
+    def _of_words(self, data: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, in the order of their keys, and how many each has."""
+        if len(self.recent.keys) > self.kept:
+            self.older, self.recent = self.recent, _Known()
+        if len(self.parts) > self.kept:
+            self.older_parts, self.parts = self.parts, {}
+        missing = np.flatnonzero(self.recent.find(keys, checks) < 0)
+        if len(missing):
+            again = self.older.find(keys[missing], checks[missing])
+            moved = missing[again >= 0]
+            ids, lengths = self.older.ids_of(again[again >= 0])
+            self.recent.add(keys[moved], checks[moved], lengths, ids)
+            fresh = missing[again < 0]
+            found = self._new([data[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())])
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self.recent.add(keys[fresh], checks[fresh], lengths, np.concatenate([np.zeros(0, "<u4"), *found]))
+        return self.recent.ids_of(self.recent.find(keys, checks))
+
+    def _new(self, words: list[bytes]) -> list[np.ndarray]:
+        split = [self._parts(w) for w in words]
+        parts, older = self.parts, self.older_parts
+        wanted = {p for both in split for p in both if p and p not in parts}
+        parts.update({p: older[p] for p in wanted if p in older})
+        wanted = [p for p in wanted if p not in parts]
         plain = [p for p in wanted if p.isalpha() and p.islower()]  # ASCII letters reach the model as they are
         tokenize = self.tokenizer.model.tokenize
-        known.update({p: np.array([t.id for t in tokenize(p.decode())], dtype="<u4").tobytes() for p in plain})
-        others = sorted(wanted.difference(plain))
+        parts.update({p: np.array([t.id for t in tokenize(p.decode())], dtype="<u4") for p in plain})
+        others = [p for p in wanted if p not in parts]
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
-            known.update(zip(some, self._batch([w.decode() for w in some])))
-        known.update({w: known[a] + (known[b] if b else b"") for w, (a, b) in new.items()})
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            parts.update(zip(some, self._batch([w.decode() for w in some])))
+        return [np.concatenate([parts[a], parts[b]]) if b else parts[a] for a, b in split]
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -201,7 +287,7 @@ def _encoder(path: str, by_word: bool) -> Encoder:
 
 def write_ids(
     docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    by_word: bool = False, block: int = 1 << 16, kind: str = "byte", level: int = 3, texts_at_once: int = 64,
+    by_word: bool = False, block: int = 1 << 16, kind: str = "byte", level: int = 3, texts_at_once: int = 1024,
 ) -> DataFrame:
     """Write the ids of all documents, in ascending order of their id, and return the table of files in their order:
     ``folder``, ``file``, ``start`` (ids in the files before) and ``n_ids``.
