@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkaudit.llm.common import running_total, stored
+from linkaudit.llm.common import free_name, running_total, stored
 
 SHINGLE = 3
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -283,7 +283,5 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    name = "overlap"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = free_name(docs, "overlap")
     return with_overlap(docs, benchmark, into=name, **options).where(~contaminated(name)).drop(name)

@@ -18,7 +18,7 @@ from linkaudit.llm.files import new_file, open_file
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 997}" for i in range(60_000))
 #: Names that the operators use inside; as further columns they must not matter.
-CLASHING = "id h fp component bucket draw key a b overlap tokens epoch name unit page_id up node rules label x".split()
+CLASHING = "id H fp Component bucket draw Key a b Overlap tokens epoch Name unit page_id up node rules label x __Bucket __total_epoch SLOT_".split()
 
 
 def messy(spark):
