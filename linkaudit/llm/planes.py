@@ -186,13 +186,13 @@ class Encoder:
     itself. All else is encoded as it stands. Words are told apart by 128 bits.
     """
 
-    def __init__(self, path: str, by_word: bool, kept: int = 400_000, piece: int = 4 << 20):
+    def __init__(self, path: str, by_word: bool, kept: int = 500_000, piece: int = 2 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.kept, self.piece = Tokenizer.from_file(path), by_word, kept, piece
         self.recent, self.older = _Known(), _Known()
-        self.parts: dict[bytes, np.ndarray] = {}
-        self.older_parts: dict[bytes, np.ndarray] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.older_parts: dict[bytes, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -235,7 +235,7 @@ class Encoder:
         """The ids of distinct words, in the order of their keys, and how many each has."""
         if len(self.recent.keys) > self.kept:
             self.older, self.recent = self.recent, _Known()
-        if len(self.parts) > self.kept:
+        if len(self.parts) > self.kept // 2:
             self.older_parts, self.parts = self.parts, {}
         missing = np.flatnonzero(self.recent.find(keys, checks) < 0)
         if len(missing):
@@ -245,11 +245,11 @@ class Encoder:
             self.recent.add(keys[moved], checks[moved], lengths, ids)
             fresh = missing[again < 0]
             found = self._new([data[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())])
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self.recent.add(keys[fresh], checks[fresh], lengths, np.concatenate([np.zeros(0, "<u4"), *found]))
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            self.recent.add(keys[fresh], checks[fresh], lengths, np.frombuffer(b"".join(found), dtype="<u4"))
         return self.recent.ids_of(self.recent.find(keys, checks))
 
-    def _new(self, words: list[bytes]) -> list[np.ndarray]:
+    def _new(self, words: list[bytes]) -> list[bytes]:
         split = [self._parts(w) for w in words]
         parts, older = self.parts, self.older_parts
         wanted = {p for both in split for p in both if p and p not in parts}
@@ -257,12 +257,12 @@ class Encoder:
         wanted = [p for p in wanted if p not in parts]
         plain = [p for p in wanted if p.isalpha() and p.islower()]  # ASCII letters reach the model as they are
         tokenize = self.tokenizer.model.tokenize
-        parts.update({p: np.array([t.id for t in tokenize(p.decode())], dtype="<u4") for p in plain})
+        parts.update({p: np.array([t.id for t in tokenize(p.decode())], dtype="<u4").tobytes() for p in plain})
         others = [p for p in wanted if p not in parts]
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
-            parts.update(zip(some, self._batch([w.decode() for w in some])))
-        return [np.concatenate([parts[a], parts[b]]) if b else parts[a] for a, b in split]
+            parts.update({w: ids.tobytes() for w, ids in zip(some, self._batch([w.decode() for w in some]))})
+        return [parts[a] + parts[b] if b else parts[a] for a, b in split]
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
