@@ -112,6 +112,7 @@ SELECT 'https://maps.example/index.xml' AS sitemap_url, 0 AS depth
 UNION SELECT concat('https://maps.example/i', page_id // 1000, '.xml'), (page_id // 1000)::INTEGER + 1 FROM pages
 UNION SELECT concat('https://maps.example/s', page_id // 100, '.xml'), (page_id // 1000)::INTEGER + 2 FROM pages"""
 ORACLE["sitemap_pages"] = "SELECT url FROM pages"
+ORACLE["read_sitemap_files"] = "SELECT url FROM pages"
 ORACLE["robots_sitemaps"] = f"""
 SELECT concat('https://', h, '/robots.txt') AS robots_url, p AS position, concat('https://', h, f) AS sitemap_url
 FROM (SELECT DISTINCT {_host('url')} AS h FROM pages), (VALUES (2, '/sitemap.xml'), (3, '/news.xml')) v(p, f)"""
@@ -528,6 +529,9 @@ _ABSOLUTE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS href"
 ORACLE["extract_page_links"] = _sql(
     ctes=FLAT, body=f"SELECT url AS page_url, position, {_ABSOLUTE}, trim(text) AS text, false AS in_zone, true AS in_nav FROM y"
 )
+ORACLE["extract_page_links_own_parser"] = _sql(
+    ctes=FLAT, body=f"SELECT url AS page_url, position, {_ABSOLUTE}, trim(text) AS text, '' AS context, true AS in_zone, false AS in_nav FROM y"
+)
 ORACLE["extract_flat_links"] = _sql(
     ctes=FLAT, body=f"SELECT url AS page_url, position, {_ABSOLUTE}, trim(text) AS text FROM y"
 )
@@ -583,6 +587,7 @@ ORACLE["embed_texts"] = _sql(
     ctes=f"t AS (SELECT DISTINCT text FROM fx_texts WHERE length(trim(text)) >= 3), v AS (SELECT md5(text) AS m, {_vector('text')} AS e FROM t)",
     body="SELECT m AS text_md5, array_to_string(list_transform(e, lambda x: x::INT::VARCHAR), ',') AS vector, m[1] < '8' AS cached FROM v",
 )
+ORACLE["embed_texts_cached"] = ORACLE["embed_texts"]
 ORACLE["embedding_cache_stats"] = "SELECT count(*) AS entries, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings"
 ORACLE["similar_page_pairs"] = _sql(
     "fx_page_vectors",

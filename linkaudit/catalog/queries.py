@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -118,6 +119,16 @@ def sitemap_pages(spark, sf):
     return sitemap.sitemap_pages(documents, documents.where("sitemap_url = 'https://maps.example/index.xml'")).select("url")
 
 
+@query
+def read_sitemap_files(spark, sf):
+    """All sitemaps as compressed files of well-formed XML with a namespace, read back by the XML reader."""
+    folder = scratch(spark, "sitemaps")
+    named = F.regexp_replace(F.replace("xml", F.lit("&"), F.lit("&amp;")), "^<(urlset|sitemapindex)>", '<$1 xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    files = fixture(spark, sf, "fx_sitemaps").select(named.alias("xml"), F.xxhash64("sitemap_url").alias("file"))
+    files.write.option("compression", "gzip").partitionBy("file").text(folder)
+    return sitemap.read_sitemap_files(spark, folder)
+
+
 @query
 def robots_sitemaps(spark, sf):
     return sitemap.robots_sitemaps(fixture(spark, sf, "fx_robots"))
@@ -641,6 +652,17 @@ def extract_page_links(spark, sf):
     return P.extract_page_links(register_table(spark, sf, "pages")).select("page_url", "position", "href", "text", "in_zone", "in_nav")
 
 
+@query
+def extract_page_links_own_parser(spark, sf):
+    """The links of all pages by another parser than the library's own."""
+
+    def parser():
+        anchor = re.compile(r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>')
+        return lambda html: ({"href": href, "text": text.strip(), "in_zone": True} for href, text in anchor.findall(html))
+
+    return P.extract_page_links(register_table(spark, sf, "pages"), parser=parser)
+
+
 @query
 def extract_flat_links(spark, sf):
     return P.extract_flat_links(register_table(spark, sf, "pages"))
@@ -708,6 +730,18 @@ def embed_texts(spark, sf):
     return embedded.select("text_md5", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("int").cast("string"))).alias("vector"), "cached")
 
 
+@query
+def embed_texts_cached(spark, sf):
+    """The same through a stored cache, to which half of the texts are added twice, and once more by another audit."""
+    path = scratch(spark, "cache")
+    texts = fixture(spark, sf, "fx_texts")
+    some = V.embed_texts(texts.where(F.md5("text") < "8"))
+    for batch in (None, None, "another audit"):
+        V.append_cache(some, path, batch)
+    embedded = V.embed_texts(texts, V.read_cache(spark, path))
+    return embedded.select("text_md5", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("int").cast("string"))).alias("vector"), "cached")
+
+
 @query
 def embedding_cache_stats(spark, sf):
     return V.embedding_cache_stats(register_table(spark, sf, "embeddings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, functions as F
@@ -145,16 +145,25 @@ LINK_SCHEMA = (
 )
 
 
-def link_batches(batches: Iterator, zone_tags, zone_classes) -> Iterator:
-    """``mapInPandas`` body: one output row per link of the pages ``(page_url, html)``."""
-    import pandas as pd
+#: What a parser tells of a link; what it leaves out is empty or false.
+_LINK_FIELDS = {"href": "", "text": "", "context": "", "in_zone": False, "in_nav": False}
 
-    scanner = LinkScanner(zone_tags, zone_classes)
-    columns = ["page_url", "position", "href", "text", "context", "in_zone", "in_nav"]
-    for batch in batches:
-        rows = [
-            (url, i, link["href"], link["text"], link["context"], link["in_zone"], link["in_nav"])
-            for url, html in zip(batch["page_url"], batch["html"])
-            for i, link in enumerate(scanner.scan(html))
-        ]
-        yield pd.DataFrame(rows, columns=columns)
+
+def link_batches(parser: Callable[[], Callable[[str], Iterable[Mapping]]]) -> Callable[[Iterator], Iterator]:
+    """``mapInArrow`` body: one output row per link of the pages ``(page_url, html)``. A task makes its parser once."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        parse = parser()
+        kinds = {"page_url": pa.string(), "position": pa.int32(), "href": pa.string(), "text": pa.string(), "context": pa.string(), "in_zone": pa.bool_(), "in_nav": pa.bool_()}
+        for batch in batches:
+            columns: dict[str, list] = {name: [] for name in kinds}
+            for url, html in zip(batch.column("page_url").to_pylist(), batch.column("html").to_pylist()):
+                for position, link in enumerate(parse(html)):
+                    columns["page_url"].append(url)
+                    columns["position"].append(position)
+                    for name, missing in _LINK_FIELDS.items():
+                        columns[name].append(link.get(name, missing))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n], k) for n, k in kinds.items()], names=list(kinds))
+
+    return run

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.html import LINK_SCHEMA, html_h1, html_title, html_word_count, link_batches
+from ..functions.html import LINK_SCHEMA, LinkScanner, html_h1, html_title, html_word_count, link_batches
 from ..functions.text import py_strip
 from ..functions.urls import url_join
 from .filters import internal_by_domain
@@ -14,16 +16,20 @@ def extract_page_links(
     pages: DataFrame,
     zone_tags: tuple[str, ...] = ("main", "article", "section"),
     zone_classes: tuple[str, ...] = (),
+    parser: Callable[[], Callable[[str], Iterable[Mapping]]] | None = None,
 ) -> DataFrame:
     """All links of pages ``(url, html)``: absolute URL, text, context, content zone, navigation.
 
     Element nesting decides zone and navigation, so the pages pass a parser in Arrow batches;
     only URL and HTML of pages that hold a link reach it. Where classes of content blocks are
     known they take the place of the ``section`` tag.
+
+    ``parser`` makes another parser, once in each task: a function from the HTML of a page to its links in order, each a mapping with
+    ``href`` and any of ``text``, ``context``, ``in_zone`` and ``in_nav``. It must be one that Spark can send to executors.
     """
     tags = tuple(t for t in zone_tags if t != "section") if zone_classes else zone_tags
     with_links = pages.where(F.lower("html").contains("<a")).select(F.col("url").alias("page_url"), "html")
-    links = with_links.mapInPandas(lambda batches: link_batches(batches, tags, zone_classes), LINK_SCHEMA)
+    links = with_links.mapInArrow(link_batches(parser or (lambda: LinkScanner(tags, zone_classes).scan)), LINK_SCHEMA)
     return links.withColumn("href", url_join(F.col("page_url"), F.col("href")))
 
 

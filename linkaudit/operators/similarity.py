@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import py_strip, text_md5
 from ..functions.vectors import COSINE_DIGITS, dot, hashed_vector, unit
@@ -299,15 +299,19 @@ def unlinked_similar_pairs(vectors: DataFrame, links: DataFrame, threshold: floa
         wanted *= 4
 
 
-def new_texts(texts: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """``(text_md5, text)`` of the distinct texts that a cache ``(text_md5, embedding)`` lacks."""
-    distinct = (
-        texts.select("text")
-        .where(F.length(py_strip(F.col("text"))) >= 3)
-        .distinct()
-        .select(text_md5(F.col("text")).alias("text_md5"), "text")
-    )
-    return distinct.join(cache.select("text_md5"), "text_md5", "left_anti") if cache is not None else distinct
+#: Hexadecimal digits of a key that name its part of a cache.
+PREFIX_DIGITS = 2
+_CACHE = "text_md5 string, embedding array<double>, prefix string, batch string"
+
+
+def _prefix(key: Column) -> Column:
+    return F.substring(key, 1, PREFIX_DIGITS)
+
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """``(text_md5, text)`` of the distinct texts of three characters or more without the blanks around them."""
+    kept = texts.select("text").where(F.length(py_strip(F.col("text"))) >= 3).distinct()
+    return kept.select(text_md5(F.col("text")).alias("text_md5"), "text")
 
 
 def embed_texts(
@@ -319,36 +323,52 @@ def embed_texts(
     """``(text_md5, embedding, cached)`` for the distinct texts ``(text)`` of three characters or more
     without the blanks around them. Shorter texts have no row: their vector is zero and like no other.
 
-    Texts in the cache keep their vector; the others are encoded by a column expression, or in
-    Arrow batches by ``batch_encoder``. Append the rows that are not ``cached`` to the cache.
+    Texts in the cache ``(text_md5, embedding)`` keep their vector; the others are encoded by a column expression, or in
+    Arrow batches by ``batch_encoder``. Texts are read and joined with the cache once. A key that the cache has
+    several times, as after two audits at once, gives one row. Append the rows that are not ``cached`` to the cache.
     """
-    fresh = new_texts(texts, cache)
-    if batch_encoder is None:
-        encoded = fresh.select("text_md5", encoder(F.col("text")).alias("embedding"))
+    asked = distinct_texts(texts)
+    if cache is None:
+        joined = asked.withColumn("known", F.lit(None).cast("array<double>"))
     else:
+        kept = cache.select("text_md5", F.col("embedding").cast("array<double>").alias("known"))
+        joined = asked.join(kept, "text_md5", "left").groupBy("text_md5", "text").agg(F.min("known").alias("known"))
+    cached = F.col("known").isNotNull().alias("cached")
+    if batch_encoder is None:
+        return joined.select("text_md5", F.coalesce("known", encoder(F.col("text")).cast("array<double>")).alias("embedding"), cached)
 
-        def encode(batches):
-            for batch in batches:
-                matrix = np.asarray(batch_encoder(batch.column("text").to_pylist()), dtype="float64")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("text_md5"), pa.array(list(matrix), type=pa.list_(pa.float64()))],
-                    ["text_md5", "embedding"],
-                )
+    def encode(batches):
+        for batch in batches:
+            vectors = batch.column("known").to_pylist()
+            new = [i for i, v in enumerate(vectors) if v is None]
+            if new:
+                matrix = np.asarray(batch_encoder(batch.column("text").take(pa.array(new)).to_pylist()), dtype="float64")
+                for i, vector in zip(new, matrix.tolist()):
+                    vectors[i] = vector
+            flags = pa.compute.is_valid(batch.column("known"))
+            yield pa.RecordBatch.from_arrays([batch.column("text_md5"), pa.array(vectors, pa.list_(pa.float64())), flags], ["text_md5", "embedding", "cached"])
 
-        encoded = fresh.mapInArrow(encode, "text_md5 string, embedding array<double>")
-    encoded = encoded.withColumn("cached", F.lit(False))
-    if cache is None:
-        return encoded
-    asked = new_texts(texts).select("text_md5")
-    known = cache.join(asked, "text_md5", "left_semi").select(
-        "text_md5", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(True).alias("cached")
-    )
-    return encoded.unionByName(known)
+    return joined.select("text_md5", "text", "known").mapInArrow(encode, "text_md5 string, embedding array<double>, cached boolean")
+
+
+def append_cache(embedded: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add the newly made vectors to a Parquet cache, in folders by the beginning of the key and by batch.
+
+    A batch is written over what a lost or repeated attempt left of it, so appending the same vectors again changes nothing. Without a
+    name it is named after its keys. Other batches are not touched, so audits can append at the same time; ``embed_texts``
+    reads a key once, however many batches hold it.
+    """
+    new = embedded.where("NOT cached").select("text_md5", "embedding", _prefix(F.col("text_md5")).alias("prefix"))
+    if batch is None:
+        keys = new.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("text_md5").cast("decimal(20,0)")), F.lit(0)).alias("sum")).first()
+        batch = f"{keys['n']}-{keys['sum']}"
+    rows = new.withColumn("batch", F.lit(batch)).repartition("prefix")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch").parquet(path)
 
 
-def append_cache(embedded: DataFrame, path: str) -> None:
-    """Add the newly made vectors to a Parquet cache."""
-    embedded.where("NOT cached").select("text_md5", "embedding").write.mode("append").parquet(path)
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache that ``append_cache`` writes."""
+    return spark.read.schema(_CACHE).parquet(path)
 
 
 def embedding_cache_stats(cache: DataFrame) -> DataFrame:

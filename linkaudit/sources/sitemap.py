@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import py_strip
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 
 
 def _locations(xml: Column, within: str) -> Column:
@@ -36,18 +38,22 @@ def read_sitemap(documents: DataFrame) -> DataFrame:
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """Page URLs of sitemap files, by the built-in XML reader (splittable, one row per ``<url>``)."""
-    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
+    """Page URLs of sitemap files, plain or compressed, one document each, by the built-in XML reader (one row per ``<url>``).
+
+    Namespaces do not matter, whether they are a default or have a prefix.
+    """
+    rows = spark.read.format("xml").option("rowTag", "url").option("ignoreNamespace", True).schema("loc string").load(path)
     return rows.select(py_strip(F.col("loc")).alias("url")).where(F.col("url").startswith("http"))
 
 
 def expand_sitemap_index(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """``(sitemap_url, depth)`` of all sitemaps reached from ``roots (sitemap_url)`` through indexes.
 
-    Breadth first, one equi-join per level over a parent -> child table that is made once. Each
-    sitemap is entered once, so indexes that name each other end, and the loop goes on until a
-    level is empty, however deep the indexes are.
+    Breadth first, one equi-join per level over a parent -> child table that is made once. Each level is added to a table
+    by depth, which is all that is written: a sitemap once. Each is entered once, so indexes that name each other end, and the
+    loop goes on until a level is empty, however deep the indexes are.
     """
+    spark = documents.sparkSession
     children = cut_lineage(
         documents.where(_is_index(F.col("xml")))
         .select(F.col("sitemap_url").alias("parent"), F.explode(_locations(F.col("xml"), "sitemap")).alias("sitemap_url"))
@@ -56,24 +62,20 @@ def expand_sitemap_index(documents: DataFrame, roots: DataFrame) -> DataFrame:
         .distinct()
     )
     known = documents.select("sitemap_url").distinct()
+    # of the children that a level can enter, those that are documents are looked up once
+    entered = cut_lineage(children.join(known, "sitemap_url", "left_semi"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/sitemaps-{uuid.uuid4().hex}"
     level = roots.select("sitemap_url").distinct().join(known, "sitemap_url", "left_semi")
-    reached = cut_lineage(level.withColumn("depth", F.lit(0)))
-    found, depth = reached, 0
-    while not found.isEmpty():
+    depth = 0
+    while True:
+        level.write.parquet(f"{folder}/depth={depth}")
+        reached = spark.read.schema("sitemap_url string, depth int").parquet(folder)
+        found = spark.read.schema("sitemap_url string").parquet(f"{folder}/depth={depth}")
+        if found.isEmpty():
+            return reached
         depth += 1
         parents = found.select(F.col("sitemap_url").alias("parent"))
-        found = (
-            children.join(parents, "parent")
-            .select("sitemap_url")
-            .distinct()
-            .join(known, "sitemap_url", "left_semi")
-            .join(reached, "sitemap_url", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        found = cut_lineage(found)
-        # one plan node a level would slow down deep chains: the levels so far are written again
-        reached = cut_lineage(reached.unionByName(found))
-    return reached
+        level = entered.join(parents, "parent").select("sitemap_url").distinct().join(reached, "sitemap_url", "left_anti")
 
 
 def sitemap_pages(documents: DataFrame, roots: DataFrame) -> DataFrame:

@@ -208,7 +208,8 @@ def test_embedding_cache(spark, tmp_path):
     first = V.embed_texts(texts)
     assert first.count() == 2
     V.append_cache(first, str(tmp_path / "cache"))
-    cache = spark.read.parquet(str(tmp_path / "cache"))
+    V.append_cache(first, str(tmp_path / "cache"))
+    cache = V.read_cache(spark, str(tmp_path / "cache"))
     more = texts.unionByName(spark.createDataFrame([("nouveau",)], "text string"))
     again = V.embed_texts(more, cache)
     assert {r.cached for r in again.where("text_md5 <> md5('nouveau')").collect()} == {True}
@@ -222,6 +223,26 @@ def test_embedding_cache(spark, tmp_path):
     assert sorted(own.values()) == [[5.0, 1.0], [8.0, 1.0]]
 
 
+def test_a_cache_that_holds_keys_several_times_gives_each_text_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    texts = spark.createDataFrame([(f"texte {i}",) for i in range(40)], "text string")
+    half = V.embed_texts(texts.limit(20))
+    for batch in ("one", "one", "two"):
+        V.append_cache(half, path, batch)
+    cache = V.read_cache(spark, path)
+    assert cache.count() == 40
+    def encode(batch):
+        return [[float(len(t)), 1.0] for t in batch]
+
+    rows = V.embed_texts(texts, cache, batch_encoder=encode).collect()
+    assert len(rows) == len({r.text_md5 for r in rows}) == 40 and sum(r.cached for r in rows) == 20
+    assert {tuple(r.embedding) for r in rows if not r.cached} <= {(7.0, 1.0), (8.0, 1.0)}
+    plain = spark.createDataFrame([(r.text_md5, [0.5]) for r in rows for _ in range(2)], "text_md5 string, embedding array<float>")
+    assert [r.embedding for r in V.embed_texts(texts, plain).collect()] == [[0.5]] * 40
+    plan = V.embed_texts(texts, cache)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+
+
 def test_coherence_with_given_vectors(spark, links_of):
     from linkaudit.operators import classify as C
 

@@ -191,3 +191,33 @@ def test_the_driver_gets_a_bounded_row_for_each_file(spark, tmp_path, monkeypatc
 def test_separator_counts_lines_after_the_header(spark, tmp_path):
     (tmp_path / "x.csv").write_text("\n\nA\n1;2\n" + "3;4\n" * 10)
     assert [f.sep for f in file_forms(spark, str(tmp_path))] == [";"]
+
+
+def test_deep_sitemap_indexes_write_each_sitemap_once(spark, tmp_path, monkeypatch):
+    """Thirty indexes in a chain, each with two sitemaps, that end in a circle."""
+    import linkaudit.sources.sitemap as sitemap
+
+    monkeypatch.setattr(sitemap, "checkpoint_dir", lambda spark: str(tmp_path))
+    index = "<sitemapindex>{}</sitemapindex>".format
+    entry = "<sitemap><loc>{}</loc></sitemap>".format
+    rows = [(f"i{k}", index(entry(f"i{(k + 1) % 31}") + entry(f"s{k}a") + entry(f"s{k}b") + entry("missing"))) for k in range(31)]
+    rows += [(f"s{k}{c}", f"<urlset><url><loc>http://x/{k}{c}</loc></url></urlset>") for k in range(31) for c in "ab"]
+    documents = spark.createDataFrame(rows, "sitemap_url string, xml string").coalesce(2)
+    reached = sitemap.expand_sitemap_index(documents, documents.where("sitemap_url = 'i0'"))
+    depths = {r.sitemap_url: r.depth for r in reached.collect()}
+    assert depths == {**{f"i{k}": k for k in range(31)}, **{f"s{k}{c}": k + 1 for k in range(31) for c in "ab"}}
+    # what is written is a row for each sitemap, not one for each level
+    folder = next(p for p in tmp_path.iterdir() if p.name.startswith("sitemaps-"))
+    assert spark.read.schema("sitemap_url string").parquet(str(folder)).count() == 93
+
+
+def test_sitemap_files_with_prefixes_and_compression(spark, tmp_path):
+    import gzip
+
+    from linkaudit.sources.sitemap import read_sitemap_files
+
+    body = '<?xml version="1.0"?>\n<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">{}</sm:urlset>'
+    body = body.format("".join(f"<sm:url><sm:loc> http://x/{i} </sm:loc><sm:priority>1</sm:priority></sm:url>" for i in range(3)))
+    with gzip.open(tmp_path / "a.xml.gz", "wt") as f:
+        f.write(body)
+    assert sorted(r.url for r in read_sitemap_files(spark, str(tmp_path)).collect()) == ["http://x/0", "http://x/1", "http://x/2"]
