@@ -10,7 +10,8 @@ from ..config import (
     STOP_WORDS,
     THEME_STOP_WORDS,
 )
-from .fixtures import HOST, SITE, duckdb_with
+from .audited import digest_sql
+from .fixtures import FIXTURES, HOST, SITE, duckdb_with
 
 ORACLE: dict[str, str] = {}
 
@@ -608,13 +609,10 @@ ORACLE["anchor_coherence"] = _links(
     "fx_part_attrs",
     ctes=f"{WIDE}, {CONTENT}, {FIT}",
 )
-ORACLE["coherence_summary"] = _links(
-    """SELECT round(sum(similarity * links) / sum(links), 6) AS average_score, sum(links)::BIGINT AS total_analyzed,
+_COHERENCE = """SELECT round(sum(similarity * links) / sum(links), 6) AS average_score, coalesce(sum(links), 0)::BIGINT AS total_analyzed,
     coalesce(sum(links) FILTER (similarity > 0.7), 0)::BIGINT AS high_coherence,
-    coalesce(sum(links) FILTER (similarity < 0.4), 0)::BIGINT AS low_coherence FROM ac""",
-    "fx_part_attrs",
-    ctes=f"{WIDE}, {CONTENT}, {FIT}",
-)
+    coalesce(sum(links) FILTER (similarity < 0.4), 0)::BIGINT AS low_coherence FROM ac"""
+ORACLE["coherence_summary"] = _links(_COHERENCE, "fx_part_attrs", ctes=f"{WIDE}, {CONTENT}, {FIT}")
 
 
 def _dbscan(points: str, min_samples: int, cosine: float = 0.8, tag: str = "") -> str:
@@ -639,16 +637,16 @@ ORACLE["density_clusters"] = _sql(
 )
 
 
-def _themes(anchors: str) -> str:
+def _themes(anchors: str, enough: str = "true") -> str:
     """Themes of at least two links; a single cluster with more than half of the points besides noise is searched with the smaller radius."""
     return f"""
 pt AS MATERIALIZED (SELECT anchor AS id, {_vector('anchor')} AS e, links AS weight FROM {anchors} WHERE length(trim(anchor)) > 3),
 {_dbscan('pt', 2)},
 {_dbscan('pt', 2, 0.85, '_close')},
 again AS MATERIALIZED (SELECT count(DISTINCT label) = 1 AND bool_or(label IS NULL) AND 2 * sum(weight) FILTER (label IS NOT NULL) > sum(weight) AS dominant FROM db),
-cl AS (SELECT db.* FROM db, again WHERE NOT dominant UNION ALL SELECT db_close.* FROM db_close, again WHERE dominant),
-th AS (SELECT id AS anchor, weight AS links, label AS theme FROM cl
-  WHERE label IN (SELECT label FROM cl GROUP BY label HAVING sum(weight) >= 2))"""
+grouped AS (SELECT db.* FROM db, again WHERE NOT dominant UNION ALL SELECT db_close.* FROM db_close, again WHERE dominant),
+th AS (SELECT id AS anchor, weight AS links, label AS theme FROM grouped
+  WHERE {enough} AND label IN (SELECT label FROM grouped GROUP BY label HAVING sum(weight) >= 2))"""
 
 
 THEMES = _themes("fx_theme_anchors")
@@ -667,20 +665,14 @@ def _title(word: str) -> str:
     return f"upper({word}[1]) || {word}[2:]"
 
 
-ORACLE["name_themes"] = _sql(
-    "fx_theme_anchors",
-    ctes=f"{THEMES}, {_uses(THEME_STOP_WORDS)}",
-    body=f"""SELECT theme, CASE WHEN w2 IS NOT NULL THEN {_title('w1')} || ' + ' || {_title('w2')}
+_NAMES = f"""SELECT theme, CASE WHEN w2 IS NOT NULL THEN {_title('w1')} || ' + ' || {_title('w2')}
       WHEN w1 IS NOT NULL THEN {_title('w1')} || ' (' || links || ' links)' ELSE 'Theme ' || theme END AS name, anchors, links
     FROM (SELECT theme, max(word) FILTER (n = 1 AND uses >= 2) AS w1, max(word) FILTER (n = 2 AND uses >= 2) AS w2 FROM rk GROUP BY theme)
-    JOIN (SELECT theme, count(*) AS anchors, sum(links)::BIGINT AS links FROM th GROUP BY theme) USING (theme)""",
-)
-ORACLE["theme_words"] = _sql(
-    "fx_theme_anchors",
-    ctes=f"{THEMES}, {_uses(())}",
-    body="""SELECT theme, n::INTEGER AS position, word, uses, round(0.8 + uses / max(uses) OVER (PARTITION BY theme) * 0.8, 6) AS size
-    FROM rk WHERE n <= 10""",
-)
+    JOIN (SELECT theme, count(*) AS anchors, sum(links)::BIGINT AS links FROM th GROUP BY theme) USING (theme)"""
+_MOST_USED = """SELECT theme, n::INTEGER AS position, word, uses, round(0.8 + uses / max(uses) OVER (PARTITION BY theme) * 0.8, 6) AS size
+    FROM rk WHERE n <= 10"""
+ORACLE["name_themes"] = _sql("fx_theme_anchors", ctes=f"{THEMES}, {_uses(THEME_STOP_WORDS)}", body=_NAMES)
+ORACLE["theme_words"] = _sql("fx_theme_anchors", ctes=f"{THEMES}, {_uses(())}", body=_MOST_USED)
 
 # --- the whole audit -------------------------------------------------------------------------
 
@@ -710,21 +702,84 @@ _TABLES = {
     "largest_clusters": "largest_clusters",
     "pillar_pages": "pillar_page_recommendations",
 }
-_PARTS = [f"SELECT '{name}' AS name, count(*) AS n_rows, true AS as_query FROM ({ORACLE[q]})" for name, q in _TABLES.items()] + [
-    f"SELECT 'flagged_anchors', count(*), NULL FROM ({ORACLE['anchor_quality']}) WHERE too_short OR keyword_stuffed OR url_anchor",
-    f"SELECT 'network_edges', least(500, count(*)), NULL FROM ({ORACLE['network_edges']})",
-    "SELECT 'priority_advice', (SELECT count(*) FROM ({o}) WHERE n > 0) + (SELECT (editorial_ratio < 50)::INT + (avg_editorial_per_page < 2)::INT "
-    "FROM ({s})) + (SELECT (too_short > 0)::INT FROM ({q})), NULL".format(
-        o=f"SELECT count(*) AS n FROM ({ORACLE['orphan_pages']})", s=ORACLE["link_stats"], q=ORACLE["anchor_quality_counts"]
+#: Where a table of an audit is not the result of a query as it stands.
+_DERIVED = {
+    "network_edges": _links("SELECT * FROM ne ORDER BY source, target, anchor LIMIT 500", ctes=_nodes(100)),
+    # with the thresholds of the settings, where the query has its own
+    "priority_advice": ORACLE["priority_advice"].replace("editorial_ratio < 90", "editorial_ratio < 50").replace(
+        "avg_editorial_per_page < 10", "avg_editorial_per_page < 2"),
+    "flagged_anchors": f"SELECT * FROM ({ORACLE['anchor_quality']}) WHERE too_short OR keyword_stuffed OR url_anchor",
+    "thin_pages": f"SELECT * FROM ({ORACLE['word_count_band']}) WHERE band = 'thin'",
+    "title_h1_different": "SELECT url, {}, {} FROM ({}) WHERE status = 'different'".format(
+        *(f"CASE WHEN length({c}) > 60 THEN {c}[:60] || '...' ELSE {c} END AS {c}" for c in ("title", "h1")), ORACLE["title_h1_coherence"]
     ),
-    f"SELECT 'thin_pages', count(*), NULL FROM ({ORACLE['word_count_band']}) WHERE band = 'thin'",
-    f"SELECT 'title_h1_different', count(*), NULL FROM ({ORACLE['title_h1_coherence']}) WHERE status = 'different'",
-]
-ORACLE["audit_tables"] = "\nUNION ALL ".join(_PARTS)
+}
+
+
+def _title_name(ctes: str, *fixtures: str) -> dict[str, str]:
+    """SQL of theme names and words over the themes of ``ctes``."""
+    return {
+        "theme_names": _sql(*fixtures, ctes=f"{ctes}, {_uses(THEME_STOP_WORDS)}", body=_NAMES),
+        "theme_words": _sql(*fixtures, ctes=f"{ctes}, {_uses(())}", body=_MOST_USED),
+    }
+
+
+def _semantic_tables(links: str, attrs: str) -> dict[str, str]:
+    """The semantic tables of an audit of ``links`` and page attributes ``attrs``."""
+    classes = CLASSES.replace("FROM fx_links", f"FROM {links}")
+    wide = WIDE.replace("fx_part_attrs", attrs)
+    enough = "(SELECT count(DISTINCT lower(trim(anchor))) >= 0.3 * sum(links) AND sum(links) >= 2 FROM an WHERE length(trim(anchor)) > 3)"
+    themes = f"{classes},\nan AS MATERIALIZED (SELECT trim(anchor) AS anchor, count(*) AS links FROM ed WHERE trim(anchor) <> '' GROUP BY 1), {_themes('an', enough)}"
+    plain = "plain AS (SELECT url, concat_ws(' ', {}) AS content FROM wide)".format(", ".join(f"nullif({a}, '')" for a in _ATTRS[:6]))
+    return {
+        **_title_name(themes, links),
+        "coherence_summary": _sql(links, attrs, ctes=f"{classes},\n{wide}, {CONTENT}, {FIT}", body=_COHERENCE),
+        "link_opportunities": _sql(
+            links, attrs,
+            ctes=f"{classes},\n{wide}, {plain}, pv AS MATERIALIZED (SELECT url, {_vector('content')} AS e FROM plain WHERE length(trim(content)) >= 3)",
+            body="""SELECT least(a.url, b.url) AS source, greatest(a.url, b.url) AS target, round(list_cosine_similarity(a.e, b.e), 9) AS similarity
+    FROM pv a JOIN pv b ON a.url < b.url WHERE round(list_cosine_similarity(a.e, b.e), 9) > 0.6
+      AND (a.url, b.url) NOT IN (SELECT (source, destination) FROM il) AND (b.url, a.url) NOT IN (SELECT (source, destination) FROM il)
+    ORDER BY 3 DESC, 1, 2 LIMIT 20""",
+        ),
+    }
+
+
+_EVERY = {**{name: ORACLE[q] for name, q in _TABLES.items()}, **_DERIVED}
+
+
+def _digests(tables: dict[str, str]) -> str:
+    return "\nUNION ALL ".join(digest_sql(name, sql) for name, sql in tables.items())
+
+
+ORACLE["audit_tables"] = _digests({**_EVERY, **_semantic_tables("fx_links", "fx_part_attrs")})
 ORACLE["audit_of_folder"] = ORACLE["audit_tables"]
+ORACLE["semantic_tables"] = _digests(_semantic_tables("fx_varied_links", "fx_varied_attrs"))
+
+_SIMPLE = ("funnel", "stats", "top_linking_pages", "most_linked_pages", "top_anchors", "over_repeated_anchors", "orphan_pages")
+ORACLE["simple_audit"] = _digests({name: _EVERY[name].replace(_rules(SHIPPED), SIMPLE_RULES) for name in _SIMPLE})
+
+# The guided audit is that of the links which page HTML confirms: they take the place of all links.
+_OF_LINKS = ("funnel", "stats", "score", "rules", "top_linking_pages", "most_linked_pages", "top_anchors", "over_repeated_anchors", "orphan_pages",
+             "flagged_anchors", "destination_categories", "anchor_keywords", "network_nodes", "network_edges", "recommendations", "priority_advice")
+_ALL = f"fx_links AS ({FIXTURES['fx_links'].strip()})"
+_CONFIRMED = f"""fx_all AS ({FIXTURES['fx_links'].strip()}),
+{CONTENT_LINKS.replace('FROM fx_links', 'FROM fx_all')},
+fx_links AS ({ORACLE['match_editorial_links'].split(CONTENT_LINKS.strip())[1].strip().replace('SELECT source, destination, anchor FROM fx_links l', 'SELECT * FROM fx_all l')})"""
+
+
+def _confirmed(sql: str) -> str:
+    return sql.replace(_ALL, _CONFIRMED)
+
 
-ORACLE["simple_audit"] = ORACLE["link_funnel_simple"]
-ORACLE["guided_audit"] = ORACLE["match_editorial_links"]
+ORACLE["guided_audit"] = _digests({
+    **{name: _confirmed(_EVERY[name]) for name in _OF_LINKS},
+    "editorial_links": ORACLE["match_editorial_links"],
+    "editorial_yield": _confirmed(_sql("fx_links", body=f"""SELECT *, editorial_links / crawled_links * 100.0 AS yield_percent FROM (
+        SELECT count(*) AS editorial_links, count(*) FILTER (starts_with(destination, 'https://{HOST}')) AS internal_editorial_links,
+          (SELECT count(*) FROM fx_all WHERE {VALID}) AS crawled_links FROM fx_links)""")),
+    "domain_counts": _confirmed(_sql("fx_links", body=f"SELECT {_host('destination')} AS host, count(*) AS links FROM fx_links GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")),
+})
 ORACLE["link_opportunities"] = _sql(
     "fx_page_vectors",
     body="""SELECT source, target, round(s, 6) AS similarity FROM (

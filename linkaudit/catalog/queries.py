@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -29,6 +28,7 @@ from ..plans import audit, folder
 from ..session import checkpoint_dir
 from ..sources import attributes, sinks, sitemap
 from ..sources.csv import canonical_links, read_csv, read_links_csv
+from .audited import digests
 from .fixtures import HOST, SITE, fixture, register_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,61 +160,32 @@ def page_inputs(spark, sf) -> audit.PageInputs:
     )
 
 
-#: Tables of an audit and the registered queries that give the same rows, each checked by SQL of its own.
-SAME_AS = {
-    "funnel": "link_funnel", "stats": "link_stats", "score": "editorial_score", "rules": "rule_breakdown",
-    "top_linking_pages": "top_linking_pages", "most_linked_pages": "most_linked_pages", "top_anchors": "top_anchors",
-    "over_repeated_anchors": "over_repeated_anchors", "orphan_pages": "orphan_pages",
-    "destination_categories": "destination_category_counts", "anchor_keywords": "anchor_keywords",
-    "network_nodes": "network_nodes", "recommendations": "recommendations", "word_count_stats": "word_count_stats",
-    "title_h1_summary": "title_h1_summary", "conversion_pages": "conversion_pages", "conversion_summary": "conversion_summary",
-    "similar_pairs_summary": "similar_pairs_summary", "similar_pairs": "top_similar_pairs",
-    "similarity_scores": "top_similarity_scores", "missing_links": "missing_link_recommendations",
-    "cluster_summary": "cluster_summary", "largest_clusters": "largest_clusters", "pillar_pages": "pillar_page_recommendations",
-}
-
-
-def _fingerprint(table: DataFrame) -> DataFrame:
-    """Rows and a hash of a table that does not depend on their order; numbers with six digits."""
-    columns = [F.round(F.col(c).cast("double"), 6) if t in ("double", "float") or t.startswith("decimal") else F.col(c).cast("string") for c, t in sorted(table.dtypes)]
-    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(20,0)")), F.lit(0)).alias("digest"))
-
-
-def _compared(spark, sf, tables: dict[str, DataFrame]) -> DataFrame:
-    """``(name, n_rows, as_query)``: the rows of each table, and whether they are those of the query of ``SAME_AS``."""
-    out = []
-    for name, table in tables.items():
-        own = _fingerprint(table).select(F.lit(name).alias("name"), "n_rows", "digest")
-        if name in SAME_AS:
-            query = QUERIES[SAME_AS[name]](spark, sf)
-            other = _fingerprint(query.select(*[c for c in query.columns if c in table.columns]))
-            own = own.withColumn("as_query", F.col("digest") == other.select("digest").scalar())
-        else:
-            own = own.withColumn("as_query", F.lit(None).cast("boolean"))
-        out.append(own.drop("digest"))
-    return reduce(DataFrame.unionByName, out)
-
-
 @query
 def audit_tables(spark, sf):
+    """Rows and a digest of every table of an audit with semantic analysis."""
     cfg = CFG.with_options(enable_semantic_analysis=True)
-    tables = audit.audit_tables(links(spark, sf), page_inputs(spark, sf), cfg, site=SITE, work_path=scratch(spark, "audit"))
-    semantic = {"theme_names", "theme_words", "coherence_summary", "link_opportunities"}
-    return _compared(spark, sf, {name: t for name, t in tables.items() if name not in semantic})
+    return digests(audit.audit_tables(links(spark, sf), page_inputs(spark, sf), cfg, site=SITE, work_path=scratch(spark, "audit")))
 
 
 @query
 def simple_audit(spark, sf):
-    return audit.simple_audit(links(spark, sf))["funnel"]
+    return digests(audit.simple_audit(links(spark, sf)))
 
 
 @query
 def guided_audit(spark, sf):
-    """The links that page HTML confirms, as the guided audit lists them."""
+    """The links that page HTML confirms, and the audit of them."""
     pages = fixture(spark, sf, "fx_link_pages")
     cfg = CFG.with_options(enable_semantic_analysis=False)
-    tables = audit.guided_audit(links(spark, sf), pages, HOST, cfg=cfg, work_path=scratch(spark, "guided"))
-    return tables["editorial_links"].select("source", "destination", "anchor")
+    return digests(audit.guided_audit(links(spark, sf), pages, HOST, cfg=cfg, site=SITE, work_path=scratch(spark, "guided")))
+
+
+@query
+def semantic_tables(spark, sf):
+    """Themes, coherence and opportunities of a site whose anchors vary."""
+    varied = C.classify_links(canonical_links(fixture(spark, sf, "fx_varied_links")), CFG)
+    wide = attributes.load_page_attributes(fixture(spark, sf, "fx_varied_attrs"))
+    return digests(audit.semantic_tables(varied, wide, work_path=scratch(spark, "semantic")))
 
 
 @query
@@ -229,8 +200,11 @@ def link_opportunities(spark, sf):
 
 @query
 def audit_of_folder(spark, sf):
-    """All families of exports written to one folder, found by name, read by header and audited."""
+    """All families of exports, page attributes too, written to one folder, found by name, read by header and audited."""
     home = scratch(spark, "folder")
+    attrs = fixture(spark, sf, "fx_part_attrs")
+    headers = {"titles": "Title", "h1": "H1-1", "h2": "H2-1", "meta_desc": "Meta Description", "meta_keywords": "Meta Keywords", "images_alt": "Alt Text"}
+    files = {"meta_desc": "meta_description", "images_alt": "images"}
     exports = {
         "all_outlinks.csv": fixture(spark, sf, "fx_links").select(
             F.col("source").alias("Source"), F.col("destination").alias("Destination"), F.col("anchor").alias("Ancrage"),
@@ -242,16 +216,15 @@ def audit_of_folder(spark, sf):
         "similar_pages.csv": fixture(spark, sf, "fx_similar_pairs").select(
             F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("similarity").cast("string").alias("Similarity")),
         "content_clusters.csv": fixture(spark, sf, "fx_clusters").select(F.col("url").alias("URL"), F.col("cluster_id").cast("string").alias("Cluster")),
+        # the later row of a page wins: the rows of a page stand in their order
+        **{f"all_outlinks_{files.get(a, a)}.csv": attrs.where(F.col("attr") == a).repartitionByRange("url").sortWithinPartitions("url", "ord").select(
+            F.col("url").alias("Address"), F.col("value").alias(header)) for a, header in headers.items()},
     }
     for name, table in exports.items():
-        table.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "").csv(f"{home}/{name}")
+        writer = table.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "")
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{home}/{name}")
     cfg = CFG.with_options(enable_semantic_analysis=True)
-    inputs = folder.load_page_inputs(spark, home)
-    link_table = read_links_csv(spark, f"{home}/all_outlinks.csv")
-    work = scratch(spark, "folder-audit")
-    tables = audit.link_tables(audit.classified_links(link_table, cfg, work_path=work), cfg, SITE, work)
-    tables.update(audit.content_tables(inputs, cfg))
-    return _compared(spark, sf, tables)
+    return digests(folder.audit_of_folder(spark, home, "all_outlinks.csv", cfg, site=SITE, work_path=scratch(spark, "folder-audit")))
 
 
 # --- filters -------------------------------------------------------------------------------
