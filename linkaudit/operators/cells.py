@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import dot
 from ..session import cut_lineage
@@ -53,6 +53,20 @@ def _draw(seed: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(_DRAWS))
 
 
+def _spread(_, drawn):  # no type hints: Spark reads them as a choice of interface
+    """Pivots among the vectors drawn from a cell, a few hundred at most: most of them far from each other, so that groups far apart
+    have pivots of their own, the others as they were drawn, so that single vectors far off do not take all."""
+    drawn = drawn.sort_by([("draw", "ascending"), ("id", "ascending")])
+    rows, wanted = matrix(drawn["unit"]), min(len(drawn), drawn["children"][0].as_py())
+    taken, apart = [0], _angles(rows, rows[:1])[:, 0]
+    while len(taken) < max(2, 3 * wanted // 4) and len(taken) < wanted and apart.max() > 1e-9:
+        taken.append(int(apart.argmax()))
+        apart = np.minimum(apart, _angles(rows, rows[taken[-1:]])[:, 0])
+    taken += [r for r in range(len(rows)) if r not in set(taken)][: wanted - len(taken)]
+    kept = drawn.take(pa.array(taken))
+    return pa.table({"cell": kept["cell"], "slices": kept["slices"], "at": np.arange(len(taken)), "pivot": kept["unit"]})
+
+
 def _nearest(fan: int, by_hash: bool):
     def run(_, vectors, pivots):  # no type hints: Spark reads them as a choice of interface
         order = np.argsort(np.asarray(pivots["at"]))
@@ -83,11 +97,10 @@ def pivot_tree(units: DataFrame, block_rows: int, fan: int = FAN) -> PivotTree:
             break
         members = tree.vectors.join(large, "cell", "left").withColumn("draw", _draw(depth))
         split = members.where("n IS NOT NULL")
-        # about eight times as many as wanted, of which those with the smallest draws are taken
+        # about eight times as many as wanted
         few = split.where(F.col("draw") < 8 * F.col("children") / F.col("n") * _DRAWS)
-        place = F.row_number().over(Window.partitionBy("cell").orderBy("draw", "id"))
-        pivots = few.withColumn("at", place - 1).where("at < children").select("cell", "slices", "at", F.col("unit").alias("pivot"))
-        pivots = cut_lineage(pivots)
+        chosen = few.select("cell", "slices", "children", "draw", "id", "unit").groupBy("cell").applyInArrow(_spread, "cell bigint, slices bigint, at bigint, pivot array<double>")
+        pivots = cut_lineage(chosen)
         slices = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
         offered = pivots.select(F.col("cell").alias("at_cell"), "at", "pivot", slices.alias("at_slice"))
         dealt = split.select("id", "unit", "cell", "draw", F.pmod("draw", "slices").alias("slice"))
