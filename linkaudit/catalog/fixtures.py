@@ -213,11 +213,12 @@ SELECT anchor, CAST(sum(n) AS BIGINT) AS links FROM (
 
 # Links of a site whose anchors vary: every page links to three others with wordings of their titles.
 _TITLED = "(SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS ti, (SELECT count(*) FROM pages) AS n FROM pages)"
-FIXTURES["fx_varied_links"] = f"""
-SELECT concat('{SITE}guide/p', {_text('CASE WHEN page_id + k < n THEN page_id + k ELSE page_id + k - n END')}) AS source, concat('{SITE}guide/p', {_text('page_id')}) AS destination,
-  CASE k WHEN 1 THEN ti WHEN 2 THEN concat(ti, ' plus') ELSE concat('voir ', ti) END AS anchor, 'Contenu' AS origin, '/html/body/main/p/a' AS path
-FROM {_TITLED} t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) ks
-"""
+FIXTURES["fx_varied_links"] = "\nUNION ALL ".join(
+    f"""SELECT concat('{SITE}guide/p', {_text(f'CASE WHEN page_id + {k} < n THEN page_id + {k} ELSE page_id + {k} - n END')}) AS source,
+  concat('{SITE}guide/p', {_text('page_id')}) AS destination, {anchor} AS anchor, 'Contenu' AS origin, '/html/body/main/p/a' AS path
+FROM {_TITLED} t{k}"""
+    for k, anchor in enumerate(("ti", "concat(ti, ' plus')", "concat('voir ', ti)"), 1)
+)
 FIXTURES["fx_varied_attrs"] = f"""
 SELECT concat('{SITE}guide/p', {_text('page_id')}) AS url, 'titles' AS attr, ti AS value, 1 AS ord FROM {_TITLED} a
 UNION ALL SELECT concat('{SITE}guide/p', {_text('page_id')}), 'h1', split_part(ti, ' ', 2), 1 FROM {_TITLED} b

@@ -14,12 +14,13 @@ QUERIES, ORACLE = {n: q for n, q in queries().items() if n in CATALOG}, oracle_s
 ITERATIVE = {
     "expand_sitemap_index", "sitemap_pages", "similar_page_pairs", "density_clusters", "cluster_themes", "name_themes",
     "theme_words", "write_recommendations", "write_editorial_links", "audit_tables", "read_links_csv_export", "read_links_csv_mixed",
-    "audit_of_folder", "simple_audit", "guided_audit", "link_opportunities",
+    "audit_of_folder", "simple_audit", "guided_audit", "link_opportunities", "semantic_tables", "cluster_themes_dominant",
+    "embed_texts_cached", "read_sitemap_files",
 }
 #: Queries whose work needs Python on the executors.
 WITH_PYTHON = {
     "extract_page_links", "nav_zone", "content_zone_links", "content_links_of_link_pages", "match_editorial_links",
-    "similar_page_pairs",
+    "similar_page_pairs", "extract_page_links_own_parser", "apply_label_overrides", "apply_label_overrides_same_page", "correction_counts",
 }
 
 
