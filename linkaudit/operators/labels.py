@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import py_strip
-from ..session import cut_lineage
+from ..session import stored
 from .prefixes import beginning
 
 EDITORIAL_CATEGORIES = ("EDITORIAL", "CALL_TO_ACTION")
@@ -20,7 +20,7 @@ def label_page_of_sources(sources: DataFrame, labels: DataFrame, page_match: str
     """
     first = F.min("ord") if "ord" in labels.columns else F.lit(0)
     pages = labels.groupBy("page_url").agg(first.alias("ord"))
-    pages = cut_lineage(pages.withColumn("base", F.regexp_extract("page_url", r"^([^?]*)", 1)))
+    pages = stored(pages.withColumn("base", F.regexp_extract("page_url", r"^([^?]*)", 1)))
     if page_match == "page":
         keyed = sources.select("source", F.regexp_extract("source", r"^([^?]*)", 1).alias("base"))
     else:
@@ -46,9 +46,9 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
     only; the sweep deals the links of a page to many ranges, and joins are split by Spark where a page has very many. The smallest
     label is kept as the joined rows come, before any shuffle.
     """
-    wanted = cut_lineage(links.select("source", "text", "url").distinct())
+    wanted = stored(links.select("source", "text", "url").distinct())
     found = label_page_of_sources(wanted.select("source").distinct(), labels, page_match)
-    wanted = cut_lineage(wanted.join(found, "source"))
+    wanted = stored(wanted.join(found, "source"))
 
     order = F.col("ord") if "ord" in labels.columns else F.lit(0)
     url = py_strip(F.lower("href"))
@@ -58,7 +58,7 @@ def match_labels(links: DataFrame, labels: DataFrame, page_match: str = "prefix"
         F.element_at(F.split(url, "/"), -1).alias("segment"),
         F.struct(order.alias("ord"), "href", "text", "category", "confidence").alias("label"),
     )
-    offered = cut_lineage(offered.groupBy("page_url", "segment", "label_text").agg(F.min("label").alias("label")))
+    offered = stored(offered.groupBy("page_url", "segment", "label_text").agg(F.min("label").alias("label")))
     by_text = offered.groupBy("page_url", F.col("label_text").alias("text")).agg(F.min("label").alias("label"))
 
     key = ["source", "text", "url"]

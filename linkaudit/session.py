@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as a Parquet table beside the checkpoints and read it from there.
+
+    For tables that several passes read a few columns of; like a checkpoint it outlives executors and cuts the plan, and the
+    next plan knows its size. The order of rows is not kept.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/linkaudit-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
