@@ -136,7 +136,9 @@ def with_first_pages(pages: DataFrame, id_col: str, html_col: str, least_bytes:
     that occur once, and short ones, take no part in the join.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    # the first column of that name, whatever its case and type
+    named = [c for c in pages.columns if c.lower() == "url"]
+    url = F.col(f"`{named[0]}`").cast("string") if named else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("long", F.length("payload") >= least_bytes)
     groups = rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))

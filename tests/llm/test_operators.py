@@ -228,6 +228,41 @@ def test_written_shards_hold_their_rows(spark, tmp_path):
 # --- archives --------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name,kind,value,shown", [("URL", "string", "http://x/1", "http://x/1"), ("Url", "long", 7, "7"), ("url", "string", None, "urn:page:1"), ("other", "long", 7, "urn:page:1")])
+def test_addresses_of_pages_by_any_name_and_type(spark, name, kind, value, shown):
+    pages = spark.createDataFrame([(1, value, "<html>" + "x" * 200)], f"page_id long, {name} {kind}, html string")
+    index = warc.write_bundles(pages).collect()
+    with open_file(index[0]["folder"], index[0]["file"]) as source:
+        data = warc.BundleReader(source).record(index[0]["frame"], index[0]["offset"], index[0]["length"])
+    assert warc.parse(data)["fields"]["WARC-Target-URI"] == shown
+
+
+def plain_shard(doc_id, tree):
+    """The descent over the tree, one level after the other."""
+
+    def draw(path, weight):
+        digest = hashlib.md5(f"shard:{path}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
+        return -np.log((int(digest[:13], 16) + 0.5) / 2.0**52) / weight
+
+    leaves, path = tree, ""
+    for level in (lambda x: x.region, lambda x: f"{x.region}/{x.rack}", lambda x: str(x.shard)):
+        names = sorted({level(x) for x in leaves})
+        weight = {n: sum(x.weight for x in leaves if level(x) == n) for n in names}
+        chosen = min(names, key=lambda n: (draw(f"{path}/{n}", weight[n]), n))
+        leaves, path = [x for x in leaves if level(x) == chosen], chosen
+    return leaves[0].shard
+
+
+def test_shards_equal_a_plain_descent(spark):
+    ids = [*range(400), None, -1, 10**15]
+    out = sharding.report(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")).collect()
+    for r in out:
+        assert r["shard"] == plain_shard(r.doc_id, sharding.tree_of(16)) and r.grown_shard == plain_shard(r.doc_id, sharding.tree_of(17))
+    uneven = [sharding.Leaf("a", "x", 0, 3.0), sharding.Leaf("a", "y", 1), sharding.Leaf("b", "x", 5, 0.5), sharding.Leaf("b", "x", 7, 2.0)]
+    rows = sharding.assigned(spark.createDataFrame([(i,) for i in ids], "doc_id long"), uneven).collect()
+    assert all(r["shard"] == plain_shard(r.doc_id, uneven) for r in rows) and {r["shard"] for r in rows} == {0, 1, 5, 7}
+
+
 def test_bundles_are_read_by_frame_and_as_a_stream(tmp_path):
     import zstandard
 
