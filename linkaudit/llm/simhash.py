@@ -135,7 +135,8 @@ def keep_one_per_group(
 ) -> DataFrame:
     """The documents without near-copies: of each component, one row with its smallest id stays.
 
-    If several rows have that id, the one with the smallest hash of its text stays, once. All
+    If several rows have that id, the one with the smallest hash of its text stays, and of rows with that text the one
+    with the smallest hash of all columns, once; null and empty texts are one text here. All
     columns are kept as they are. A component whose ids are all null keeps one row as well.
     """
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -149,4 +150,7 @@ def keep_one_per_group(
     keys = kept.select(F.col("id").alias(kept_id), F.xxhash64("id").alias(id_hash), F.col("h").alias(text_hash))
     tagged = docs.withColumns({id_hash: F.xxhash64(F.col(id_col)), text_hash: h})
     same = (tagged[id_hash] == keys[id_hash]) & (tagged[text_hash] == keys[text_hash]) & tagged[id_col].eqNullSafe(keys[kept_id])
-    return tagged.join(keys, same, "left_semi").dropDuplicates([id_hash, text_hash]).drop(id_hash, text_hash)
+    row = free_name(tagged, "__row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)
+    return tagged.join(keys, same, "left_semi").groupBy(id_hash, text_hash).agg(chosen).select(f"{row}.*")

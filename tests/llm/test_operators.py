@@ -567,3 +567,13 @@ def test_spans_equal_a_plain_version(spark):
         assert set(filter(None, expected.split(","))) <= set(r.spans.split(","))
     assert any("github:0:40" in r.spans for r in out) and any("pem:0:31" in r.spans for r in out)
     assert secrets.report(docs.limit(0)).count() == 0
+
+
+def test_of_rows_alike_in_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "a b c d e", s) for s in "xyzw"] + [(2, "a b c d e", "v"), (3, None, "n"), (3, "", "e"), (3, None, "m")]
+    kept = set()
+    for seed in range(4):
+        docs = spark.createDataFrame(rows[seed:] + rows[:seed], "doc_id long, text string, source string").repartition(1 + seed)
+        kept.add(tuple(rows_of(simhash.keep_one_per_group(docs))))
+    (only,) = kept
+    assert len(only) == 2 and {r[0] for r in only} == {1, 3}
