@@ -140,17 +140,16 @@ def keep_one_per_group(
     columns are kept as they are. A component whose ids are all null keeps one row as well.
     """
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    taken = docs.select(F.col(id_col).alias("id"), h.alias("h"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = docs.select(F.col(id_col).alias("id"), h.alias("h"), every.alias("every"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
     taken = stored(taken, "simhash")
-    # the smallest id of a fingerprint, nulls last, and its text
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("first")
+    # the smallest id of a fingerprint, nulls last, its text, and one of the rows alike in both
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "every")).alias("first")
     classes = simhash_classes(taken, max_bits).join(taken.groupBy("fp").agg(first), "fp")
-    kept = stored(classes.groupBy("class_fp").agg(F.min("first").alias("first")).select("first.id", "first.h"), "kept")
-    id_hash, text_hash, kept_id = (free_name(docs, n) for n in ("__id_hash", "__text_hash", "__kept_id"))
-    keys = kept.select(F.col("id").alias(kept_id), F.xxhash64("id").alias(id_hash), F.col("h").alias(text_hash))
-    tagged = docs.withColumns({id_hash: F.xxhash64(F.col(id_col)), text_hash: h})
+    kept = stored(classes.groupBy("class_fp").agg(F.min("first").alias("first")).select("first.id", "first.h", "first.every"), "kept")
+    id_hash, text_hash, row_hash, kept_id = (free_name(docs, n) for n in ("__id_hash", "__text_hash", "__row_hash", "__kept_id"))
+    keys = kept.select(F.col("id").alias(kept_id), F.xxhash64("id").alias(id_hash), F.col("h").alias(text_hash), F.col("every").alias(row_hash))
+    tagged = docs.withColumns({id_hash: F.xxhash64(F.col(id_col)), text_hash: h, row_hash: every})
     same = (tagged[id_hash] == keys[id_hash]) & (tagged[text_hash] == keys[text_hash]) & tagged[id_col].eqNullSafe(keys[kept_id])
-    row = free_name(tagged, "__row")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)
-    return tagged.join(keys, same, "left_semi").groupBy(id_hash, text_hash).agg(chosen).select(f"{row}.*")
+    same &= tagged[row_hash] == keys[row_hash]
+    return tagged.join(keys, same, "left_semi").dropDuplicates([id_hash, text_hash]).drop(id_hash, text_hash, row_hash)
