@@ -155,6 +155,15 @@ ORACLE["crawlable_urls_any_host"] = _sql(
     "fx_urls",
     body=f"SELECT url FROM fx_urls WHERE contains(url, 'example') AND NOT {_contains('lower(url)', SKIPPED_URL_PARTS['sitemap'])}",
 )
+ORACLE["crawlable_urls_shallow"] = _sql(
+    "fx_urls",
+    body=f"SELECT url FROM fx_urls WHERE contains(url, '{HOST}') AND NOT {_contains('lower(url)', SKIPPED_URL_PARTS['shallow'])}",
+)
+ORACLE["crawlable_urls_of_section"] = _sql(
+    "fx_urls",
+    body=f"""SELECT url FROM fx_urls WHERE contains(url, '{HOST}') AND contains(url, '/blog')
+    AND NOT {_contains('lower(url)', SKIPPED_URL_PARTS['section'])}""",
+)
 ORACLE["site_url"] = _sql(
     "fx_links",
     body="""SELECT regexp_extract(source, '^([a-z]+://[^/?#]+)', 1) || '/' AS site_url, count(*) AS links

@@ -282,6 +282,16 @@ def crawlable_urls_any_host(spark, sf):
     return R.crawlable_urls(fixture(spark, sf, "fx_urls"), "example", "sitemap")
 
 
+@query
+def crawlable_urls_shallow(spark, sf):
+    return R.crawlable_urls(fixture(spark, sf, "fx_urls"), HOST, "shallow")
+
+
+@query
+def crawlable_urls_of_section(spark, sf):
+    return R.crawlable_urls(fixture(spark, sf, "fx_urls"), HOST, "section", section="/blog")
+
+
 @query
 def site_url(spark, sf):
     return R.site_url(links(spark, sf))
