@@ -154,6 +154,47 @@ def test_density_clusters(spark, block_rows, eps, min_samples):
     assert got == {f"u{i:05d}": (core[i], None if label[i] is None else f"u{label[i]:05d}") for i in range(120)}
 
 
+@pytest.mark.parametrize("sparse", [True, False])
+def test_one_large_cluster_is_not_compared_pair_by_pair(spark, monkeypatch, sparse):
+    """Nearly all vectors are partners of each other: hubs settle them, and only the few others meet all."""
+    rng = np.random.default_rng(4)
+    vectors = np.zeros((400, 64))
+    vectors[:, :2] = 4, 2
+    vectors[np.arange(400), rng.integers(2, 30, 400)] = 1 + rng.random(400) / 8
+    vectors[390:] = np.eye(64)[40:50] + np.eye(64)[41:51] / 4
+    vectors[0] = -vectors[0]
+    if not sparse:
+        vectors = vectors @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    weights = np.ones(400, dtype=int)
+    pairs = []
+    count = T.neighbour_weights
+
+    def counted(found):
+        groups = found.sent().groupBy("short", "bin", "low", "high").agg(F.count_if(~F.col("right")).alias("l"), F.count_if("right").alias("r"), F.first(F.col("low") == F.col("high")).alias("same"))
+        pairs.append(groups.agg(F.sum(F.when(F.col("same"), F.col("l") * F.col("l")).otherwise(F.col("l") * F.col("r")))).first()[0] or 0)
+        return count(found)
+
+    monkeypatch.setattr(T, "neighbour_weights", counted)
+    core, label = dbscan(vectors, weights, 0.2, 3)
+    assert sum(core) > 380
+    rows = T.density_clusters(table(spark, vectors, weights), 0.2, 3, 25).collect()
+    assert {r.id: (r.is_core, r.label) for r in rows} == {f"u{i:05d}": (core[i], None if label[i] is None else f"u{label[i]:05d}") for i in range(400)}
+    assert pairs[0] < 400 * 400 / 4
+
+
+@pytest.mark.parametrize("hubs", [1, 5])
+@pytest.mark.parametrize("eps,min_samples", [(0.05, 4), (0.2, 6), (0.02, 2)])
+def test_few_hubs_settle_only_what_is_certain(spark, monkeypatch, hubs, eps, min_samples):
+    monkeypatch.setattr("linkaudit.operators.hubs.HUBS", hubs)
+    monkeypatch.setattr(V, "TILE", 16)
+    vectors = clustered(120, noise=0.35, seed=6)
+    vectors[::4] = vectors[0]
+    weights = np.random.default_rng(2).integers(1, 3, 120)
+    core, label = dbscan(vectors, weights, eps, min_samples)
+    rows = T.density_clusters(table(spark, vectors, weights), eps, min_samples, 25).collect()
+    assert {r.id: (r.is_core, r.label) for r in rows} == {f"u{i:05d}": (core[i], None if label[i] is None else f"u{label[i]:05d}") for i in range(120)}
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "both"])
 def test_connected_components(spark, shape):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
