@@ -47,6 +47,22 @@ def test_best_pairs_with_many_copies(spark, block_rows):
     assert [(r.source, r.target) for r in got] == want
 
 
+@pytest.mark.parametrize("copies,trees", [(1, 1), (60, 3)])
+def test_wider_searches_share_a_tree(spark, monkeypatch, copies, trees):
+    """A second tree is built only where the first left out copies that the wider search needs."""
+    vectors = np.concatenate([clustered(60, centres=2, noise=0.01), np.repeat([[0.0] * 7 + [1.0]], copies, axis=0)])
+    c = cosines(vectors)
+    n = len(vectors)
+    pairs = sorted((-c[i, j], f"u{i:05d}", f"u{j:05d}") for i, j in itertools.combinations(range(n), 2) if c[i, j] > 0.6)
+    linked = [(s, t) for _, s, t in pairs[:25]]
+    built = []
+    monkeypatch.setattr(V, "pivot_tree", lambda *args, make=V.pivot_tree: built.append(1) or make(*args))
+    links = spark.createDataFrame(linked, "source string, destination string")
+    got = V.unlinked_similar_pairs(table(spark, vectors), links, 0.6, 5).collect()
+    assert [(r.source, r.target) for r in got] == [(s, t) for _, s, t in pairs[25:30]]
+    assert len(built) == trees
+
+
 def test_zero_vectors_have_no_partner(spark):
     vectors = np.array([[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]])
     rows = V.similar_page_pairs(table(spark, vectors)).collect()
