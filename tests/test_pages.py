@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from linkaudit.functions import html as H
 from linkaudit.functions.html import LinkScanner, clean_html, html_word_count
 from linkaudit.operators import pages as P
 
@@ -86,3 +89,33 @@ def test_clean_html_and_words(spark):
     ).first()
     assert row.c == "<body class='b'>un <b>deux</b></body>"
     assert (row.cut, row.n) == ("<body", 2)
+
+
+def _parsed(scanner, html):
+    """The links of a page by the parser alone."""
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(H, "plain_tokens", lambda html: None)
+        return scanner.scan(html)
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    plain = ["<html><head><title>a page</title></head><body>" + NESTED_1 + "</body></html>", NESTED_2, 'x<a href="">y<br>z</a></p>end']
+    scanner = LinkScanner()
+    expected = [_parsed(scanner, html) for html in plain]
+    monkeypatch.setattr(LinkScanner, "feed", lambda *_: pytest.fail("parsed"))
+    assert [scanner.scan(html) for html in plain] == expected and all(expected)
+
+
+def test_plain_and_parsed_pages_agree():
+    pieces = [
+        "<p>", "</p>", '<a href="/x">', '<a href="">', "<a>", "</a>", "<nav>", "</nav>", "<main>", "</main>", '<div class="side-menu">', '<div class="box big">',
+        '<div id="x1">', "</div>", "<br>", "<br/>", " mot ", "texte long " * 9, "\n", "<aside>", "</aside>", "</x>", "é>", '"', "<title>", "</title>",
+    ]
+    odd = ["&amp;", "&", "<!-- <a href='/q'>z</a> -->", "<script>a<b</script>", "<", "<A HREF=x>", "<a href='/s'>", '</a x="y">', "<template>", "<p/>", "<a\nhref='/n'>", "<style>"]
+    draw, plain = random.Random(5), 0
+    for scanner in (LinkScanner(), LinkScanner(("main", "article"), ("box",))):
+        for i in range(3000):
+            html = "".join(draw.choices(pieces + odd * (i % 3 == 0), k=draw.randint(0, 25)))
+            plain += H.plain_tokens(html) is not None
+            assert scanner.scan(html) == _parsed(scanner, html), html
+    assert plain > 1000
