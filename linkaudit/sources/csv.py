@@ -59,8 +59,8 @@ def _literal_path(uri: str) -> str:
 
 
 def _opens_a_field(sep: str) -> Column:
-    """Whether a quote at the beginning of a field of the line is not closed in the line."""
-    return F.col("value").rlike(rf'(?:^|{re.escape(sep)})"(?:[^"]++|"")*+$')
+    """Whether a quote at the beginning of a field of the line is not closed in the line; lines without quotes are not searched."""
+    return F.col("value").contains('"') & F.col("value").rlike(rf'(?:^|{re.escape(sep)})"(?:[^"]++|"")*+$')
 
 
 _FORMS = (

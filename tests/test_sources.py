@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from linkaudit.operators import recommend as M
 from linkaudit.sources import attributes, sinks, sitemap
-from linkaudit.sources.csv import canonical_links, file_forms, map_link_columns, read_csv, read_links_csv, read_url_table, sniff_separator
+from linkaudit.sources.csv import _opens_a_field, canonical_links, file_forms, map_link_columns, read_csv, read_links_csv, read_url_table, sniff_separator
 
 HEAD = ["Source", "Destination", "Ancrage", "Origine du lien", "Chemin du lien"]
 ROW = ["https://s.fr/é", "https://s.fr/b", "forêt dense", "Contenu", "/p/a"]
@@ -221,3 +221,10 @@ def test_sitemap_files_with_prefixes_and_compression(spark, tmp_path):
     with gzip.open(tmp_path / "a.xml.gz", "wt") as f:
         f.write(body)
     assert sorted(r.url for r in read_sitemap_files(spark, str(tmp_path)).collect()) == ["http://x/0", "http://x/1", "http://x/2"]
+
+
+def test_lines_without_quotes_are_not_searched_for_open_fields(spark):
+    lines = spark.createDataFrame([("a,b",), ('a,"b',), ('"a","b"',), ('a,"b""',), ("",)], "value string")
+    searched = lines.select(_opens_a_field(",").alias("open"))
+    assert [r.open for r in searched.collect()] == [False, True, False, True, False]
+    assert "contains" in searched._jdf.queryExecution().analyzed().toString().lower()
