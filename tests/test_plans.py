@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from linkaudit.catalog.fixtures import fixture
 from linkaudit.config import AuditConfig
+from linkaudit.operators import classify as C
 from linkaudit.operators import pages as P
+from linkaudit.operators import recommend as M
 from linkaudit.operators import similarity as V
+from linkaudit.operators.classify import classify_links
 from linkaudit.plans import audit, folder
 from linkaudit.session import checkpoint_dir
 from linkaudit.sources.csv import canonical_links
@@ -105,3 +108,25 @@ def test_sessions_need_a_checkpoint_folder():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_recommendations_classify_links_in_one_pass(spark, links_of):
+    rows = [("https://s.fr/a", "https://s.fr/b", a) for a in ("ok", "bois bois bois bois", "un guide", "www.s.fr")] * 6 + [("https://s.fr/c", "https://s.fr/a", "guide du bois")]
+    links = links_of(rows)
+    expected = sorted(tuple(r) for r in M.recommendations(classify_links(links), AuditConfig()).collect())
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = M.recommendations(classify_links(links.mapInArrow(counted, links.schema)), AuditConfig())
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert seen.value == len(rows)
+
+
+@pytest.mark.parametrize("anchor, stuffed", [("bois bois bois x", True), ("bois Bois BOIS bois", True), ("bois bois vert vert", False), ("bois bois vert vert vert", True), ("aaa aaa aaa aaa aaa", False), (None, None)])
+def test_stuffed_anchors(spark, anchor, stuffed):
+    row = spark.createDataFrame([(anchor,)], "anchor string").select(C.quality_flags(F.col("anchor"))["keyword_stuffed"].alias("k"))
+    assert row.first().k is stuffed
