@@ -126,6 +126,19 @@ def test_recommendations_classify_links_in_one_pass(spark, links_of):
     assert seen.value == len(rows)
 
 
+def test_anchors_are_judged_once_for_a_whole_audit(spark, links_of, monkeypatch):
+    """The table of flagged anchors and the findings on them come from one pass."""
+    judged = []
+    flags = C.quality_flags
+    for module in (C, M):
+        monkeypatch.setattr(module, "quality_flags", lambda anchor: judged.append(1) or flags(anchor), raising=False)
+    links = links_of([("https://s.fr/a", "https://s.fr/b", a) for a in ("guide guide guide bois", "abc", "un guide", "")])
+    tables = audit.link_tables(audit.classified_links(links))
+    assert len(judged) == 1
+    kinds = [r.kind for r in tables["recommendations"].where("kind LIKE '%anchor'").orderBy("kind").collect()]
+    assert kinds == ["stuffed anchor", "weak anchor"] and tables["flagged_anchors"].count() == 2
+
+
 @pytest.mark.parametrize("anchor, stuffed", [("bois bois bois x", True), ("bois Bois BOIS bois", True), ("bois bois vert vert", False), ("bois bois vert vert vert", True), ("aaa aaa aaa aaa aaa", False), (None, None)])
 def test_stuffed_anchors(spark, anchor, stuffed):
     row = spark.createDataFrame([(anchor,)], "anchor string").select(C.quality_flags(F.col("anchor"))["keyword_stuffed"].alias("k"))
