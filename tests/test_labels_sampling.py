@@ -115,3 +115,53 @@ def test_alt_text_stands_for_an_empty_anchor(spark, links_of):
     editorial = C.classify_links(links).withColumn("is_mechanical", F.lit(False))
     with_alt = L.apply_label_overrides(editorial.withColumn("alt_text", F.lit("Logo du site")), labels).first()
     assert (with_alt.label_category, with_alt.is_mechanical) == ("NAVIGATION", True)
+
+
+def _moved(df):
+    """Exchanges of rows in the plan of the last step."""
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+
+
+@pytest.mark.parametrize(
+    "ordered,page_match,few,compared",
+    [(True, "prefix", 256, 5_000_000), (False, "prefix", 256, 0), (False, "prefix", 4, 5_000_000), (True, "page", 4, 5_000_000), (False, "page", 256, 5_000_000)],
+)
+def test_pages_of_few_and_of_many_labels(spark, links_of, monkeypatch, ordered, page_match, few, compared):
+    """Labels that travel with their page and those matched by sweeps give the same; null URLs and texts, pages with queries and pages of others."""
+    rng = random.Random(5)
+    words = ["bois", " Bois Clair", "clair", "", "pin", None]
+    urls = ["https://s.fr/a/bois", "https://s.fr/b/", "clair", "/x/Bois ", None]
+    pages = ["https://s.fr/p", "https://s.fr/p1?x=1", "https://s.fr/p1?x=2", "https://s.fr/q", "https://s.fr/q?z", None]
+    kinds = ["EDITORIAL", "NAVIGATION", "CALL_TO_ACTION", None]
+    labels = [(rng.choice(pages), rng.choice(urls), rng.choice(words), rng.choice(kinds), i / 100, rng.choice([i, None])) for i in range(40)]
+    table = spark.createDataFrame(labels, "page_url string, href string, text string, category string, confidence double, ord int")
+    table = table if ordered else table.drop("ord")
+    rows = [(f"https://s.fr/{s}", rng.choice(urls), rng.choice(words)) for s in ("p", "p1", "p12?a", "q?y", "r") for _ in range(20)] + [(None, urls[0], "bois")]
+    links = C.classify_links(links_of(rows)).withColumn("is_mechanical", F.coalesce("is_mechanical", F.lit(True)))
+    monkeypatch.setattr(L, "LABELS_AT_ONCE", few)
+    monkeypatch.setattr(L, "COMPARED_AT_ONCE", compared)
+    got = L.apply_label_overrides(links, table, page_match)
+    keys = links.withColumn("text", F.btrim(F.lower("anchor"))).withColumn("url", F.btrim(F.lower("destination")))
+    plain = keys.join(L.match_labels(keys, table, page_match), ["source", "text", "url"], "left").select(
+        "source", "destination", "anchor", "is_mechanical", F.when(F.col("is_mechanical") == F.col("category").isin(*L.EDITORIAL_CATEGORIES), F.struct("category", "confidence")).alias("label")
+    )
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(((r.source, r.destination, r.anchor, r.is_mechanical != (r.label is not None), *(r.label or (None, None))) for r in plain.collect()), key=key)
+    have = sorted(((r.source, r.destination, r.anchor, r.is_mechanical, r.label_category, r.label_confidence) for r in got.collect()), key=key)
+    assert have == want and any(r[4] for r in have)
+
+
+def test_links_and_labels_move_once(spark, links_of):
+    labels = spark.createDataFrame(
+        [(f"https://s.fr/{i:02d}", "x", "bois", "EDITORIAL", 1.0) for i in range(50)], "page_url string, href string, text string, category string, confidence double"
+    )
+    links = C.classify_links(links_of([(f"https://s.fr/{i:02d}", "/x", "Bois") for i in range(60)])).withColumn("is_mechanical", F.lit(True))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        corrected = L.apply_label_overrides(links, labels)
+        assert _moved(corrected) == 2
+        counts = L.correction_counts(corrected)
+        assert [tuple(r) for r in counts.collect()] == [("EDITORIAL", 50)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
