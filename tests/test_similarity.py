@@ -88,6 +88,17 @@ def test_far_cells_are_not_compared(spark):
     assert targets.agg(F.avg("n")).first()[0] < n / 2
 
 
+def test_pairs_within_cells_tell_where_the_search_begins(spark, monkeypatch):
+    vectors = clustered(150, centres=2, noise=0.01)
+    c = cosines(vectors)
+    want = sorted((-c[i, j], f"u{i:05d}", f"u{j:05d}") for i, j in itertools.combinations(range(150), 2))[:5]
+    levels = []
+    monkeypatch.setattr(V, "in_cells", lambda tree, search, make=V.in_cells: levels.append(search.threshold) or make(tree, search))
+    got = V.similar_page_pairs(table(spark, vectors), 0.6, 5, 20).collect()
+    assert [(r.source, r.target) for r in got] == [(a, b) for _, a, b in want]
+    assert len(levels) == 1 and 0.98 < levels[0] < -want[-1][0]
+
+
 @pytest.mark.parametrize("fan,block_rows", [(2, 20), (4, 5), (64, 3)])
 def test_trees_of_any_depth_find_all_pairs(spark, monkeypatch, fan, block_rows):
     """Several levels, leaves at unlike depths, and lists of neighbours in several parts."""
