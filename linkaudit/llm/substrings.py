@@ -3,9 +3,9 @@
 Passages are compared as windows of words, level by level. The first level has half the length of a window: of the eight or
 so short windows inside each full one only the one with the smallest hash is taken, which equal windows choose alike, so about two in
 nine words are looked at and nothing is lost. Windows whose chosen half occurs in another text are extended to
-the full length and compared exactly by 128 bits; these decide what is removed. From there on a repeated window that is the smallest among
-its neighbours is extended to twice its length, as long as it is still repeated, until no candidates survive; that gives
-the length of the longest passages.
+the full length and compared exactly by 128 bits; these decide what is removed. From there on the length doubles: every start of a
+window of 2, 4, 8 and so on lengths is compared whose full windows all have a half that another text has, too. A longer window is sent as 32 bits below the
+smallest full window in it, which equal windows choose alike; that gives the length of the longest passages.
 
 Equal texts are one throughout (all but the first go as a whole). Tasks compare what they hold among themselves first and send one row for each window
 on, so a passage that a third of all documents share is a row per task and not a row per document.
@@ -33,8 +33,6 @@ _BYTE, _WORD, _OTHER = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Rows that a task compares among themselves, and bytes of compressed texts that it keeps for that.
 ROWS_AT_ONCE, _KEPT = 1 << 19, 16 << 20
-#: A window is extended where it is the smallest of so many windows' lengths of starts.
-NEIGHBOURS = 4
 #: The id of a document whose id is null: larger than any other.
 _LAST = (1 << 63) - 1
 
@@ -252,54 +250,32 @@ def _distinct(texts: DataFrame) -> DataFrame:
 
 # --- full windows --------------------------------------------------------------------
 
-_FULL = "h1 long, mark long, lo long, id long, end int, flags byte, more array<long>"
-#: Kinds of rows: a window to compare, a run of starts that are removed, a start that shares the fate of another, a window to be extended.
+_FULL = "h1 long, mark long, lo long, id long, end int, kind byte"
+#: Kinds of rows: a window to compare, a run of starts that are removed, a start that shares the fate of another, a run of starts that holds longer windows.
 _PROBE, _GONE, _ALIAS, _LONGER = range(4)
 
 
 def _full_windows(window: int, rows_at_once: int):
     """Compares the live windows of the texts in a task and says what is left to compare with other tasks.
 
-    ``mark`` has 32 further bits of the window's hash above its start; ``flags`` is twice the kind, and 1 for windows that several texts of the task have.
+    ``mark`` has 32 further bits of the window's hash above its start.
     """
-    types = [pa.int64()] * 4 + [pa.int32(), pa.int8(), pa.list_(pa.int64())]
-    schema = pa.schema(list(zip(["h1", "mark", "lo", "id", "end", "flags", "more"], types)))
+    types = [pa.int64()] * 4 + [pa.int32(), pa.int8()]
+    schema = pa.schema(list(zip(["h1", "mark", "lo", "id", "end", "kind"], types)))
 
-    def batch_of(kind, live, lo, doc, start, end=None, h1=None, h2=None, more=None) -> pa.RecordBatch:
+    def batch_of(kind, lo, doc, start, end=None, h1=None, h2=None) -> pa.RecordBatch:
         """Rows that are not compared are dealt by their text."""
         n, mark = len(lo), start.astype(np.int64)
         if h2 is not None:
             mark |= _signed(h2) >> 32 << 32
         columns = [
             pa.array(lo if h1 is None else _signed(h1)), pa.array(mark), pa.array(lo), pa.array(doc),
-            pa.nulls(n, pa.int32()) if end is None else pa.array(end.astype(np.int32)), pa.array((2 * kind + live).astype(np.int8)),
-            pa.nulls(n, types[-1]) if more is None else more,
+            pa.nulls(n, pa.int32()) if end is None else pa.array(end.astype(np.int32)), pa.array(np.full(n, kind, dtype=np.int8)),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    def longer(h: np.ndarray, total: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
-        """For each place the hashes of the windows of twice, four times and so on the length, as far as the text goes."""
-        length, level, hashes, rows = 2 * window, [], [], []
-        live = np.arange(len(at))
-        while True:
-            live = live[at[live] + length <= ends[live]]
-            if not len(live):
-                break
-            power = np.uint64(pow(int(_WORD), length, 1 << 64))
-            first = at[live]
-            hashes.append(mixed(total[first + length] - total[first] * power))
-            rows.append(live)
-            level.append(np.full(len(live), len(level)))
-            length *= 2
-        if not rows:
-            return pa.array([None] * len(at), types[-1])
-        row, rank, value = np.concatenate(rows), np.concatenate(level), np.concatenate(hashes)
-        order = np.lexsort((rank, row))
-        offsets = np.searchsorted(row[order], np.arange(len(at) + 1))
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_signed(value[order])))
-
     def taken(los, ids, blobs, halves):
-        """The live windows of some texts: their hashes, places and, where they are smallest among their neighbours, longer windows."""
+        """The live windows of some texts, their hashes and places, and the first and last of each run of them that holds a window of twice the length."""
         unpack = zstandard.ZstdDecompressor().decompress
         texts = [unpack(b) for b in blobs]
         h, bounds = word_hashes(texts)
@@ -307,56 +283,36 @@ def _full_windows(window: int, rows_at_once: int):
         mark = mixed(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
         keys = np.concatenate([np.array(x, dtype=np.int64).view(np.uint64) ^ mark[i] for i, x in enumerate(halves)])
         live = np.isin(least ^ mark[owner], keys)
-        h1 = windows(h, window)
-        valid = np.full(len(h1), np.iinfo(np.uint64).max, dtype=np.uint64)
-        valid[at] = h1[at]
-        around = NEIGHBOURS * window
-        smallest = _sliding(valid, around, np.minimum)
-        padding = np.zeros(around - 1, dtype=np.uint64)
-        anchor = _sliding(np.concatenate([padding, smallest, padding]), around, np.maximum)[: len(h1)] == valid if len(smallest) else np.zeros(len(h1), bool)
         at, owner = at[live], owner[live]
-        total = np.zeros(len(h) + 1, dtype=np.uint64)
-        places = np.flatnonzero(anchor[at])
-        more = pa.nulls(0, types[-1])
-        if len(places):
-            total[1:] = _running(h, bounds)
-            more = longer(h, total, bounds[owner[places] + 1], at[places])
+        begin = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + 1]) if len(at) else at
+        last = np.r_[begin[1:] - 1, len(at) - 1] if len(at) else at
+        runs = last - begin >= window
         doc = np.array(ids, dtype=np.int64)[owner]
         lo = np.array(los, dtype=np.int64)[owner]
-        index = np.full(len(at), -1, dtype=np.int64)
-        index[places] = np.arange(len(places))
-        return h1[at], windows(h, window, _OTHER)[at], lo, doc, at - bounds[owner], index, more
+        return windows(h, window)[at], windows(h, window, _OTHER)[at], lo, doc, at - bounds[owner], begin[runs], last[runs]
 
     def compared(parts: list) -> Iterator[pa.RecordBatch]:
-        shift = np.cumsum([0] + [len(p[6]) for p in parts])
         h1, h2, lo, doc, start = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        index = np.concatenate([np.where(p[5] >= 0, p[5] + s, -1) for p, s in zip(parts, shift)])
-        more = pa.concat_arrays([p[6] for p in parts])
         if not len(h1):
             return
         order = np.lexsort((start, lo, doc, h2, h1))
-        h1, h2, lo, doc, start, index = (x[order] for x in (h1, h2, lo, doc, start, index))
+        h1, h2, lo, doc, start = (x[order] for x in (h1, h2, lo, doc, start))
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         heads = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        live = np.logical_or.reduceat(lo != lo[heads][group], heads)[group]
         gone = doc > doc[heads][group]
         own = np.r_[True, new[1:] | (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1])]
         probe, alias = own & ~gone, ~own & ~gone
-        lists = more.take(pa.array(np.where(index[probe] >= 0, index[probe], 0), mask=index[probe] < 0)) if len(more) else None
-        yield batch_of(_PROBE, live[probe], lo[probe], doc[probe], start[probe], None, h1[probe], h2[probe], lists)
+        yield batch_of(_PROBE, lo[probe], doc[probe], start[probe], None, h1[probe], h2[probe])
         if alias.any():
             first = np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))[alias]
-            yield batch_of(_ALIAS, live[alias], lo[alias], doc[alias], start[alias], start[first])
+            yield batch_of(_ALIAS, lo[alias], doc[alias], start[alias], start[first])
         if gone.any():
             by_place = np.lexsort((start[gone], doc[gone], lo[gone]))
             l, d, s = (x[gone][by_place] for x in (lo, doc, start))
             begin = np.flatnonzero(np.r_[True, (l[1:] != l[:-1]) | (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)])
             last = np.r_[begin[1:] - 1, len(s) - 1]
-            yield batch_of(_GONE, np.ones(len(begin), bool), l[begin], d[begin], s[begin], s[last])
-            on = gone & (index >= 0)
-            if on.any():
-                yield batch_of(_LONGER, live[on], lo[on], doc[on], start[on], more=more.take(pa.array(index[on])))
+            yield batch_of(_GONE, l[begin], d[begin], s[begin], s[last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -365,6 +321,9 @@ def _full_windows(window: int, rows_at_once: int):
                 some = batch.slice(at, 256)
                 parts.append(taken(*(c.to_pylist() for c in some.columns)))
                 held += len(parts[-1][0])
+                *_, lo, doc, start, begin, last = parts[-1]
+                if len(begin):
+                    yield batch_of(_LONGER, lo[begin], doc[begin], start[begin], start[last])
                 if held >= rows_at_once:
                     yield from compared(parts)
                     parts, held = [], 0
@@ -381,43 +340,109 @@ def _running(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.cumsum(h * _powers(inverse, n + 1)[1:]) * _powers(_WORD, n + 1)[1:]
 
 
-def _longest(anchors: DataFrame, window: int) -> DataFrame:
-    """``(lo, hi, longest)``: repeated windows are extended to twice their length until none is repeated.
+# --- longer windows ------------------------------------------------------------------
+
+
+def _longer(window: int, rows_at_once: int):
+    """Compares the windows of 2, 4, 8 and so on lengths in the runs of a task, at every start, and says what is left to compare with other tasks.
 
-    ``anchors`` has a row for each repeated window of a text (``lo``, ``hi``) with the hashes of its extensions, ``more``. Each level is
-    written; it holds only what the level before left. Its repeated hashes are written on their own, so that the rows of one that very many
-    texts share can be split when they are joined.
+    A row has the smallest full window (``key``, with the length mixed in) of some longer windows and 32 bits of each of these, ``bits``: those that only text ``lo``
+    of the task has or, where ``lo`` is null, several. Rows without ``bits`` tell what is known: ``lo`` has a repeated window of ``longest`` words.
     """
-    level, found = 0, None
-    while True:
-        rows = anchors.where(F.size("more") > level).select("lo", "hi", F.element_at("more", level + 1).alias("key"), "more")
-        shared = rows.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a != b").select("key")
-        shared = stored(shared, "shared")
-        if shared.isEmpty():
-            break
-        anchors = stored(rows.join(shared, "key", "left_semi").select("lo", "hi", "more"), "level")
-        level += 1
-        here = anchors.select("lo", "hi", F.lit(window << level).alias("longest")).distinct()
-        found = here if found is None else found.unionByName(here)
-    if found is None:
-        return shared.select(F.col("key").alias("lo"), F.col("key").alias("hi"), F.lit(0).alias("longest"))
-    return found.groupBy("lo", "hi").agg(F.max("longest").alias("longest"))
+    names = ["key", "lo", "longest", "bits"]
+
+    def taken(los, blobs) -> Iterator[tuple]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        runs = [unpack(b).split(b"\n") for b in blobs]
+        h, bounds = word_hashes([r for of in runs for r in of])
+        lo = np.repeat(np.array(los, dtype=np.int64), list(map(len, runs)))
+        owner, full = _owner(bounds), windows(h, window)
+        total = np.zeros(len(h) + 1, dtype=np.uint64)
+        total[1:] = _running(h, bounds)
+        left, length = bounds[owner + 1] - np.arange(len(h)), 2 * window
+        while True:
+            at = np.flatnonzero(left >= length)
+            if not len(at):
+                break
+            least = _sliding(full, length - window + 1, np.minimum)[at]
+            value = mixed(total[at + length] - total[at] * np.uint64(pow(int(_WORD), length, 1 << 64)))
+            yield mixed(least + np.uint64(length)), value >> np.uint64(32), lo[owner[at]], np.full(len(at), length, dtype=np.int32)
+            length *= 2
+
+    def batch_of(key, lo, longest, bits=None) -> pa.RecordBatch:
+        lists = pa.nulls(len(key), pa.list_(pa.int32())) if bits is None else bits
+        return pa.RecordBatch.from_arrays([pa.array(key), lo, pa.array(longest), lists], names=names)
+
+    def lists(key, bits, longest, lo=None) -> pa.RecordBatch:
+        """One row for each key and text; rows come in their order."""
+        new = key[1:] != key[:-1]
+        begin = np.flatnonzero(np.r_[True, new if lo is None else new | (lo[1:] != lo[:-1])])
+        offsets = pa.array(np.r_[begin, len(key)].astype(np.int32))
+        values = pa.ListArray.from_arrays(offsets, pa.array(bits.astype(np.uint32).view(np.int32)))
+        return batch_of(_signed(key[begin]), pa.nulls(len(begin), pa.int64()) if lo is None else pa.array(lo[begin]), longest[begin], values)
+
+    def compared(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, bits, lo, longest = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((lo, bits, key))
+        key, bits, lo, longest = (x[order] for x in (key, bits, lo, longest))
+        new = np.r_[True, (key[1:] != key[:-1]) | (bits[1:] != bits[:-1])]
+        group = np.cumsum(new) - 1
+        several = np.logical_or.reduceat(lo != lo[new][group], np.flatnonzero(new))[group]
+        if several.any():
+            known, at = np.unique(lo[several], return_inverse=True)
+            most = np.zeros(len(known), dtype=np.int32)
+            np.maximum.at(most, at, longest[several])
+            yield batch_of(known, pa.array(known), most)
+            yield lists(*(x[several & new] for x in (key, bits, longest)))
+        once = np.flatnonzero(new & ~several)
+        if len(once):
+            once = once[np.lexsort((lo[once], key[once]))]
+            yield lists(*(x[once] for x in (key, bits, longest, lo)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for part in taken(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    parts.append(part)
+                    held += len(part[0])
+                    if held >= rows_at_once:
+                        yield from compared(parts)
+                        parts, held = [], 0
+        if parts:
+            yield from compared(parts)
+
+    return run, "key long, lo long, longest int, bits array<int>"
+
+
+def _longest(runs: DataFrame, window: int, rows_at_once: int) -> DataFrame:
+    """``(lo, longest)`` of the texts that have a repeated window of twice the length or more; ``runs`` has ``lo`` and the words of its runs, ``again``."""
+    rows = runs.select("lo", "again").where("again IS NOT NULL").mapInArrow(*_longer(window, rows_at_once)).repartition("key")
+    same = Window.partitionBy("key", "part")
+    each = rows.select("key", "lo", "longest", F.explode_outer("bits").alias("part"))
+    known = F.col("part").isNull() | (F.max(F.col("lo").isNull()).over(same)) | (F.min("lo").over(same) != F.max("lo").over(same))
+    return each.withColumn("known", known).where("known AND lo IS NOT NULL").groupBy("lo").agg(F.max("longest").alias("longest"))
 
 
 # --- the operator --------------------------------------------------------------------
 
 
 def _removed(window: int, with_text: bool):
-    """Applies the decisions to the texts; ``kept`` is the rest of the text, or its SHA-256 if only that is wanted."""
+    """Applies the decisions to the texts; ``kept`` is the rest of the text, or its SHA-256 if only that is wanted.
+
+    ``again`` has the words of the runs that hold longer windows, a line for each run, compressed.
+    """
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    names = ["lo", "hi", "id", "n_words", "spans", "kept", "more"]
+    names = ["lo", "hi", "id", "n_words", "spans", "kept", "again"]
 
-    def one(text: bytes, found: list[dict] | None) -> tuple[int, list, bytes]:
-        words, spans = text.split(), []
+    def one(text: bytes, found: list[dict] | None) -> tuple[int, list, bytes, bytes | None]:
+        words, spans, again = text.split(), [], None
         if found:
+            runs = [b" ".join(words[f["start"] : f["end"] + window]) for f in found if f["kind"] == _LONGER]
+            again = b"\n".join(runs) if runs else None
             gone = np.zeros(len(words), dtype=bool)
             for f in found:
-                if f["kind"] != _ALIAS:
+                if f["kind"] in (_PROBE, _GONE):
                     gone[f["start"] : (f["start"] if f["end"] is None else f["end"]) + 1] = True
             for f in found:
                 if f["kind"] == _ALIAS and gone[f["end"]]:
@@ -431,18 +456,19 @@ def _removed(window: int, with_text: bool):
             left += words[at:a]
             at = b
         kept = b" ".join(left + words[at:] if spans else words)
-        return len(words), [{"start": a, "end": b} for a, b in spans], kept if with_text else hashlib.sha256(kept).digest()
+        return len(words), [{"start": a, "end": b} for a, b in spans], kept if with_text else hashlib.sha256(kept).digest(), again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                lo, hi, doc, blobs, found, more = batch.slice(at, 512).columns
-                n, spans, kept = zip(*map(one, map(unpack, blobs.to_pylist()), found.to_pylist()))
-                columns = [lo, hi, doc, pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), more]
+                lo, hi, doc, blobs, found = batch.slice(at, 512).columns
+                n, spans, kept, again = zip(*map(one, map(unpack, blobs.to_pylist()), found.to_pylist()))
+                again = [x and pack(x) for x in again]
+                columns = [lo, hi, doc, pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(again, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run, "lo long, hi long, id long, n_words long, spans array<struct<start:int,end:int>>, kept binary, more array<array<long>>"
+    return run, "lo long, hi long, id long, n_words long, spans array<struct<start:int,end:int>>, kept binary, again binary"
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -461,34 +487,30 @@ def repeated(
     """One row per distinct text (key ``lo``, ``hi``) with its smallest ``id``: ``n_words``, the ``spans`` of words that
     windows of texts with a smaller id cover, ``kept`` (the other words, or their SHA-256) and ``longest``.
 
-    ``longest`` is the length of the longest window found that another text has, too: ``window`` times a power of two,
-    0 where nothing is removed and nothing could be extended. A passage of ``n + 4 * window`` words counts as ``n`` or more. ``rows_at_once`` windows are compared within a task before any are sent on.
+    ``longest`` is the length of the longest window that another text has, too: ``window`` times a power of two, at any start;
+    0 where nothing is removed and no window of twice the length is repeated. ``rows_at_once`` windows are compared within a task before any are sent on.
     """
     if window < 2:
         raise ValueError("a window has two words or more")
     texts = docs.select(*_keys(docs, id_col, text_col))
     distinct = _distinct(texts)  # used twice in one plan, so that it is shuffled once
     live = distinct.join(_live_halves(texts, window, rows_at_once), "lo").select("lo", "id", "blob", "hashes")
-    kind = F.shiftright("flags", 1).cast("int")
+    kind = F.col("kind").cast("int")
     same = Window.partitionBy("h1", F.shiftright("mark", 32), kind > _PROBE)
-    rows = live.mapInArrow(*_full_windows(window, rows_at_once)).repartition("h1").withColumns({
-        "first": F.min("id").over(same),
-        "shared": (F.max(F.col("flags").bitwiseAND(F.lit(1))).over(same) > 0) | (F.min("lo").over(same) != F.max("lo").over(same)),
-    })
-    gone = kind.isin(_GONE, _ALIAS) | (kind == _PROBE) & (F.col("id") > F.col("first"))
+    rows = live.mapInArrow(*_full_windows(window, rows_at_once)).repartition("h1").withColumn("first", F.min("id").over(same))
+    gone = (kind > _PROBE) | (F.col("id") > F.col("first"))
     start = F.col("mark").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("start")
     place = F.when(gone, F.struct(kind.alias("kind"), start, "end")).alias("place")
-    more = F.when(F.col("shared") & (F.size("more") > 0), F.col("more")).alias("more")
-    found = rows.select("lo", "id", place, more).where("place IS NOT NULL OR more IS NOT NULL").repartition("lo").groupBy("lo", "id")
-    found = found.agg(F.collect_list("place").alias("found"), F.collect_list("more").alias("more"))
+    found = rows.select("lo", "id", place).where("place IS NOT NULL").repartition("lo").groupBy("lo", "id")
+    found = found.agg(F.collect_list("place").alias("found"))
     # joined by ``lo`` alone, by which both sides are dealt already
-    found = found.select(F.col("lo").alias("at"), F.col("id").alias("of"), "found", "more")
+    found = found.select(F.col("lo").alias("at"), F.col("id").alias("of"), "found")
     on = (F.col("lo") == F.col("at")) & F.col("id").between(F.col("of"), F.col("of"))
-    placed = distinct.join(found, on, "left").select("lo", "hi", "id", "blob", "found", "more")
+    placed = distinct.join(found, on, "left").select("lo", "hi", "id", "blob", "found")
     result = stored(placed.mapInArrow(*_removed(window, with_text)), "passages")
-    longest = _longest(result.select("lo", "hi", F.explode("more").alias("more")), window)
+    longest = _longest(result, window, rows_at_once)
     at_least = F.coalesce("longest", F.when(F.size("spans") > 0, F.lit(window)).otherwise(0)).cast("int").alias("longest")
-    return result.join(longest, ["lo", "hi"], "left").select("lo", "hi", "id", "n_words", "spans", "kept", at_least)
+    return result.join(longest, "lo", "left").select("lo", "hi", "id", "n_words", "spans", "kept", at_least)
 
 
 def report(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:

@@ -99,6 +99,42 @@ def test_longest_windows_double_as_long_as_they_are_repeated(spark):
         assert out[k] <= n < 2 * out[k] + 4 * 13 and out[k] in {13 << j for j in range(8)}
 
 
+def plain_longest(rows, window=13):
+    """The longest window of ``window`` words, or twice, four times as many, that a text and another one have."""
+    texts = {t: t.split() for _, t in rows}
+    out, length = dict.fromkeys(texts, 0), window
+    while any(len(w) >= length for w in texts.values()):
+        having = {}
+        for t, w in texts.items():
+            for at in range(len(w) - length + 1):
+                having.setdefault(tuple(w[at : at + length]), set()).add(t)
+        for some in having.values():
+            out.update(dict.fromkeys(some if len(some) > 1 else (), length))
+        length *= 2
+    return out
+
+
+@pytest.mark.parametrize("window, rows_at_once", [(13, 1 << 19), (13, 40), (5, 300), (2, 1 << 19)])
+def test_longer_windows_are_compared_at_every_start(spark, window, rows_at_once):
+    rng = random.Random(11)
+    passages = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate([26, 27, 52, 53, 104, 31, 25, 51, 10, 11, 40])]
+    rows = [
+        (9 * k + j, " ".join([*(f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(40))), *p[j % 2 :], f"e{k}x{j}", *passages[j][: 9 * j]]))
+        for k, p in enumerate(passages)
+        for j in range(9)
+    ]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(random_documents(4))]
+    exact = plain_longest(rows, window)
+    found = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window, rows_at_once=rows_at_once)
+    texts = {}
+    for i, t in sorted(rows):
+        texts.setdefault(t, i)
+    out = {r.id: r for r in found.collect()}
+    for t, i in texts.items():
+        first = exact[t] == window and not out[i].spans  # the smallest id of a window loses nothing
+        assert out[i].longest == (0 if first else exact[t]), (i, t)
+
+
 def test_passages_in_messy_and_empty_tables(spark):
     df = messy(spark)
     assert removal(df) == plain_removal([(r.doc_id, r.text) for r in df.collect()])
