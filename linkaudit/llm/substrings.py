@@ -4,7 +4,7 @@ Passages are compared as windows of words, level by level. The first level has h
 so short windows inside each full one only the one with the smallest hash is taken, which equal windows choose alike, so about two in
 nine words are looked at and nothing is lost. Windows whose chosen half occurs in another text are extended to
 the full length and compared exactly by 128 bits; these decide what is removed. From there on the length doubles: every start of a
-window of 2, 4, 8 and so on lengths is compared whose full windows all have a half that another text has, too. A longer window is sent as 32 bits below the
+window of 2, 4, 8 and so on lengths is compared whose full windows another text has, too. A longer window is sent as 32 bits below the 64 of the
 smallest full window in it, which equal windows choose alike; that gives the length of the longest passages.
 
 Equal texts are one throughout (all but the first go as a whole). Tasks compare what they hold among themselves first and send one row for each window
@@ -159,7 +159,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _halves(window: int, rows_at_once: int):
     """Rows of the first level: ``hash`` and ``lo``. ``flags`` has 1 if several texts of the task have it, and 2 in a row for each of these texts."""
-    names = ["hash", "salt", "lo", "flags"]
+    names = ["hash", "lo", "salt", "flags"]
 
     def combined(hashes: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, lo = np.concatenate(hashes), np.concatenate(owners)
@@ -173,7 +173,7 @@ def _halves(window: int, rows_at_once: int):
         for rows, live in ((new, False), (several, True)):
             n = int(rows.sum())
             salt = pa.array(lo[rows]) if live else pa.nulls(n, pa.int64())
-            columns = [pa.array(_signed(h[rows])), salt, pa.array(lo[rows]), pa.array(several[rows].astype(np.int8) + np.int8(2 * live))]
+            columns = [pa.array(_signed(h[rows])), pa.array(lo[rows]), salt, pa.array(several[rows].astype(np.int8) + np.int8(2 * live))]
             if n:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -200,7 +200,7 @@ def _halves(window: int, rows_at_once: int):
         if hashes:
             yield from combined(hashes, owners)
 
-    return run, "hash long, salt long, lo long, flags byte"
+    return run, "hash long, lo long, salt long, flags byte"
 
 
 def _live_halves(texts: DataFrame, window: int, rows_at_once: int) -> DataFrame:
@@ -252,32 +252,28 @@ def _distinct(texts: DataFrame) -> DataFrame:
 
 # --- full windows --------------------------------------------------------------------
 
-_FULL = "h1 long, mark long, lo long, id long, end int, kind byte"
-#: Kinds of rows: a window to compare, a run of starts that are removed, a start that shares the fate of another, a run of starts that holds longer windows.
-_PROBE, _GONE, _ALIAS, _LONGER = range(4)
+_FULL = "h1 long, mark long, lo long, id long, kind byte"
+#: Kinds of rows: a window to compare; one in a run that no other text of the task has; a run of starts that are removed; a start that shares the
+#: fate of another; a run of starts that may hold longer windows.
+_PROBE, _LONE, _GONE, _ALIAS, _LONGER = range(5)
 
 
 def _full_windows(window: int, rows_at_once: int):
     """Compares the live windows of the texts in a task and says what is left to compare with other tasks.
 
-    ``mark`` has 32 further bits of the window's hash above its start.
+    ``mark`` has 32 further bits of the window's hash above its start or, in rows that are not compared, another start.
     """
-    types = [pa.int64()] * 4 + [pa.int32(), pa.int8()]
-    schema = pa.schema(list(zip(["h1", "mark", "lo", "id", "end", "kind"], types)))
+    schema = pa.schema(list(zip(["h1", "mark", "lo", "id", "kind"], [pa.int64()] * 4 + [pa.int8()])))
 
     def batch_of(kind, lo, doc, start, end=None, h1=None, h2=None) -> pa.RecordBatch:
         """Rows that are not compared are dealt by their text."""
-        n, mark = len(lo), start.astype(np.int64)
-        if h2 is not None:
-            mark |= _signed(h2) >> 32 << 32
-        columns = [
-            pa.array(lo if h1 is None else _signed(h1)), pa.array(mark), pa.array(lo), pa.array(doc),
-            pa.nulls(n, pa.int32()) if end is None else pa.array(end.astype(np.int32)), pa.array(np.full(n, kind, dtype=np.int8)),
-        ]
+        above = end.astype(np.int64) if h2 is None else _signed(h2) >> 32
+        kinds = np.broadcast_to(np.int8(kind) if np.isscalar(kind) else kind, len(lo))
+        columns = [pa.array(x) for x in (lo if h1 is None else _signed(h1), above << 32 | start, lo, doc, kinds)]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def taken(los, ids, blobs, halves):
-        """The live windows of some texts, their hashes and places, and the first and last of each run of them that holds a window of twice the length."""
+        """The live windows of some texts, their hashes and places, which are in runs long enough for twice the length, and the first and last of these runs."""
         unpack = zstandard.ZstdDecompressor().decompress
         texts = [unpack(b) for b in blobs]
         h, bounds = word_hashes(texts)
@@ -291,21 +287,22 @@ def _full_windows(window: int, rows_at_once: int):
         runs = last - begin >= window
         doc = np.array(ids, dtype=np.int64)[owner]
         lo = np.array(los, dtype=np.int64)[owner]
-        return windows(h, window)[at], windows(h, window, _OTHER)[at], lo, doc, at - bounds[owner], begin[runs], last[runs]
+        return windows(h, window)[at], windows(h, window, _OTHER)[at], lo, doc, at - bounds[owner], np.repeat(runs, last + 1 - begin), begin[runs], last[runs]
 
     def compared(parts: list) -> Iterator[pa.RecordBatch]:
-        h1, h2, lo, doc, start = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        h1, h2, lo, doc, start, inside = (np.concatenate([p[k] for p in parts]) for k in range(6))
         if not len(h1):
             return
         order = np.lexsort((start, lo, doc, h2, h1))
-        h1, h2, lo, doc, start = (x[order] for x in (h1, h2, lo, doc, start))
+        h1, h2, lo, doc, start, inside = (x[order] for x in (h1, h2, lo, doc, start, inside))
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         heads = np.flatnonzero(new)
         group = np.cumsum(new) - 1
+        lone = inside & ~np.logical_or.reduceat(lo != lo[heads][group], heads)[group]
         gone = doc > doc[heads][group]
         own = np.r_[True, new[1:] | (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1])]
         probe, alias = own & ~gone, ~own & ~gone
-        yield batch_of(_PROBE, lo[probe], doc[probe], start[probe], None, h1[probe], h2[probe])
+        yield batch_of(np.where(lone[probe], np.int8(_LONE), np.int8(_PROBE)), lo[probe], doc[probe], start[probe], None, h1[probe], h2[probe])
         if alias.any():
             first = np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))[alias]
             yield batch_of(_ALIAS, lo[alias], doc[alias], start[alias], start[first])
@@ -323,7 +320,7 @@ def _full_windows(window: int, rows_at_once: int):
                 some = batch.slice(at, 256)
                 parts.append(taken(*(c.to_pylist() for c in some.columns)))
                 held += len(parts[-1][0])
-                *_, lo, doc, start, begin, last = parts[-1]
+                *_, lo, doc, start, _, begin, last = parts[-1]
                 if len(begin):
                     yield batch_of(_LONGER, lo[begin], doc[begin], start[begin], start[last])
                 if held >= rows_at_once:
@@ -348,8 +345,8 @@ def _running(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _longer(window: int, rows_at_once: int):
     """Compares the windows of 2, 4, 8 and so on lengths in the runs of a task, at every start, and says what is left to compare with other tasks.
 
-    A row has the smallest full window (``key``, with the length mixed in) of some longer windows and 32 bits of each of these, ``bits``: those that only text ``lo``
-    of the task has or, where ``lo`` is null, several. Rows without ``bits`` tell what is known: ``lo`` has a repeated window of ``longest`` words.
+    A row has the smallest full window (``key``, with the length mixed in) of some longer windows and 32 bits of each of these, ``bits``: those that
+    only text ``lo`` of the task has or, where ``lo`` is null, several. Rows without ``bits`` tell what is known: ``lo`` has a repeated window of ``longest`` words.
     """
     names = ["key", "lo", "longest", "bits"]
 
@@ -437,16 +434,22 @@ def _removed(window: int, with_text: bool):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = ["lo", "hi", "id", "n_words", "spans", "kept", "again"]
 
+    def filled(start: np.ndarray, end: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        return np.cumsum(np.bincount(start[which], minlength=n) - np.bincount(end[which] + 1, minlength=n)) > 0
+
     def one(text: bytes, places: np.ndarray) -> tuple[int, list, bytes, bytes | None]:
         words, spans, again = text.split(), [], None
         if len(places):
-            kind, start, end = places >> np.uint64(62), *((places >> np.uint64(k) & np.uint64(2**31 - 1)).astype(np.int64) for k in (31, 0))
-            here, alias, runs = (kind == _PROBE) | (kind == _GONE), kind == _ALIAS, kind == _LONGER
-            edge = np.bincount(start[here], minlength=len(words) + 1) - np.bincount(end[here] + 1, minlength=len(words) + 1)
-            gone = np.cumsum(edge) > 0
+            kind, start, end = ((places >> k & (1 << 30) - 1) for k in (60, 30, 0))
+            alias, n = kind == _ALIAS, len(words) + 1
+            gone = filled(start, end, (kind == _PROBE) | (kind == _GONE), n)
             gone[start[alias]] |= gone[end[alias]]
-            if runs.any():
-                again = b"\n".join(b" ".join(words[x : y + window]) for x, y in zip(start[runs].tolist(), end[runs].tolist()))
+            if (kind == _LONGER).any():
+                alone = filled(start, end, kind == _LONE, n)
+                alone[start[alias]] |= alone[end[alias]]
+                edge = np.diff(np.r_[False, filled(start, end, kind == _LONGER, n) & ~alone].astype(np.int8))
+                runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
+                again = b"\n".join(b" ".join(words[x : y + window - 1]) for x, y in runs if y - x > window) or None
             at = np.flatnonzero(gone)
             depth = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + window, minlength=len(words) + 1)
             edge = np.diff(np.concatenate([[0], np.cumsum(depth)[:-1] > 0, [0]]).astype(np.int8))
@@ -463,7 +466,7 @@ def _removed(window: int, with_text: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 lo, hi, doc, blobs, found = batch.slice(at, 512).columns
-                places, offsets = found.values.to_numpy(zero_copy_only=False).view(np.uint64), found.offsets.to_pylist()
+                places, offsets = found.values.to_numpy(zero_copy_only=False), found.offsets.to_pylist()
                 found = [places[a:b] for a, b in zip(offsets, offsets[1:])]
                 n, spans, kept, again = zip(*map(one, map(unpack, blobs.to_pylist()), found))
                 again = [x and pack(x) for x in again]
@@ -497,14 +500,17 @@ def repeated(
     texts = docs.select(*_keys(docs, id_col, text_col))
     distinct = _distinct(texts)  # used twice in one plan, so that it is shuffled once
     live = distinct.join(_live_halves(texts, window, rows_at_once), "lo").select("lo", "id", "blob", "hashes")
-    kind = F.col("kind").cast("int")
-    same = Window.partitionBy("h1", F.shiftright("mark", 32), kind > _PROBE)
-    rows = live.mapInArrow(*_full_windows(window, rows_at_once)).repartition("h1").withColumn("first", F.min("id").over(same))
-    gone = (kind > _PROBE) | (F.col("id") > F.col("first"))
-    start = F.col("mark").bitwiseAND(F.lit(2**31 - 1))
+    kind = F.col("kind").cast("long")
+    same = Window.partitionBy("h1", F.shiftright("mark", 32), kind > _LONE)
+    rows = live.mapInArrow(*_full_windows(window, rows_at_once)).repartition("h1").withColumns({
+        "first": F.min("id").over(same),
+        "alone": (F.min("lo").over(same) == F.max("lo").over(same)) & (kind == _LONE),
+    })
+    start = F.col("mark").bitwiseAND(F.lit(2**30 - 1))
     # kind, first and last start in one number, as these are most of what is sent back to the texts
-    packed = F.shiftleft(kind.cast("long"), 62).bitwiseOR(F.shiftleft(start, 31)).bitwiseOR(F.coalesce(F.col("end").cast("long"), start))
-    place = F.when(gone, packed).alias("place")
+    run = F.shiftleft(kind, 60).bitwiseOR(F.shiftleft(start, 30)).bitwiseOR(F.shiftright("mark", 32))
+    one = F.shiftleft(start, 30).bitwiseOR(start)
+    place = F.when(kind > _LONE, run).when(F.col("id") > F.col("first"), one).when(F.col("alone"), one + F.lit(_LONE << 60)).alias("place")
     found = rows.select("lo", "id", place).where("place IS NOT NULL").repartition("lo").groupBy("lo", "id")
     found = found.agg(F.collect_list("place").alias("found"))
     # joined by ``lo`` alone, by which both sides are dealt already
