@@ -3,7 +3,7 @@
 Passages are compared as windows of words, level by level. The first level has half the length of a window: of the eight or
 so short windows inside each full one only the one with the smallest hash is taken, which equal windows choose alike, so about two in
 nine words are looked at and nothing is lost. Windows whose chosen half occurs in another text are extended to
-the full length and compared exactly by 128 bits; these decide what is removed. From there on the length doubles: every start of a
+the full length and compared by 128 bits within a task and 96 between tasks; these decide what is removed. From there on the length doubles: every start of a
 window of 2, 4, 8 and so on lengths is compared whose full windows another text has, too. A longer window is sent as 32 bits below the 64 of the
 smallest full window in it, which equal windows choose alike; that gives the length of the longest passages.
 
