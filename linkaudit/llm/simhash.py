@@ -97,7 +97,8 @@ def links(fingerprints: DataFrame, max_bits: int = 4) -> DataFrame:
             within &= run <= length - 1
         chains &= (F.col("a_key").bitwiseAND(F.lit(15)) != i) | within
     on = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & chains & (F.bit_count(differing) <= max_bits)
-    return probe.join(index, on).select("a", "b").distinct()
+    # Spark sizes both sides as if nothing were exploded, so by itself it may broadcast them
+    return probe.hint("merge").join(index.hint("merge"), on).select("a", "b").distinct()
 
 
 def simhash_classes(fingerprints: DataFrame, max_bits: int = 4) -> DataFrame:

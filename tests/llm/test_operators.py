@@ -330,6 +330,13 @@ def test_links_equal_all_pairs(spark, max_bits):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def test_what_is_exploded_for_links_is_not_broadcast(spark, tmp_path):
+    """A row becomes 70 for the join; from a small file Spark would send them all to every executor."""
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fp"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_of_messy_and_empty_tables(spark):
     out = simhash.near_duplicates(messy(spark)).collect()
     of = {(r.doc_id, r.fingerprint): r.component_id for r in out}
