@@ -1,5 +1,7 @@
 """Work that is shared, work that does not multiply, and audits of folders."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,24 @@ def test_anchors_are_judged_once_for_a_whole_audit(spark, links_of, monkeypatch)
 def test_stuffed_anchors(spark, anchor, stuffed):
     row = spark.createDataFrame([(anchor,)], "anchor string").select(C.quality_flags(F.col("anchor"))["keyword_stuffed"].alias("k"))
     assert row.first().k is stuffed
+
+
+def test_steps_that_are_stored_leave_no_shuffle_files(spark, tmp_path):
+    from linkaudit.plans.audit import shared
+    from linkaudit.session import cut_lineage, stored
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+
+    def files() -> set[str]:
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+        return {x for x in found if x.startswith("shuffle_")}
+
+    for store in (stored, cut_lineage, lambda df: shared(df, "step", str(tmp_path))):
+        old = files()
+        assert len(store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+        end = time.time() + 20
+        while [x for x in files() - old if x.endswith(".data")] and time.time() < end:  # the files go in the background
+            time.sleep(0.2)
+        assert not [x for x in files() - old if x.endswith(".data")]
+    assert spark.conf.get(setting) == before

@@ -181,6 +181,33 @@ def test_density_clusters(spark, block_rows, eps, min_samples):
     assert got == {f"u{i:05d}": (core[i], None if label[i] is None else f"u{label[i]:05d}") for i in range(120)}
 
 
+@pytest.mark.parametrize("width,block_rows", [(64, 25), (80, 25), (64, None)])  # 80 numbers meet in cells, not in lists
+def test_one_pass_where_any_two_make_a_core(spark, monkeypatch, width, block_rows):
+    """Weights of one and two points to a core: the weights around each need not be counted, nor what meets be stored."""
+    rng = np.random.default_rng(8)
+    vectors = np.zeros((150, width))
+    for i in range(150):
+        vectors[i, [i % 30, 30 + i % 7, *rng.integers(40, width, 2)]] = 3, 2, 1, 1
+    vectors[::9] = vectors[0]
+    weights = rng.integers(1, 3, 150)
+    core, label = dbscan(vectors, weights, 0.1, 2)
+    assert 0 < sum(core) < 150 and len(set(label)) > 10
+    monkeypatch.setattr(T, "neighbour_weights", None)
+    monkeypatch.setattr("linkaudit.operators.hubs.HUBS", 4)
+    rows = T.density_clusters(table(spark, vectors, weights), 0.1, 2, block_rows).collect()
+    assert {r.id: (r.is_core, r.label) for r in rows} == {f"u{i:05d}": (core[i], None if label[i] is None else f"u{label[i]:05d}") for i in range(150)}
+
+
+def test_stored_vectors_are_not_broadcast(spark, tmp_path):
+    """Their files are far smaller than what a broadcast would hold."""
+    units = [(f"u{i}", np.eye(64)[i % 5].tolist()) for i in range(500)]
+    spark.createDataFrame(units, "id string, unit array<double>").write.parquet(str(tmp_path / "units"))
+    units = spark.read.parquet(str(tmp_path / "units"))
+    rows = units.select("id", F.lit(0).alias("block"), F.array(F.lit(0)).alias("targets"))
+    plan = V.Candidates(rows, V.Search(0.5)).joined(units).rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_large_cluster_is_not_compared_pair_by_pair(spark, monkeypatch):
     """Nearly all vectors are partners of each other: hubs settle them, and only the few others meet all."""
     rng = np.random.default_rng(4)
