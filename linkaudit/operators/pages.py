@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.html import LINK_SCHEMA, LinkScanner, html_h1, html_title, html_word_count, link_batches
 from ..functions.text import py_strip
@@ -79,27 +79,22 @@ def match_editorial_links(links: DataFrame, content_links: DataFrame, host: str
     """Crawled links that a content zone of their source page holds too.
 
     URLs must agree but for closing slashes, and texts must be equal, or the anchor must be
-    longer than 3 characters and part of the text. Both sides are reduced to distinct (page, URL,
-    text) first and matched once; what is compared text by text is one URL on one page. The links are
-    then chosen by a join on exactly what was matched, so repeated links are never part of the comparison.
+    longer than 3 characters and part of the text. What a page offers at one URL is one row with its distinct texts, so each link meets one row
+    at most, and links and texts are shuffled once each, by page and URL.
     """
-    slash, keys = F.lit("/"), ["_page", "_url", "_text"]
+    slash = F.lit("/")
     kept = internal_by_domain(links, host, strict=False) if host else links
-    wanted = (
-        kept.withColumn("_page", F.col("source"))
-        .withColumn("_url", F.rtrim(F.col("destination"), slash))
-        .withColumn("_text", py_strip(F.col("anchor")))
+    offered = (
+        content_links.select(
+            F.col("page_url").alias("_page"), F.rtrim(F.col("href"), slash).alias("_url"), py_strip(F.col("text")).alias("_link_text")
+        )
+        .groupBy("_page", "_url")
+        .agg(F.collect_set("_link_text").alias("_texts"))
     )
-    offered = content_links.select(
-        F.col("page_url").alias("_page"),
-        F.rtrim(F.col("href"), slash).alias("_url"),
-        py_strip(F.col("text")).alias("_link_text"),
-    ).distinct()
-    same_text = F.col("_text") == F.col("_link_text")
-    part_of_text = (F.length("_text") > 3) & F.lower("_link_text").contains(F.lower("_text"))
-    matched = wanted.select(*keys).distinct().alias("w").join(
-        offered.alias("o"),
-        (F.col("w._page") == F.col("o._page")) & (F.col("w._url") == F.col("o._url")) & (same_text | part_of_text),
-        "left_semi",
-    )
-    return wanted.join(matched, keys, "left_semi").select(*links.columns)
+
+    def agrees(anchor: Column) -> Column:
+        lowered = F.lower(anchor)
+        return F.array_contains("_texts", anchor) | ((F.length(anchor) > 3) & F.exists("_texts", lambda t: F.lower(t).contains(lowered)))
+
+    same_place = (F.col("source") == F.col("_page")) & (F.rtrim(F.col("destination"), slash) == F.col("_url"))
+    return kept.join(offered, same_place & agrees(py_strip(F.col("anchor"))), "left_semi").select(*links.columns)

@@ -82,6 +82,20 @@ def test_match_rules(spark, links_of):
     assert kept == [("https://s.fr/x", "Guide du Bois")] * 2 + [("https://s.fr/x//", "bois"), ("https://s.fr/y", "ABCD")]
 
 
+def test_match_shuffles_links_and_texts_once(spark, tmp_path, links_of):
+    page = "https://s.fr/p"
+    links_of([(page, "https://s.fr/x", "bois"), (page, "https://s.fr/x", "bois"), (page, "https://s.fr/x/", "pierre")]).write.parquet(str(tmp_path / "links"))
+    offers = [(page, "https://s.fr/x", text) for text in ("guide bois", "guide fer", "guide bois")]
+    spark.createDataFrame(offers, "page_url string, href string, text string").write.parquet(str(tmp_path / "offers"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = P.match_editorial_links(spark.read.parquet(str(tmp_path / "links")), spark.read.parquet(str(tmp_path / "offers")), "s.fr")
+        assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.destination, r.anchor) for r in kept.collect()] == [("https://s.fr/x", "bois")] * 2
+
+
 def test_clean_html_and_words(spark):
     html = "<html><SCRIPT>x</SCRIPT><body class='b'><style>p{}</style>un <b>deux</b><noscript>non</noscript></body></html>"
     row = spark.createDataFrame([(html,)], "h string").select(
