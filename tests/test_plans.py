@@ -147,6 +147,14 @@ def test_stuffed_anchors(spark, anchor, stuffed):
     assert row.first().k is stuffed
 
 
+def test_exports_of_compressed_part_files_are_found(spark, tmp_path):
+    rows = spark.createDataFrame([("https://s.fr/a", "120"), ("https://s.fr/b", "7")], "Address string, `Word Count` string")
+    rows.write.option("header", True).option("compression", "gzip").csv(str(tmp_path / "folder" / "word_count.csv"))
+    (tmp_path / "folder" / "word_count_old.csv.gz").write_bytes(b"")  # a file of its own is no export
+    counts = folder.load_page_inputs(spark, str(tmp_path / "folder")).word_counts
+    assert sorted(map(tuple, counts.select("url", "word_count").collect())) == [("https://s.fr/a", "120"), ("https://s.fr/b", "7")]
+
+
 def test_steps_that_are_stored_leave_no_shuffle_files(spark, tmp_path):
     from linkaudit.plans.audit import shared
     from linkaudit.session import cut_lineage, stored

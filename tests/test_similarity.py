@@ -198,6 +198,19 @@ def test_one_pass_where_any_two_make_a_core(spark, monkeypatch, width, block_row
     assert {r.id: (r.is_core, r.label) for r in rows} == {f"u{i:05d}": (core[i], None if label[i] is None else f"u{label[i]:05d}") for i in range(150)}
 
 
+def test_only_links_between_similar_pages_are_compared(spark, monkeypatch):
+    vectors = table(spark, np.eye(20)[np.arange(40) % 20], np.ones(40, dtype=int)).select("id", "embedding")
+    pairs = [(f"u{i + 20:05d}", f"u{i:05d}") for i in range(0, 20, 2)]  # every second pair, the other way round
+    other = [(f"u{i:05d}", f"u{j:05d}") for i in range(20) for j in range(20) if i != j]
+    links = spark.createDataFrame(pairs * 2 + other, "source string, destination string")
+    looked_at = []
+    whole = V.linked_similar_filter
+    monkeypatch.setattr(V, "linked_similar_filter", lambda p, found: (looked_at.append(found.count()), whole(p, found))[1])
+    got = sorted((r.source, r.target) for r in V.unlinked_similar_pairs(vectors, links).collect())
+    assert got == [(f"u{i:05d}", f"u{i + 20:05d}") for i in range(1, 20, 2)]
+    assert looked_at and max(looked_at) == 2 * len(pairs)
+
+
 def test_stored_vectors_are_not_broadcast(spark, tmp_path):
     """Their files are far smaller than what a broadcast would hold."""
     units = [(f"u{i}", np.eye(64)[i % 5].tolist()) for i in range(500)]
